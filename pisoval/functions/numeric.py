@@ -10,7 +10,7 @@ from pyspark.sql import Column, functions as F, types as T
 from ..fixed_values import FLOOR_CODES
 
 # Whitespace as Python's str.strip sees it; Java's \s is narrower.
-SPACE_CLASS = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
+SPACE_CLASS = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
