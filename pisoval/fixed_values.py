@@ -120,3 +120,18 @@ AMENITY_RULES = [
      r"\bgarajes?\b|\bparking\b|plazas? de aparcamiento|aparcamiento (privado|propio|incluido)",
      OPTIONAL_BEFORE + r"|(facil|zona de)\s*$", OPTIONAL_AFTER + r"|^\s*publico", None, None),
 ]
+# Every match of a rule starts with one of these letters and holds one of these words.
+AMENITY_HINTS = [
+    ("t", ("terraza",)),
+    ("acbs", ("aire acondicionado", "climatiza", "bomba de calor", "split", "a/a")),
+    ("t", ("trastero",)),
+    ("ae", ("empotrad",)),
+    ("p", ("piscina",)),
+    ("pc", ("porter", "conserje")),
+    ("j", ("jardin",)),
+    ("a", ("ajardinad",)),
+    ("a", ("ascensor",)),
+    ("gpa", ("garaje", "parking", "aparcamiento")),
+]
+WORKS_WORDS = ("reforma", "actualiza")
+OCCUPIED_WORDS = ("ocupad", "okupa", "sin posesion", "nuda propiedad", "usufructo", "renta antigua", "inquilin", "alquil")

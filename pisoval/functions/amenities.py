@@ -6,8 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..fixed_values import AMENITY_RULES, NEGATION
-from .text import Windows, normalize_text
+from ..fixed_values import AMENITY_RULES, AMENITY_HINTS, NEGATION
+from .text import Windows, contains_any, normalize_text
 
 
 @dataclass(frozen=True)
@@ -17,17 +17,27 @@ class TextRule:
     no_after: str | None = None
     no_context: str | None = None
     needs_context: str | None = None
+    starts: str = ""
+    words: tuple[str, ...] = ()
 
     @property
     def uses_context(self) -> bool:
         return bool(self.no_context or self.needs_context)
 
 
+    def windows(self, t: Column) -> Windows:
+        return Windows(t, self.pattern, starts=self.starts)
+
+    def may_match(self, t: Column) -> Column:
+        """Cheap test no matching text fails."""
+        return contains_any(t, self.words) if self.words else t.rlike(self.pattern)
+
+
 RuleBook = dict[str, list[TextRule]]
 
 
-def rule_book(rows: Iterable[tuple] = AMENITY_RULES) -> RuleBook:
-    """Rules by feature from rows (feature, pattern, no_before, no_after, no_context, needs_context)."""
+def rule_book(rows: Iterable[tuple]) -> RuleBook:
+    """Rules by feature from rows (feature, pattern, no_before, no_after, no_context, needs_context[, starts, words])."""
     book: RuleBook = {}
     for feature, *rule in rows:
         book.setdefault(feature, []).append(TextRule(*rule))
@@ -43,7 +53,7 @@ def rule_book_from_table(df: DataFrame, max_rules: int = 10_000) -> RuleBook:
     return rule_book(map(tuple, rows))
 
 
-DEFAULT_RULES = rule_book()
+DEFAULT_RULES = rule_book((*rule, *hints) for rule, hints in zip(AMENITY_RULES, AMENITY_HINTS, strict=True))
 
 
 def discard_reason(rule: TextRule, before: Column, match: Column, after: Column) -> Column:
@@ -63,7 +73,7 @@ def discard_reason(rule: TextRule, before: Column, match: Column, after: Column)
 
 def _reasons(t: Column, rule: TextRule) -> Column:
     """Array with one discard reason (or NULL) per match, scanning only what the rule needs."""
-    found = Windows(t, rule.pattern)
+    found = rule.windows(t)
     if rule.uses_context:
         return F.transform(found.structs(),
                            lambda m: discard_reason(rule, m["before"], m["match"], m["after"]))
@@ -81,12 +91,12 @@ def _any(conditions: list[Column]) -> Column:
 
 def is_mentioned(t: Column, rules: list[TextRule]) -> Column:
     """Some match of some rule counts; texts without the words never reach the window scan."""
-    return _any([F.when(t.rlike(r.pattern), F.exists(_reasons(t, r), lambda x: x.isNull()))
+    return _any([F.when(r.may_match(t), F.exists(_reasons(t, r), lambda x: x.isNull()))
                  .otherwise(F.lit(False)) for r in rules])
 
 
 def has_negation(t: Column, rules: list[TextRule]) -> Column:
-    return _any([F.when(t.rlike(r.pattern), F.exists(_reasons(t, r), lambda x: F.coalesce(x == "negacion", F.lit(False))))
+    return _any([F.when(r.may_match(t), F.exists(_reasons(t, r), lambda x: F.coalesce(x == "negacion", F.lit(False))))
                  .otherwise(F.lit(False)) for r in rules])
 
 
@@ -99,10 +109,10 @@ def amenity_matches(t: Column, rules: list[TextRule]) -> Column:
     empty = F.array().cast("array<struct<motivo:string,fragmento:string>>")
 
     def one(rule: TextRule) -> Column:
-        matches = F.transform(Windows(t, rule.pattern).structs(), lambda m: F.struct(
+        matches = F.transform(rule.windows(t).structs(), lambda m: F.struct(
             discard_reason(rule, m["before"], m["match"], m["after"]).alias("motivo"),
             F.concat(m["before"], m["match"], m["after"]).alias("fragmento")))
-        return F.when(t.rlike(rule.pattern), matches).otherwise(empty)
+        return F.when(rule.may_match(t), matches).otherwise(empty)
 
     return F.concat(*[one(r) for r in rules]) if len(rules) > 1 else one(rules[0])
 
@@ -137,7 +147,7 @@ def amenity_flags(df: DataFrame, column: str = "description", rules: RuleBook =
     empty = F.array().cast("array<string>")
 
     def reasons(feature: str) -> Column:
-        parts = [F.when(F.col("__t").rlike(r.pattern), _reasons(F.col("__t"), r)).otherwise(empty)
+        parts = [F.when(r.may_match(F.col("__t")), _reasons(F.col("__t"), r)).otherwise(empty)
                  for r in rules[feature]]
         return F.concat(*parts) if len(parts) > 1 else parts[0]
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -29,16 +29,24 @@ def _ascii_tables() -> tuple[str, str, dict[str, str]]:
     return "".join(source), "".join(target), longer
 
 
-@lru_cache
-def _longer_class() -> str:
-    points = sorted(map(ord, _ascii_tables()[2]))
+def _ranges(points: list[int]) -> str:
+    """The code points as ranges of a Java character class."""
     ranges: list[list[int]] = []
     for point in points:
         if ranges and point == ranges[-1][1] + 1:
             ranges[-1][1] = point
         else:
             ranges.append([point, point])
-    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges)
+
+
+@lru_cache
+def _longer_class() -> str:
+    """Characters that expand; a coarse test in front spares plain letters the many ranges."""
+    points = sorted(map(ord, _ascii_tables()[2]))
+    latin = [p for p in points if p < 256]
+    coarse = _ranges(latin) + f"\\x{{{min(p for p in points if p > 255):x}}}-\\x{{10ffff}}"
+    return f"[{coarse}&&[{_ranges(points)}]]"
 
 
 def _expand(c: Column) -> Column:
@@ -50,17 +58,31 @@ def _expand(c: Column) -> Column:
     return F.when(c.rlike(_longer_class()), F.array_join(joined, "")).otherwise(c)
 
 
+def _fold(c: Column) -> Column:
+    """ASCII form of a text; only its non-ASCII runs go through the tables."""
+    source, target, _ = _ascii_tables()
+    other = r"[^\x00-\x7F]+"
+    runs = F.array_join(F.regexp_extract_all(c, F.lit(other), F.lit(0)), "\x00")
+    folded = F.regexp_replace(F.translate(_expand(runs), source, target), other, "")
+    joined = F.zip_with(F.split(c, other, -1), F.split(folded, "\x00", -1),
+                        lambda plain, run: F.concat(plain, F.coalesce(run, F.lit(""))))
+    return F.array_join(joined, "")
+
+
 def normalize_text(c: Column) -> Column:
     """Unaccented lower-case ASCII with single spaces; NULL becomes ''."""
-    source, target, _ = _ascii_tables()
-    folded = F.regexp_replace(F.translate(_expand(c), source, target), r"[^\x00-\x7F]+", "")
-    plain = F.when(c.rlike(r"[^\x00-\x7F]"), folded).otherwise(c)
+    plain = F.when(c.rlike(r"[^\x00-\x7F]"), _fold(c)).otherwise(c)
     return F.coalesce(F.regexp_replace(F.lower(plain), r"[\t-\r\x1c-\x20]+", " "), F.lit(""))
 
 
-def mentions(t: Column, pattern: str, cancelled_by: str) -> Column:
-    """The text has the pattern and nowhere the cancelling one."""
-    return t.rlike(pattern) & ~t.rlike(cancelled_by)
+def contains_any(t: Column, words: tuple[str, ...]) -> Column:
+    """Plain substring test, far cheaper than a pattern."""
+    return reduce(lambda a, b: a | b, [t.contains(w) for w in words])
+
+
+def mentions(t: Column, pattern: str, cancelled_by: str, words: tuple[str, ...]) -> Column:
+    """The text has the pattern and nowhere the cancelling one; `words` are those no match can lack."""
+    return contains_any(t, words) & t.rlike(pattern) & ~t.rlike(cancelled_by)
 
 
 class Windows:
@@ -68,13 +90,15 @@ class Windows:
 
     One regular expression carries the look-around windows as capture groups, so
     every array costs one linear scan however many matches the text holds.
-    Patterns must not use back-references or named groups.
+    Patterns must not use back-references or named groups.  `starts` lists the
+    letters a match can begin with, so that other positions are passed over fast.
     """
 
-    def __init__(self, t: Column, pattern: str, width: int = TEXT_WINDOW):
+    def __init__(self, t: Column, pattern: str, width: int = TEXT_WINDOW, starts: str = ""):
         groups = re.compile(pattern).groups
         self._t = t
-        self._regex = (rf"(?s)(?=(?:{pattern}))(?<=(^.{{0,{width - 1}}}|.{{{width}}}))"
+        first = f"(?=[{starts}])" if starts else ""
+        self._regex = (rf"(?s){first}(?=(?:{pattern}))(?<=(^.{{0,{width - 1}}}|.{{{width}}}))"
                        rf"(?:{pattern})(?=(.{{0,{width}}}))")
         self.before = self._all(groups + 1)
         self.match = self._all(0)

@@ -12,7 +12,7 @@ from .lookup import SALTS, fits, row_salt
 
 DISTANCES = {"DISTANCE_TO_METRO": POI_METRO, "DISTANCE_TO_CASTELLANA": POI_AVENUE}
 BROADCAST_POINTS = 5_000
-GRID_SIDE = 64
+GRID_SIDE = 32
 # Shuffled search: listings in cells of 0.005 degrees, points down to about ten metres.
 FINE_DEGREES = 0.005 / 64
 LISTING_LEVEL = 6
@@ -57,20 +57,24 @@ def index_pois(pois: DataFrame, max_points: int = BROADCAST_POINTS) -> PoiIndex:
     i, j = (F.col("id") / GRID_SIDE).cast("int"), (F.col("id") % GRID_SIDE).cast("int")
     lat, lon = south + (F.col("i") + 0.5) * high, west + (F.col("j") + 0.5) * wide
 
-    def keep(kind: str) -> Column:
-        ranked = F.transform(F.col(kind), lambda p: F.struct(
-            haversine_km(lat, lon, p["lat"], p["lon"]).alias("d"), p["lat"].alias("lat"), p["lon"].alias("lon")))
-        near = F.filter(ranked, lambda p: p["d"] <= F.array_min(ranked)["d"] + diameter)
-        return F.when(F.col("i") >= 0, near).otherwise(ranked)
-
     spark = pois.sparkSession
     grid = spark.range(GRID_SIDE * GRID_SIDE).select(i.alias("i"), j.alias("j"), F.lit(1).alias("one"))
     outside = spark.range(1).select(F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(1).alias("one"))
     all_points = points_by_type(points, list(DISTANCES.values())).withColumn("one", F.lit(1))
-    cells = (grid.unionByName(outside).join(F.broadcast(all_points), "one")
-             .select("i", "j", *[F.transform(keep(k), lambda p:
-                                             F.struct(p["lat"].alias("lat"), p["lon"].alias("lon"))).alias(f"__{k}")
-                                 for k in DISTANCES.values()]))
+    kinds = list(DISTANCES.values())
+    ranked = grid.unionByName(outside).repartition(8).join(F.broadcast(all_points), "one").select(
+        "i", "j", *[F.transform(F.col(k), lambda p: F.struct(haversine_km(lat, lon, p["lat"], p["lon"]).alias("d"),
+                                                             p["lat"].alias("lat"), p["lon"].alias("lon"))).alias(k)
+                      for k in kinds])
+    limits = ranked.select("*", *[F.when(F.col("i") >= 0, F.array_min(k)["d"] + diameter)
+                                  .otherwise(float("inf")).alias(f"__limit_{k}") for k in kinds])
+
+    def candidates(kind: str) -> Column:
+        limit = F.col(f"__limit_{kind}")
+        near = F.filter(F.col(kind), lambda p: p["d"] <= limit)
+        return F.transform(near, lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon")))
+
+    cells = limits.select("i", "j", *[candidates(k).alias(f"__{k}") for k in kinds])
     return PoiIndex(cells.persist(), (south, west, high, wide), points, center)
 
 
@@ -79,7 +83,8 @@ def _by_broadcast(df: DataFrame, index: PoiIndex) -> DataFrame:
     lat, lon = F.col("latitude"), F.col("longitude")
     row, col = F.floor((lat - south) / high), F.floor((lon - west) / wide)
     within = row.between(0, GRID_SIDE - 1) & col.between(0, GRID_SIDE - 1)
-    keys = {"i": F.when(within, row).otherwise(-1).cast("int"), "j": F.when(within, col).otherwise(-1).cast("int")}
+    # A missing coordinate has no cell and so no distance; a far one sees every point.
+    keys = {"i": F.when(within, row).when(~within, -1).cast("int"), "j": F.when(within, col).when(~within, -1).cast("int")}
     return (df.withColumns(keys).join(F.broadcast(index.cells), ["i", "j"], "left")
             .withColumns({out: _min_distance(lat, lon, F.col(f"__{kind}")) for out, kind in DISTANCES.items()})
             .drop("i", "j", *[f"__{kind}" for kind in DISTANCES.values()]))

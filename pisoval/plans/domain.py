@@ -3,8 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ..fixed_values import (HOUSE_SUBTYPES, HOUSE_TYPES, OCCUPIED, OCCUPIED_CANCELLED, OPERATIONS, REASONS,
-                            WORKS_CANCELLED, WORKS_NEEDED)
+from ..fixed_values import (HOUSE_SUBTYPES, HOUSE_TYPES, OCCUPIED, OCCUPIED_CANCELLED, OCCUPIED_WORDS, OPERATIONS,
+                            REASONS, WORKS_CANCELLED, WORKS_NEEDED, WORKS_WORDS)
 from ..functions.geo import usable_coordinates
 from ..functions.numeric import is_finite
 from ..functions.text import mentions
@@ -12,11 +12,11 @@ from .features import TEXT
 
 
 def needs_work(t: Column) -> Column:
-    return mentions(t, WORKS_NEEDED, WORKS_CANCELLED)
+    return mentions(t, WORKS_NEEDED, WORKS_CANCELLED, WORKS_WORDS)
 
 
 def occupied(t: Column) -> Column:
-    return mentions(t, OCCUPIED, OCCUPIED_CANCELLED)
+    return mentions(t, OCCUPIED, OCCUPIED_CANCELLED, OCCUPIED_WORDS)
 
 
 def is_house() -> Column:

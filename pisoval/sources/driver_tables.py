@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import spread
 from ..operators.trees import NODE_SCHEMA, TreeModel
 from .listings import FIELDS, column_name
 from .reference import Metadata, References
@@ -151,12 +152,14 @@ META = Metadata(mediana_planta_train=2.0, area_max_dominio=240.0, smearing=1.017
                 rangos_train={"CONSTRUCTEDAREA": (35.0, 230.0), "ROOMNUMBER": (0.0, 5.0), "BATHNUMBER": (0.0, 3.0),
                               "FLOORCLEAN": (-1.0, 11.0), "DISTANCE_TO_METRO": (0.0, 2.5)},
                 nombre="conjunto-demo", model_id="pisoval-demo", model_version="1.0.0", arboles=len(TREES))
+LARGE = {"orders": "o_orderkey", "documents": "doc_id"}
 TABLES = ["region", "nation", "customer", "supplier", "orders", "documents"]
 
 
 def _query(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run a shared statement over the Parquet tables it names."""
     named = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f" {t} " in sql.replace("\n", " ") + " "}
+    named.update({t: spread(named[t], key) for t, key in LARGE.items() if t in named})
     for t in named:
         sql = sql.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")
     return spark.sql(sql.replace("{{", "{").replace("}}", "}"), **named)
