@@ -123,8 +123,8 @@ FROM doc_texts LEFT JOIN found USING (id) GROUP BY id"""
 
 # ---------------------------------------------------------------- geometry
 def haversine(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
-    return (f"({2 * EARTH_RADIUS_KM} * asin(sqrt(least(1.0, pow(sin((radians({lat2}) - radians({lat1})) / 2), 2) + "
-            f"cos(radians({lat1})) * cos(radians({lat2})) * pow(sin((radians({lon2}) - radians({lon1})) / 2), 2)))))")
+    return (f"(CASE WHEN {lat1} IS NOT NULL AND {lon1} IS NOT NULL THEN {2 * EARTH_RADIUS_KM} * asin(sqrt(least(1.0, pow(sin((radians({lat2}) - radians({lat1})) / 2), 2) + "
+            f"cos(radians({lat1})) * cos(radians({lat2})) * pow(sin((radians({lon2}) - radians({lon1})) / 2), 2)))) END)")
 
 
 def projected(source: str) -> str:
@@ -160,10 +160,10 @@ def _assigned(points: str) -> str:
     """(row_id, barrio_code, distrito_code, barrio_rescatado) for a relation (row_id, x, y)."""
     u = "least(1.0, greatest(0.0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / (pow(x2 - x1, 2) + pow(y2 - y1, 2))))"
     return f"""
-SELECT row_id, coalesce(inside, near) AS barrio_code, substring(coalesce(inside, near), 1, 2) AS distrito_code,
-  inside IS NULL AND near IS NOT NULL AS barrio_rescatado
+SELECT row_id, coalesce(inside, best.code) AS barrio_code, substring(coalesce(inside, best.code), 1, 2) AS distrito_code,
+  inside IS NULL AND best.code IS NOT NULL AS barrio_rescatado
 FROM (SELECT row_id, min(area_code) FILTER (WHERE odd) AS inside,
-        min({{'dist': dist, 'code': area_code}}) FILTER (WHERE dist <= 500) AS best, best.code AS near
+        min({{'dist': dist, 'code': area_code}}) FILTER (WHERE dist <= 500) AS best
   FROM (SELECT p.row_id, area_code,
       coalesce(sum(CASE WHEN (y1 > y) <> (y2 > y) AND x < x1 + (y - y1) * (x2 - x1) / (y2 - y1) THEN 1 ELSE 0 END), 0) % 2 = 1 AS odd,
       min(sqrt(pow(x - (x1 + {u} * (x2 - x1)), 2) + pow(y - (y1 + {u} * (y2 - y1)), 2))) AS dist
@@ -270,9 +270,8 @@ valued AS (SELECT *, price AS precio_anunciado, CASE WHEN NOT valido THEN array_
 
 LISTINGS = f"listings AS ({d.LISTINGS_SQL})"
 NATIVE = f"WITH {LISTINGS}, {native()}"
-DOUBLES = {"precio_estimado_base", "indice_venta", "precio_estimado", "factor_renta_mensual", "renta_mensual_estimada",
-           "anunciado_sobre_estimado", "precio_anunciado", "precio_comparacion", "brecha_pct", "factor_escenario",
-           "DISTANCE_TO_CITY_CENTER", "DISTANCE_TO_METRO", "DISTANCE_TO_CASTELLANA", *AREA_FEATURES}
+# Distances come from library sines; everything else is the same arithmetic in both engines.
+DOUBLES = {"DISTANCE_TO_CITY_CENTER", "DISTANCE_TO_METRO", "DISTANCE_TO_CASTELLANA"}
 
 
 def rounded(columns: list[str], prefix: str = "") -> str:
@@ -393,10 +392,10 @@ def results_sql(scope: str = "batch_id") -> str:
     m = d.META
     return f"""WITH {batch(scope)}
 SELECT row_id, codigo AS propertyCode, 'ok' AS estado, {q(m.model_id)} AS model_id, {m.ano_precio} AS ano_ajuste,
-  round(indice_venta, 6) AS factor_escenario, round(precio_estimado_base, 6) AS precio_estimado_base,
-  round(precio_estimado, 6) AS precio_estimado, round(precio_anunciado, 6) AS precio_anunciado, operation,
-  round(precio_comparacion, 6) AS precio_comparacion, CASE WHEN operation = 'rent' THEN 'EUR/mes' ELSE 'EUR' END AS unidad_comparacion,
-  round((precio_anunciado / precio_comparacion - 1) * 100, 6) AS brecha_pct, barrio_code, distrito_code,
-  round(renta_mensual_estimada, 6) AS renta_mensual_estimada, round(factor_renta_mensual, 6) AS factor_renta_mensual,
+  indice_venta AS factor_escenario, precio_estimado_base AS precio_estimado_base,
+  precio_estimado AS precio_estimado, precio_anunciado AS precio_anunciado, operation,
+  precio_comparacion AS precio_comparacion, CASE WHEN operation = 'rent' THEN 'EUR/mes' ELSE 'EUR' END AS unidad_comparacion,
+  (precio_anunciado / precio_comparacion - 1) * 100 AS brecha_pct, barrio_code, distrito_code,
+  renta_mensual_estimada AS renta_mensual_estimada, factor_renta_mensual AS factor_renta_mensual,
   barrio_rescatado, planta_imputada, ascensor_desde_descripcion, sin_descripcion, obra_nueva, fuera_de_rango
 FROM outcome WHERE estado IS NULL"""

@@ -1,15 +1,14 @@
 """Every registered query with its DuckDB counterpart."""
 from __future__ import annotations
 
-import json
-import os
 import uuid
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..fixed_values import AMENITY_RULES, AREA_FEATURES, MODEL_FEATURES, NATIVE_COLUMNS, TEXT_AMENITIES
-from ..functions.amenities import (DEFAULT_RULES, amenity_flags, amenity_matches, evidence, extract_amenities,
+from ..functions.amenities import (DEFAULT_RULES, amenity_flags, amenity_matches, extract_amenities,
                                    is_mentioned, rule_book)
 from ..functions.geo import project_utm
 from ..functions.numeric import coerce_numeric, parse_floor
@@ -17,19 +16,19 @@ from ..functions.text import normalize_text
 from ..operators import coverage, manifest, profile
 from ..operators.areas import assign_area, index_areas
 from ..operators.duplicates import mark_duplicates
+from ..operators.lookup import look_up
 from ..operators.poi import nearest_poi
 from ..operators.reconcile import compare_results, reconcile
 from ..operators.trees import score_trees, tree_check
 from ..plans import batch, contract
 from ..plans.domain import domain_conditions, names_where, needs_work, occupied, out_of_range
-from ..plans.features import TEXT, attach_area_features, build_features, is_kind, model_matrix, own_features, prepare
+from ..plans.features import build_features, own_features, prepare
 from ..plans.native import value_features, value_native, with_reasons
-from ..plans.pricing import attach_index, base_price
 from ..session import checkpoint_dir
 from ..sources import driver_tables as d
 from ..sources.listings import (FIELDS, column_name, flatten, from_raw, parse_values, read_raw, unwrap_envelopes,
                                 with_expected_columns)
-from ..sources.sinks import json_rows
+from ..sources.reference import References
 from ..streaming.valuation import read_stream_output, value_stream
 from . import oracle as o
 
@@ -51,17 +50,23 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if c in o.DOUBLES else F.col(c) for c in (columns or df.columns)])
 
 
+@lru_cache(maxsize=4)
+def references(spark: SparkSession, sf_dir: str) -> References:
+    """A package is loaded and indexed once per session and folder."""
+    return d.references(spark, sf_dir)
+
+
 def _native(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
-    return value_native(d.listings(spark, sf_dir), d.references(spark, sf_dir), **kw)
+    return value_native(d.listings(spark, sf_dir), references(spark, sf_dir), **kw)
 
 
 def _valued(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs = d.references(spark, sf_dir)
+    refs = references(spark, sf_dir)
     return value_features(build_features(d.listings(spark, sf_dir), refs), refs)
 
 
 def _outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batch.value_batch(d.raw_listings(spark, sf_dir), d.references(spark, sf_dir))
+    return batch.value_batch(d.raw_listings(spark, sf_dir), references(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- sources and shapes
@@ -163,7 +168,7 @@ def structured_flags(spark, sf_dir):
 @register(f"WITH {o.DOC_TEXTS} SELECT id AS doc_id, t, length(t) AS largo FROM doc_texts", name="normalize_text")
 def normalized_documents(spark, sf_dir):
     return d.described_documents(spark, sf_dir).select("doc_id", normalize_text(F.col("description")).alias("t")).select(
-        "doc_id", "t", F.char_length("t").alias("largo"))
+        "doc_id", "t", F.char_length("t").cast("long").alias("largo"))
 
 
 def _doc_matches(df: DataFrame, rules) -> DataFrame:
@@ -196,7 +201,7 @@ def amenity_states(spark, sf_dir):
     """State, conflict, evidence and discards per document and amenity."""
     out = extract_amenities(d.described_documents(spark, sf_dir))
     joined = F.array_join(F.transform("e.descartes", lambda x: F.concat(x["motivo"], F.lit(":"), x["fragmento"])), "|")
-    return (out.select("doc_id", F.explode("amenidades").alias("feature", "e"))
+    return (out.select("doc_id", F.explode_outer("amenidades").alias("feature", "e"))
             .select("doc_id", "feature", "e.estado", "e.conflicto", "e.evidencia", "e.negacion", joined.alias("descartes")))
 
 
@@ -264,18 +269,17 @@ _DISTANCE_SQL = f"""{o.NATIVE} SELECT row_id, {o.rounded(_DISTANCES)} FROM dista
 @register(_DISTANCE_SQL, name="nearest_poi")
 def poi_distances(spark, sf_dir):
     """Distance to the centre and to the nearest point of each type."""
-    refs = d.references(spark, sf_dir)
+    refs = references(spark, sf_dir)
     return rounded(nearest_poi(d.listings(spark, sf_dir).select("row_id", "latitude", "longitude"), refs.points),
                    "row_id", *_DISTANCES)
 
 
-@register(f"""{o.NATIVE} SELECT row_id, barrio_code, {o.rounded(AREA_FEATURES)}, round(indice_venta, 6) AS indice_venta,
-  round(factor_renta_mensual, 6) AS factor_renta_mensual FROM assigned LEFT JOIN area_table USING (barrio_code) LEFT JOIN indices USING (distrito_code)""")
+@register(f"""{o.NATIVE} SELECT row_id, barrio_code, {o.rounded(AREA_FEATURES)}, indice_venta, factor_renta_mensual FROM assigned LEFT JOIN area_table USING (barrio_code) LEFT JOIN indices USING (distrito_code)""")
 def area_and_district_lookups(spark, sf_dir):
     """Area features and district indices by code."""
-    refs = d.references(spark, sf_dir)
+    refs = references(spark, sf_dir)
     located = assign_area(d.listings(spark, sf_dir).select("batch_id", "row_id", "latitude", "longitude"), refs.areas)
-    out = attach_index(attach_area_features(located, refs.area_features), refs.district_index)
+    out = look_up(look_up(located, refs.area_table), refs.index_table)
     return rounded(out, "row_id", "barrio_code", *AREA_FEATURES, "indice_venta", "factor_renta_mensual")
 
 
@@ -284,7 +288,7 @@ def area_and_district_lookups(spark, sf_dir):
   ascensor_desde_descripcion, sin_descripcion, obra_nueva FROM lifted""", name="build_features")
 def listing_features(spark, sf_dir):
     """The model matrix, with the context marks."""
-    refs = d.references(spark, sf_dir)
+    refs = references(spark, sf_dir)
     out = build_features(d.listings(spark, sf_dir), refs)
     x = [F.round(c, 6).alias(f"x_{c}") if c in o.DOUBLES else F.col(c).alias(f"x_{c}") for c in refs.meta.columnas]
     return out.select("row_id", *x, "barrio_rescatado", "planta_imputada", "ascensor_desde_descripcion",
@@ -294,7 +298,7 @@ def listing_features(spark, sf_dir):
 @register(f"{o.NATIVE} SELECT row_id, valido, motivo_no_valido FROM valued")
 def native_reasons(spark, sf_dir):
     """Every reason for abstaining, in order."""
-    refs = d.references(spark, sf_dir)
+    refs = references(spark, sf_dir)
     out = with_reasons(build_features(d.listings(spark, sf_dir), refs), refs)
     return out.select("row_id", "valido", F.when(~F.col("valido"), F.concat_ws(";", "motivos")).alias("motivo_no_valido"))
 
@@ -310,7 +314,7 @@ def domain_reasons(spark, sf_dir):
 
 @register(f"{o.NATIVE} SELECT row_id, fuera_de_rango FROM reasoned", name="out_of_range")
 def out_of_range_marks(spark, sf_dir):
-    refs = d.references(spark, sf_dir)
+    refs = references(spark, sf_dir)
     out = build_features(d.listings(spark, sf_dir), refs)
     return out.select("row_id", out_of_range(refs.meta.columnas, refs.meta.rangos_train).alias("fuera_de_rango"))
 
@@ -328,7 +332,7 @@ def training_profile(spark, sf_dir):
 
 
 def _scored(spark, sf_dir, **kw) -> DataFrame:
-    refs = d.references(spark, sf_dir)
+    refs = references(spark, sf_dir)
     out = with_reasons(build_features(d.listings(spark, sf_dir), refs), refs)
     return score_trees(out, refs.model, "puntuacion", where=F.col("valido"), **kw).select(
         "row_id", F.round(F.col("puntuacion").cast("double"), 6).alias("puntuacion"))
@@ -359,19 +363,19 @@ _SIMPLE = ["valido", "precio_estimado_base", "indice_venta", "precio_estimado",
 
 
 @register(f"""{o.NATIVE} SELECT distrito_code, operation, count(*) AS anuncios, count(*) FILTER (WHERE valido) AS validos,
-  count(precio_estimado) AS valorados, round(max(precio_estimado), 4) AS maximo, round(min(precio_estimado), 4) AS minimo,
-  round(max(renta_mensual_estimada), 4) AS renta_maxima FROM valued GROUP BY distrito_code, operation""")
+  count(precio_estimado) AS valorados, max(precio_estimado) AS maximo, min(precio_estimado) AS minimo,
+  max(renta_mensual_estimada) AS renta_maxima FROM valued GROUP BY distrito_code, operation""")
 def value_by_district(spark, sf_dir):
     """Valuation summarised by district and operation."""
     return _valued(spark, sf_dir).groupBy("distrito_code", "operation").agg(
         F.count("*").alias("anuncios"), F.count_if("valido").alias("validos"), F.count("precio_estimado").alias("valorados"),
-        F.round(F.max("precio_estimado"), 4).alias("maximo"), F.round(F.min("precio_estimado"), 4).alias("minimo"),
-        F.round(F.max("renta_mensual_estimada"), 4).alias("renta_maxima"))
+        F.max("precio_estimado").alias("maximo"), F.min("precio_estimado").alias("minimo"),
+        F.max("renta_mensual_estimada").alias("renta_maxima"))
 
 
 @register(f"""{o.NATIVE} SELECT motivo, count(*) AS anuncios FROM (SELECT unnest(motivos) AS motivo FROM reasoned) GROUP BY motivo""")
 def reason_breakdown(spark, sf_dir):
-    refs = d.references(spark, sf_dir)
+    refs = references(spark, sf_dir)
     return profile.reason_breakdown(with_reasons(build_features(d.listings(spark, sf_dir), refs), refs))
 
 
@@ -390,14 +394,14 @@ def price_invariance(spark, sf_dir):
     three = rows.select("*", variants).withColumns({
         "price": F.when(F.col("variante") == 1, F.col("price") * 2).when(F.col("variante") == 0, F.col("price")),
         "newDevelopment": F.when(F.col("variante") == 1, True).when(F.col("variante") == 0, F.col("newDevelopment"))})
-    out = value_native(three, d.references(spark, sf_dir))
+    out = value_native(three, references(spark, sf_dir))
     return profile.estimate_invariance(out, ["row_id"])
 
 
-@register("SELECT 10 AS trees, 70 AS nodes, 40 AS leaves, '' AS unknown_features, count(*) AS anuncios FROM orders", name="tree_check")
+@register("SELECT CAST(10 AS BIGINT) AS trees, CAST(70 AS BIGINT) AS nodes, CAST(40 AS BIGINT) AS leaves, '' AS unknown_features, count(*) AS anuncios FROM orders", name="tree_check")
 def model_check(spark, sf_dir):
     """Model and metadata agree, stamped on the number of listings it will score."""
-    refs = d.references(spark, sf_dir)
+    refs = references(spark, sf_dir)
     n = d.listings(spark, sf_dir).agg(F.count("*").alias("anuncios"))
     return tree_check(refs.model, refs.meta.columnas).withColumn("uno", F.lit(1)).join(
         n.withColumn("uno", F.lit(1)), "uno").drop("uno")
@@ -496,7 +500,7 @@ def reconciliation(spark, sf_dir):
 @register()
 def coverage_set(spark, sf_dir):
     """One listing inside every polygon and the edge cases, valued natively."""
-    refs = d.references(spark, sf_dir)
+    refs = references(spark, sf_dir)
     rows = coverage.coverage_set(refs.edges)
     return rounded(value_native(rows, refs), "row_id", "propertyCode", "valido", "motivo_no_valido", "barrio_code", "barrio_rescatado")
 
@@ -539,7 +543,7 @@ def value_stream_results(spark, sf_dir):
     """Listings arriving as JSON lines, valued by the stream, each micro-batch its own duplicate scope."""
     base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     d.raw_texts(spark, sf_dir).select("value").write.text(f"{base}/in")
-    refs = d.references(spark, sf_dir)
+    refs = references(spark, sf_dir)
     value_stream(spark, f"{base}/in", refs, f"{base}/out", f"{base}/state").awaitTermination()
     rows, _ = read_stream_output(spark, f"{base}/out", refs)
     return _flat_results(rows).drop("row_id")

@@ -117,28 +117,33 @@ def amenity_matches(t: Column, rules: list[TextRule]) -> Column:
     return F.concat(*[one(r) for r in rules]) if len(rules) > 1 else one(rules[0])
 
 
-def evidence(t: Column, matches: Column) -> Column:
+def evidence(t: Column, counted: Column, negated: Column, discards: Column) -> Column:
     """State, conflict, first evidence, first negation and discards of one feature."""
-    counted = F.filter(matches, lambda m: m["motivo"].isNull())
-    negated = F.filter(matches, lambda m: m["motivo"] == "negacion")
-    discards = F.filter(matches, lambda m: m["motivo"] != "negacion")
     state = (F.when(is_blank(t), "sin_descripcion").when(F.size(counted) > 0, "mencionado")
              .when(F.size(negated) > 0, "negado").otherwise("sin_mencion"))
     return F.struct(state.alias("estado"),
                     ((F.size(counted) > 0) & (F.size(negated) > 0)).alias("conflicto"),
-                    F.get(counted, F.lit(0))["fragmento"].alias("evidencia"),
-                    F.get(negated, F.lit(0))["fragmento"].alias("negacion"),
+                    F.get(counted, F.lit(0)).alias("evidencia"), F.get(negated, F.lit(0)).alias("negacion"),
                     discards.alias("descartes"))
 
 
 def extract_amenities(df: DataFrame, column: str = "description", rules: RuleBook = DEFAULT_RULES,
                       output: str = "amenidades") -> DataFrame:
-    """Add a map feature -> evidence struct."""
-    names = {f: f"__m_{i}" for i, f in enumerate(rules)}
-    matched = (df.withColumn("__t", normalize_text(F.col(column)))
-               .withColumns({m: amenity_matches(F.col("__t"), rules[f]) for f, m in names.items()}))
-    pairs = [x for f, m in names.items() for x in (F.lit(f), evidence(F.col("__t"), F.col(m)))]
-    return matched.withColumn(output, F.create_map(*pairs)).drop("__t", *names.values())
+    """Add a map feature -> evidence struct, built in steps so that every array is computed once."""
+    n = range(len(rules))
+    out = (df.withColumn("__t", normalize_text(F.col(column)))
+           .withColumns({f"__m{i}": amenity_matches(F.col("__t"), r) for i, r in enumerate(rules.values())}))
+    parts = {}
+    for i in n:
+        found = F.col(f"__m{i}")
+        parts[f"__c{i}"] = F.transform(F.filter(found, lambda m: m["motivo"].isNull()), lambda m: m["fragmento"])
+        parts[f"__n{i}"] = F.transform(F.filter(found, lambda m: m["motivo"] == "negacion"), lambda m: m["fragmento"])
+        parts[f"__d{i}"] = F.filter(found, lambda m: m["motivo"] != "negacion")
+    out = out.withColumns(parts)
+    pairs = [x for i, f in enumerate(rules) for x in (F.lit(f), evidence(
+        F.col("__t"), F.col(f"__c{i}"), F.col(f"__n{i}"), F.col(f"__d{i}")))]
+    return out.withColumn(output, F.create_map(*pairs)).drop(
+        "__t", *[f"__{k}{i}" for k in "mcnd" for i in n])
 
 
 def amenity_flags(df: DataFrame, column: str = "description", rules: RuleBook = DEFAULT_RULES) -> DataFrame:

@@ -27,12 +27,12 @@ MAX_MERIDIAN_DEGREES = 80.0
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle distance in kilometres."""
+    """Great-circle distance in kilometres; rounding past the antipode counts as the antipode."""
     a, b = F.radians(lat1), F.radians(lat2)
     half_lat = F.sin((b - a) / 2)
     half_lon = F.sin((F.radians(lon2) - F.radians(lon1)) / 2)
     h = half_lat * half_lat + F.cos(a) * F.cos(b) * half_lon * half_lon
-    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    return F.lit(2 * EARTH_RADIUS_KM) * F.nanvl(F.asin(F.sqrt(h)), F.lit(math.pi / 2))
 
 
 def usable_coordinates(lat: Column, lon: Column) -> Column:

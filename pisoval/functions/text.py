@@ -51,7 +51,8 @@ def _longer_class() -> str:
 
 def _expand(c: Column) -> Column:
     """Replace the characters that become several, looking up only those characters."""
-    table = F.create_map(*[F.lit(x) for pair in _ascii_tables()[2].items() for x in pair])
+    longer = _ascii_tables()[2]
+    table = F.map_from_arrays(F.split(F.lit("\x01".join(longer)), "\x01"), F.split(F.lit("\x01".join(longer.values())), "\x01"))
     pieces = F.split(c, _longer_class(), -1)
     found = F.regexp_extract_all(c, F.lit(_longer_class()), F.lit(0))
     joined = F.zip_with(pieces, found, lambda p, f: F.concat(p, F.coalesce(F.try_element_at(table, f), F.lit(""))))

@@ -30,8 +30,8 @@ def edge_cells(edges: DataFrame, max_m: float = RESCUE_METRES, cell_m: float = C
     low_x, high_x, low_y, high_y = (F.least("x1", "x2"), F.greatest("x1", "x2"),
                                     F.least("y1", "y2"), F.greatest("y1", "y2"))
     in_ray_rows = F.col("cy").between(_cell(low_y, cell_m), _cell(high_y, cell_m))
-    near_x = _cell(low_x - max_m, cell_m)
-    first = F.when(in_ray_rows, F.least(_cell(F.col("west"), cell_m), near_x)).otherwise(near_x)
+    # Every cell that may hold another edge of the area needs the edges its rays cross.
+    first = F.when(in_ray_rows, _cell(F.col("west") - max_m, cell_m)).otherwise(_cell(low_x - max_m, cell_m))
     return (edges.join(west, "area_code")
             .withColumn("cy", F.explode(F.sequence(_cell(low_y - max_m, cell_m), _cell(high_y + max_m, cell_m))))
             .withColumn("cx", F.explode(F.sequence(first, _cell(high_x + max_m, cell_m))))
@@ -102,7 +102,9 @@ def _by_shuffle(df: DataFrame, index: AreaIndex) -> DataFrame:
     and a point shared by many listings is worked on once.
     """
     all_salts = F.explode(F.sequence(F.lit(0), F.lit(index.salts - 1)))
-    points = _with_cells(df.select("latitude", "longitude").distinct(), index.cell_m).filter(F.col("cx").isNotNull())
+    # Cells pass through the grouping, so that conditions on them are not expanded into the projection formula.
+    points = (_with_cells(df.select("latitude", "longitude"), index.cell_m).groupBy("latitude", "longitude")
+              .agg(*[F.max(c).alias(c) for c in ("__x", "__y", "cx", "cy")]))
     points = points.withColumn("__salt", row_salt(points, index.salts))
     x, y = F.col("__x"), F.col("__y")
     per_area = (points.join(index.cells.withColumn("__salt", all_salts).hint("shuffle_merge"), ["cx", "cy", "__salt"])

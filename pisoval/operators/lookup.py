@@ -1,6 +1,8 @@
 """Left lookups that broadcast only what has been measured, and salt the rest."""
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 ROW_KEY = ["batch_id", "row_id"]
@@ -20,16 +22,34 @@ def row_salt(df: DataFrame, salts: int) -> Column:
     return F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in keys]), F.lit(salts)).cast("int")
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: list[str], max_rows: int = BROADCAST_ROWS,
-           salts: int = SALTS) -> DataFrame:
-    """Left join to a table with unique keys.
+@dataclass(frozen=True)
+class LookupTable:
+    """A table with unique keys and what its measured size allows."""
+    rows: DataFrame
+    keys: list[str]
+    broadcast: bool
+
+
+def measure(rows: DataFrame, keys: list[str], max_rows: int = BROADCAST_ROWS) -> LookupTable:
+    """Measure a table once, for any number of lookups."""
+    return LookupTable(rows, keys, fits(rows, max_rows))
+
 
-    Within `max_rows` the table is broadcast.  Beyond, both sides shuffle on the
+def look_up(left: DataFrame, table: LookupTable, salts: int = SALTS) -> DataFrame:
+    """Left join to a measured table.
+
+    Within the bound the table is broadcast.  Beyond, both sides shuffle on the
     key plus a salt, the table copied once per salt, so that no key's rows meet
     in one task.
     """
-    if fits(right, max_rows):
-        return left.join(F.broadcast(right), keys, "left")
-    spread = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    if table.broadcast:
+        return left.join(F.broadcast(table.rows), table.keys, "left")
+    spread = table.rows.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return (left.withColumn("__salt", row_salt(left, salts))
-            .join(spread.hint("shuffle_merge"), [*keys, "__salt"], "left").drop("__salt"))
+            .join(spread.hint("shuffle_merge"), [*table.keys, "__salt"], "left").drop("__salt"))
+
+
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], max_rows: int = BROADCAST_ROWS,
+           salts: int = SALTS) -> DataFrame:
+    """`measure` and `look_up` in one, for a table used once."""
+    return look_up(left, measure(right, keys, max_rows), salts)

@@ -1,7 +1,7 @@
 """Scoring a boosted-tree ensemble held as a table of nodes."""
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -118,7 +118,7 @@ class _Forest:
         self.right = table(np.where(split, nodes["right"].fillna(0), own), np.int32)
         self.feature = table(nodes["feature"].map(order).fillna(0), np.int32)
         self.threshold = table(nodes["threshold"].fillna(0), np.float32)
-        self.default_left = table(nodes["default_left"].fillna(False).astype(bool), bool)
+        self.default_left = table(nodes["default_left"].eq(True), bool)
         self.leaf = table(nodes["leaf"].fillna(0), np.float32)
         self.depths = [self._depth(i) for i in range(len(codes))]
 
@@ -162,24 +162,38 @@ def _arrow_pass(spark: SparkSession, nodes: pd.DataFrame, features: list[str]):
     return add_trees
 
 
-def score_trees(df: DataFrame, model: TreeModel, output: str = "score", where: Column | None = None,
-                expression_nodes: int = EXPRESSION_NODES, nodes_per_pass: int = NODES_PER_PASS) -> DataFrame:
-    """Add the FLOAT ensemble score; rows failing `where` get NULL and are not walked.
+Scorer = Callable[[DataFrame, str, Column], DataFrame]
+
 
-    Small ensembles stay inside code generation.  Larger ones go through Arrow
-    batches with the nodes broadcast, in as many passes of bounded size as the
-    ensemble needs; the running single-precision sum keeps tree order.
+def prepare_scorer(model: TreeModel, expression_nodes: int = EXPRESSION_NODES,
+                   nodes_per_pass: int = NODES_PER_PASS) -> Scorer:
+    """Measure the ensemble once and choose how to score it.
+
+    The scorer adds the FLOAT score; rows failing the condition get NULL and are
+    not walked.  Small ensembles stay inside code generation.  Larger ones go
+    through Arrow batches with the nodes broadcast, in as many passes of bounded
+    size as the ensemble needs; the running single-precision sum keeps tree order.
     """
-    wanted = F.lit(True) if where is None else where
     if fits(model.nodes, expression_nodes):
-        rows = model.nodes.collect()
-        return df.withColumn(output, F.when(wanted, _score_expression(rows, model.base_score)))
-    sizes = (model.nodes.groupBy("tree").agg(F.count("*").alias("n")).orderBy("tree").toPandas())
-    groups = (sizes["n"].cumsum() // nodes_per_pass)
-    out = df.withColumns({"__wanted": wanted, output: F.lit(model.base_score).cast("float")})
-    for _, part in sizes.groupby(groups):
+        total = _score_expression(model.nodes.collect(), model.base_score)
+        return lambda df, output, wanted: df.withColumn(output, F.when(wanted, total))
+    sizes = model.nodes.groupBy("tree").agg(F.count("*").alias("n")).orderBy("tree").toPandas()
+    passes = []
+    for _, part in sizes.groupby(sizes["n"].cumsum() // nodes_per_pass):
         nodes = model.nodes.filter(F.col("tree").between(int(part["tree"].min()), int(part["tree"].max()))).toPandas()
-        add = _arrow_pass(df.sparkSession, nodes, model.features)
-        out = out.withColumn(output, add(F.col(output), F.col("__wanted"),
-                                         *[F.col(f).cast("float") for f in model.features]))
-    return out.withColumn(output, F.when(F.col("__wanted"), F.col(output))).drop("__wanted")
+        passes.append(_arrow_pass(model.nodes.sparkSession, nodes, model.features))
+
+    def by_arrow(df: DataFrame, output: str, wanted: Column) -> DataFrame:
+        out = df.withColumns({"__wanted": wanted, output: F.lit(model.base_score).cast("float")})
+        for add in passes:
+            out = out.withColumn(output, add(F.col(output), F.col("__wanted"),
+                                             *[F.col(f).cast("float") for f in model.features]))
+        return out.withColumn(output, F.when(F.col("__wanted"), F.col(output))).drop("__wanted")
+
+    return by_arrow
+
+
+def score_trees(df: DataFrame, model: TreeModel, output: str = "score", where: Column | None = None,
+                **bounds: int) -> DataFrame:
+    """Score a frame once; `prepare_scorer` serves repeated use."""
+    return prepare_scorer(model, **bounds)(df, output, F.lit(True) if where is None else where)

@@ -3,12 +3,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..fixed_values import AREA_FEATURES, TEXT_AMENITIES
+from ..fixed_values import TEXT_AMENITIES
 from ..functions.amenities import DEFAULT_RULES, RuleBook, is_blank, is_mentioned
 from ..functions.numeric import nan_to_null, parse_floor
 from ..functions.text import normalize_text
 from ..operators.areas import assign_area
-from ..operators.lookup import lookup
+from ..operators.lookup import look_up
 from ..operators.poi import nearest_poi
 from ..sources.listings import canonical
 from ..sources.reference import References
@@ -55,12 +55,6 @@ def check_columns(df: DataFrame, columns: list[str]) -> None:
         raise ValueError(f"model columns not built: {missing}")
 
 
-def attach_area_features(df: DataFrame, table: DataFrame) -> DataFrame:
-    """Area features by `barrio_code`."""
-    return lookup(df, table.select("barrio_code", *[nan_to_null(F.col(c)).alias(c) for c in AREA_FEATURES]),
-                  ["barrio_code"])
-
-
 def build_features(df: DataFrame, refs: References, rules: RuleBook = DEFAULT_RULES) -> DataFrame:
     """All model columns and context marks added to the listings."""
     out = prepare(df)
@@ -68,7 +62,7 @@ def build_features(df: DataFrame, refs: References, rules: RuleBook = DEFAULT_RU
     built = own_features(refs.meta.mediana_planta_train, rules)
     keep = [F.col(c) for c in out.columns if c != "hasLift"]
     out = out.select(*keep, *[c.alias(n) for n, c in built.items()])
-    out = attach_area_features(assign_area(nearest_poi(out, refs.points), refs.areas), refs.area_features)
+    out = look_up(assign_area(nearest_poi(out, refs.points), refs.areas), refs.area_table)
     out = out.withColumn("sin_barrio", F.col("barrio_code").isNull())
     check_columns(out, refs.meta.columnas)
     return out

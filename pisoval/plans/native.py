@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 from ..fixed_values import NATIVE_COLUMNS
 from ..functions.amenities import DEFAULT_RULES, RuleBook
 from ..operators.lookup import ROW_KEY
-from ..operators.trees import score_trees
 from ..sources.reference import References
 from .domain import names_where, native_conditions, out_of_range
 from .features import TEXT, build_features
@@ -26,10 +25,10 @@ def value_features(df: DataFrame, refs: References) -> DataFrame:
     """Reasons, score and prices over built features; all intermediate columns stay."""
     meta = refs.meta
     out = with_reasons(df, refs).withColumn("fuera_de_rango", out_of_range(meta.columnas, meta.rangos_train)).drop(TEXT)
-    out = score_trees(out, refs.model, "score", where=F.col("valido"))
+    out = refs.scorer(out, "score", F.col("valido"))
     out = out.withColumns({"precio_estimado_base": base_price(F.col("score"), meta.smearing),
                            "precio_anunciado": F.col("price")})
-    out = apply_index(out, refs.district_index)
+    out = apply_index(out, refs.index_table)
     out = out.withColumns({"anunciado_sobre_estimado": announced_ratio(),
                            "motivo_no_valido": F.when(~F.col("valido"), F.concat_ws(";", "motivos"))})
     masked = {c: F.when(F.col("valido"), F.col(c)) for c in ESTIMATES}

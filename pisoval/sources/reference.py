@@ -6,10 +6,12 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..fixed_values import MODEL_FEATURES, RESCUE_METRES
+from ..fixed_values import AREA_FEATURES, MODEL_FEATURES, RESCUE_METRES
+from ..functions.numeric import nan_to_null
 from ..operators.areas import AreaIndex, index_areas
+from ..operators.lookup import LookupTable, measure
 from ..operators.poi import PoiIndex, index_pois
-from ..operators.trees import TreeModel, check_model, load_model
+from ..operators.trees import Scorer, TreeModel, check_model, load_model, prepare_scorer
 
 PACKAGE_VERSION = 3
 YEARS = ["ano_base", "ano_precio", "ano_renta"]
@@ -51,6 +53,20 @@ class References:
     def areas(self) -> AreaIndex:
         return index_areas(self.edges, self.max_m)
 
+    @cached_property
+    def area_table(self) -> LookupTable:
+        columns = [nan_to_null(F.col(c)).alias(c) for c in AREA_FEATURES]
+        return measure(self.area_features.select("barrio_code", *columns).persist(), ["barrio_code"])
+
+    @cached_property
+    def index_table(self) -> LookupTable:
+        columns = ["distrito_code", "indice_venta", "factor_renta_mensual"]
+        return measure(self.district_index.select(columns).persist(), ["distrito_code"])
+
+    @cached_property
+    def scorer(self) -> Scorer:
+        return prepare_scorer(self.model)
+
     @cached_property
     def points(self) -> PoiIndex:
         return index_pois(self.pois)
