@@ -1,6 +1,7 @@
 """Distance to the nearest point of interest of each type."""
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -12,17 +13,24 @@ from .lookup import SALTS, fits, row_salt
 
 DISTANCES = {"DISTANCE_TO_METRO": POI_METRO, "DISTANCE_TO_CASTELLANA": POI_AVENUE}
 BROADCAST_POINTS = 5_000
-GRID_SIDE = 32
+GRID_SIDE = 40
 # Shuffled search: listings in cells of 0.005 degrees, points down to about ten metres.
 FINE_DEGREES = 0.005 / 64
 LISTING_LEVEL = 6
 TOP_LEVEL = 23
 
 
-def points_by_type(pois: DataFrame, kinds: list[str]) -> DataFrame:
-    """One row with one array of STRUCT<lat, lon> per type; for measured, small tables only."""
-    point = F.struct(F.col("Lat").alias("lat"), F.col("Lon").alias("lon"))
-    return pois.groupBy().pivot("tipo", kinds).agg(F.collect_list(point))
+def _unit(lat: Column, lon: Column) -> list[Column]:
+    """The point on the unit sphere, as x, y, z."""
+    a, b = F.radians(lat), F.radians(lon)
+    return [F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a)]
+
+
+def points_by_type(points: DataFrame, kinds: list[str]) -> DataFrame:
+    """One row with one array of STRUCT<lat, lon, x, y, z> per type; for measured, small tables only."""
+    xyz = [c.alias(n) for n, c in zip("xyz", _unit(F.col("Lat"), F.col("Lon")))]
+    point = F.struct(F.col("Lat").alias("lat"), F.col("Lon").alias("lon"), *xyz)
+    return points.groupBy().pivot("tipo", kinds).agg(F.collect_list(point))
 
 
 @dataclass(frozen=True)
@@ -35,7 +43,19 @@ class PoiIndex:
 
 
 def _min_distance(lat: Column, lon: Column, points: Column) -> Column:
-    return F.array_min(F.transform(points, lambda p: haversine_km(lat, lon, p["lat"], p["lon"])))
+    """Exact distance to the point with the shortest chord, which is also the nearest along the sphere."""
+    x, y, z = F.col("__ux"), F.col("__uy"), F.col("__uz")
+
+    def chord2(p: Column) -> Column:
+        dx, dy, dz = x - p["x"], y - p["y"], z - p["z"]
+        return dx * dx + dy * dy + dz * dz
+
+    best = F.array_min(F.transform(points, lambda p: F.struct(chord2(p).alias("c"), p["lat"].alias("lat"), p["lon"].alias("lon"))))
+    return haversine_km(lat, lon, best["lat"], best["lon"])
+
+
+def _with_unit(df: DataFrame) -> DataFrame:
+    return df.withColumns(dict(zip(("__ux", "__uy", "__uz"), _unit(F.col("latitude"), F.col("longitude")))))
 
 
 def index_pois(pois: DataFrame, max_points: int = BROADCAST_POINTS) -> PoiIndex:
@@ -53,7 +73,7 @@ def index_pois(pois: DataFrame, max_points: int = BROADCAST_POINTS) -> PoiIndex:
     b = points.agg(F.min("Lat"), F.max("Lat"), F.min("Lon"), F.max("Lon")).first()
     south, west = b[0] - 0.02, b[2] - 0.02
     high, wide = (b[1] - b[0] + 0.04) / GRID_SIDE, (b[3] - b[2] + 0.04) / GRID_SIDE
-    diameter = 1.01 * EARTH_RADIUS_KM * (high + wide) * 3.14159265358979 / 180
+    diameter = 1.01 * EARTH_RADIUS_KM * math.radians(math.hypot(high, wide))
     i, j = (F.col("id") / GRID_SIDE).cast("int"), (F.col("id") % GRID_SIDE).cast("int")
     lat, lon = south + (F.col("i") + 0.5) * high, west + (F.col("j") + 0.5) * wide
 
@@ -64,15 +84,14 @@ def index_pois(pois: DataFrame, max_points: int = BROADCAST_POINTS) -> PoiIndex:
     kinds = list(DISTANCES.values())
     ranked = grid.unionByName(outside).repartition(8).join(F.broadcast(all_points), "one").select(
         "i", "j", *[F.transform(F.col(k), lambda p: F.struct(haversine_km(lat, lon, p["lat"], p["lon"]).alias("d"),
-                                                             p["lat"].alias("lat"), p["lon"].alias("lon"))).alias(k)
-                      for k in kinds])
+                                                             p.alias("p"))).alias(k) for k in kinds])
     limits = ranked.select("*", *[F.when(F.col("i") >= 0, F.array_min(k)["d"] + diameter)
                                   .otherwise(float("inf")).alias(f"__limit_{k}") for k in kinds])
 
     def candidates(kind: str) -> Column:
         limit = F.col(f"__limit_{kind}")
         near = F.filter(F.col(kind), lambda p: p["d"] <= limit)
-        return F.transform(near, lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon")))
+        return F.transform(near, lambda p: p["p"])
 
     cells = limits.select("i", "j", *[candidates(k).alias(f"__{k}") for k in kinds])
     return PoiIndex(cells.persist(), (south, west, high, wide), points, center)
@@ -85,9 +104,9 @@ def _by_broadcast(df: DataFrame, index: PoiIndex) -> DataFrame:
     within = row.between(0, GRID_SIDE - 1) & col.between(0, GRID_SIDE - 1)
     # A missing coordinate has no cell and so no distance; a far one sees every point.
     keys = {"i": F.when(within, row).when(~within, -1).cast("int"), "j": F.when(within, col).when(~within, -1).cast("int")}
-    return (df.withColumns(keys).join(F.broadcast(index.cells), ["i", "j"], "left")
+    return (_with_unit(df.withColumns(keys)).join(F.broadcast(index.cells), ["i", "j"], "left")
             .withColumns({out: _min_distance(lat, lon, F.col(f"__{kind}")) for out, kind in DISTANCES.items()})
-            .drop("i", "j", *[f"__{kind}" for kind in DISTANCES.values()]))
+            .drop("i", "j", "__ux", "__uy", "__uz", *[f"__{kind}" for kind in DISTANCES.values()]))
 
 
 def _grid(c: Column, origin: float, level: int) -> Column:
@@ -99,7 +118,7 @@ def _middle(cell: Column, origin: float, level: int) -> Column:
 
 
 def _radius_km(level: int) -> float:
-    return 1.01 * EARTH_RADIUS_KM * (FINE_DEGREES * 2**level) * 3.14159265358979 / 180
+    return 1.01 * EARTH_RADIUS_KM * (FINE_DEGREES * 2**level) * math.pi / 180
 
 
 def candidate_cells(listings: DataFrame, points: DataFrame) -> DataFrame:
@@ -130,14 +149,15 @@ def _by_shuffle(df: DataFrame, index: PoiIndex, salts: int) -> DataFrame:
     lat, lon = F.col("latitude"), F.col("longitude")
     cells = {"li": _grid(lat, -90.0, LISTING_LEVEL), "lj": _grid(lon, -180.0, LISTING_LEVEL)}
     where = df.select("latitude", "longitude").filter(usable_coordinates(lat, lon)).distinct().withColumns(cells)
-    where = where.withColumn("__salt", row_salt(where, salts)).persist()
+    where = _with_unit(where.withColumn("__salt", row_salt(where, salts)))
     all_salts = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     out = df.withColumn("__salt", row_salt(df, salts))
     for name, kind in DISTANCES.items():
         points = (index.points.filter(F.col("tipo") == kind)
                   .withColumns({"pi": _grid(F.col("Lat"), -90.0, 0), "pj": _grid(F.col("Lon"), -180.0, 0)}))
-        boxes = (points.groupBy("pi", "pj").agg(F.collect_set(F.struct(F.col("Lat").alias("lat"), F.col("Lon").alias("lon")))
-                                                 .alias("near")))
+        xyz = [c.alias(n) for n, c in zip("xyz", _unit(F.col("Lat"), F.col("Lon")))]
+        boxes = points.groupBy("pi", "pj").agg(
+            F.collect_list(F.struct(F.col("Lat").alias("lat"), F.col("Lon").alias("lon"), *xyz)).alias("near"))
         reach = candidate_cells(where, points).join(boxes, ["pi", "pj"]).withColumn("__salt", all_salts)
         nearest = (where.join(reach.hint("shuffle_merge"), ["li", "lj", "__salt"])
                    .groupBy("latitude", "longitude").agg(F.min(_min_distance(lat, lon, F.col("near"))).alias(name))

@@ -66,27 +66,52 @@ def read_raw(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
         F.when(F.col("wrapped"), F.col("pos").cast("long")).otherwise(F.col("line")).alias("row_id"), "raw")
 
 
-def _typed_from_variant(field: str, kind: str) -> Column:
-    get = f"try_variant_get(raw, '$.{field}', '{{}}')"
-    found = F.schema_of_variant(F.expr(get.format("variant")))
-    text = F.expr(get.format("string"))
+NESTED = ["detailedType", "parkingSpace"]
+
+
+def value_of(path: str, kind: str) -> Column:
+    """An opened field as `kind`, NULL where it does not convert."""
+    return F.expr(f"try_variant_get(`__v_{path}`, '$', '{kind}')")
+
+
+def kind_of(path: str) -> Column:
+    """BIGINT, DECIMAL(..), DOUBLE, STRING, BOOLEAN, OBJECT<..>, ARRAY<..>; VOID for null and absent alike."""
+    return F.col(f"`__k_{path}`")
+
+
+def open_fields(df: DataFrame) -> DataFrame:
+    """Look every listing field up once: its VARIANT and its kind, for `value_of` and `kind_of`."""
+    found = {f"__v_{p}": F.expr(f"try_variant_get(raw, '$.{p}', 'variant')") for p in [*FIELDS, *NESTED]}
+    kinds = {f"__k_{p}": F.coalesce(F.schema_of_variant(f"`__v_{p}`"), F.lit("VOID")) for p in [*FIELDS, *NESTED]}
+    return df.withColumns(found).withColumns(kinds)
+
+
+def close_fields(df: DataFrame) -> DataFrame:
+    return df.drop(*[f"__{x}_{p}" for x in "vk" for p in [*FIELDS, *NESTED]])
+
+
+def _typed(field: str, kind: str) -> Column:
+    found, text = kind_of(field), value_of(field, "string")
     if kind == "string":
         return F.when(found == "STRING", text)
+    is_number = found.isin("BIGINT", "DOUBLE") | found.startswith("DECIMAL")
     if kind == "double":
-        number = F.expr(get.format("double"))
+        number = value_of(field, "double")
         return (F.when(found == "STRING", coerce_numeric(text, T.StringType()))
-                .when(found.isin("BIGINT", "DOUBLE", "BOOLEAN") | found.startswith("DECIMAL"),
-                      F.when(~F.isnan(number), number)))
+                .when(is_number | (found == "BOOLEAN"), F.when(~F.isnan(number), number)))
     # Truthiness, as loosely typed listings are read.
-    return (F.when(found == "BOOLEAN", F.expr(get.format("boolean")))
-            .when(found == "STRING", F.length(text) > 0)
-            .when(found.isin("BIGINT", "DOUBLE") | found.startswith("DECIMAL"), F.expr(get.format("double")) != 0))
+    return (F.when(found == "BOOLEAN", value_of(field, "boolean")).when(found == "STRING", F.length(text) > 0)
+            .when(is_number, value_of(field, "double") != 0))
+
+
+def typed_fields() -> dict[str, Column]:
+    """Typed listing columns from opened fields, leniently."""
+    return {column_name(f): _typed(f, k) for f, k in FIELDS.items()}
 
 
 def from_raw(df: DataFrame) -> DataFrame:
-    """Typed listing columns from VARIANT `raw`, leniently; other columns stay."""
-    others = [c for c in df.columns if c != "raw"]
-    return df.select(*others, *[_typed_from_variant(f, k).alias(column_name(f)) for f, k in FIELDS.items()])
+    """Typed listing columns from VARIANT `raw`; other columns stay."""
+    return close_fields(open_fields(df).withColumns(typed_fields())).drop("raw")
 
 
 def read_listings(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
