@@ -4,7 +4,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..fixed_values import EARTH_RADIUS_KM, POI_AVENUE, POI_CENTER, POI_METRO
 from ..functions.geo import haversine_km, usable_coordinates
@@ -17,7 +17,7 @@ GRID_SIDE = 40
 # Shuffled search: listings in cells of 0.005 degrees, points down to about ten metres.
 FINE_DEGREES = 0.005 / 64
 LISTING_LEVEL = 6
-TOP_LEVEL = 23
+TOP_LEVEL = 24
 
 
 def _unit(lat: Column, lon: Column) -> list[Column]:
@@ -124,20 +124,23 @@ def _radius_km(level: int) -> float:
 def candidate_cells(listings: DataFrame, points: DataFrame) -> DataFrame:
     """(li, lj, pi, pj): for each occupied listing cell, the point cells that can hold its nearest point.
 
-    Starts from one cell over the globe and halves it; at every level only point
+    Starts from one cell over the globe and quarters its sides; at every level only point
     cells whose least possible distance beats the best guaranteed one survive.
     """
     occupied = listings.select("li", "lj").distinct()
     pairs = occupied.withColumns({"pi": F.lit(0).cast("long"), "pj": F.lit(0).cast("long")})
-    for level in range(TOP_LEVEL - 1, -1, -1):
+    for level in range(TOP_LEVEL - 2, -1, -2):
         cells = points.select(F.shiftright("pi", level).alias("ci"), F.shiftright("pj", level).alias("cj")).distinct()
-        children = cells.withColumns({"pi": F.shiftright("ci", 1), "pj": F.shiftright("cj", 1)})
+        children = cells.withColumns({"pi": F.shiftright("ci", 2), "pj": F.shiftright("cj", 2)})
         spread = _radius_km(LISTING_LEVEL) + _radius_km(level)
         d = haversine_km(_middle(F.col("li"), -90.0, LISTING_LEVEL), _middle(F.col("lj"), -180.0, LISTING_LEVEL),
                          _middle(F.col("ci"), -90.0, level), _middle(F.col("cj"), -180.0, level))
-        measured = pairs.join(children, ["pi", "pj"]).select("li", "lj", "ci", "cj", d.alias("d"))
-        best = measured.groupBy("li", "lj").agg((F.min("d") + 2 * spread).alias("limit"))
-        pairs = (measured.join(best, ["li", "lj"]).filter(F.col("d") <= F.col("limit"))
+        # A listing cell keeps a ring of point cells, so this window holds few rows each.
+        least = F.min("d").over(Window.partitionBy("li", "lj"))
+        # High levels have few point cells for all listing cells, hence the salt.
+        pairs = (pairs.withColumn("__salt", F.pmod(F.xxhash64("li", "lj"), F.lit(8)))
+                 .join(children.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(7)))), ["pi", "pj", "__salt"]).select("li", "lj", "ci", "cj", d.alias("d"))
+                 .withColumn("least", least).filter(F.col("d") <= F.col("least") + 2 * spread)
                  .select("li", "lj", F.col("ci").alias("pi"), F.col("cj").alias("pj")))
         if level % 6 == 0:
             pairs = cut_lineage(pairs)
