@@ -538,7 +538,7 @@ def file_hashes(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- stream
-@register()
+@register(f"SELECT * EXCLUDE (row_id) FROM ({o.results_sql()})")
 def value_stream_results(spark, sf_dir):
     """Listings arriving as JSON lines, valued by the stream, each micro-batch its own duplicate scope."""
     base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
