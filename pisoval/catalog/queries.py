@@ -402,9 +402,10 @@ def price_invariance(spark, sf_dir):
 def model_check(spark, sf_dir):
     """Model and metadata agree, stamped on the number of listings it will score."""
     refs = references(spark, sf_dir)
+    check = tree_check(refs.model, refs.meta.columnas)
     n = d.listings(spark, sf_dir).agg(F.count("*").alias("anuncios"))
-    return tree_check(refs.model, refs.meta.columnas).withColumn("uno", F.lit(1)).join(
-        n.withColumn("uno", F.lit(1)), "uno").drop("uno")
+    both = check.unionByName(n, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 # ---------------------------------------------------------------- contract layer

@@ -71,20 +71,19 @@ def index_pois(pois: DataFrame, max_points: int = BROADCAST_POINTS) -> PoiIndex:
     if not fits(points, max_points):
         return PoiIndex(None, None, points.persist(), center)
     b = points.agg(F.min("Lat"), F.max("Lat"), F.min("Lon"), F.max("Lon")).first()
+    if b[0] is None:
+        b = (0.0, 0.0, 0.0, 0.0)
     south, west = b[0] - 0.02, b[2] - 0.02
     high, wide = (b[1] - b[0] + 0.04) / GRID_SIDE, (b[3] - b[2] + 0.04) / GRID_SIDE
     diameter = 1.01 * EARTH_RADIUS_KM * math.radians(math.hypot(high, wide))
-    i, j = (F.col("id") / GRID_SIDE).cast("int"), (F.col("id") % GRID_SIDE).cast("int")
     lat, lon = south + (F.col("i") + 0.5) * high, west + (F.col("j") + 0.5) * wide
-
-    spark = pois.sparkSession
-    grid = spark.range(GRID_SIDE * GRID_SIDE).select(i.alias("i"), j.alias("j"), F.lit(1).alias("one"))
-    outside = spark.range(1).select(F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(1).alias("one"))
-    all_points = points_by_type(points, list(DISTANCES.values())).withColumn("one", F.lit(1))
     kinds = list(DISTANCES.values())
-    ranked = grid.unionByName(outside).repartition(8).join(F.broadcast(all_points), "one").select(
-        "i", "j", *[F.transform(F.col(k), lambda p: F.struct(haversine_km(lat, lon, p["lat"], p["lon"]).alias("d"),
-                                                             p.alias("p"))).alias(k) for k in kinds])
+    # The one row of arrays fans out to grid rows, then to cells; row and column -1 stand for everywhere else.
+    last = F.lit(GRID_SIDE - 1)
+    grid = (points_by_type(points, kinds).withColumn("i", F.explode(F.sequence(F.lit(-1), last))).repartition(8, "i")
+            .withColumn("j", F.explode(F.when(F.col("i") < 0, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), last)))))
+    ranked = grid.select("i", "j", *[F.transform(F.col(k), lambda p: F.struct(
+        haversine_km(lat, lon, p["lat"], p["lon"]).alias("d"), p.alias("p"))).alias(k) for k in kinds])
     limits = ranked.select("*", *[F.when(F.col("i") >= 0, F.array_min(k)["d"] + diameter)
                                   .otherwise(float("inf")).alias(f"__limit_{k}") for k in kinds])
 
