@@ -9,8 +9,6 @@ from ..fixed_values import (ADMITTED_TYPES, AMENITY_RULES, AREA_FEATURES, DOMAIN
                             MSG_OBJECT, MSG_OBSERVED, MSG_SIZE, NATIVE_COLUMNS, OCCUPIED_CANCELLED, REASONS,
                             TEXT_AMENITIES, WARNING_PARKING, WARNING_RANGE, WORKS_CANCELLED, WORKS_NEEDED)
 from ..functions import geo
-from ..operators import coverage
-from ..plans.batch import RESULT
 from ..sources import driver_tables as d
 from ..sources.listings import FIELDS, column_name
 

@@ -5,11 +5,11 @@ import uuid
 from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..fixed_values import AMENITY_RULES, AREA_FEATURES, MODEL_FEATURES, NATIVE_COLUMNS, TEXT_AMENITIES
+from ..fixed_values import AMENITY_RULES, AREA_FEATURES, MODEL_FEATURES, NATIVE_COLUMNS
 from ..functions.amenities import (DEFAULT_RULES, amenity_flags, amenity_matches, extract_amenities,
-                                   is_mentioned, rule_book)
+                                   rule_book)
 from ..functions.geo import project_utm
 from ..functions.numeric import coerce_numeric, parse_floor
 from ..functions.text import normalize_text
@@ -21,12 +21,12 @@ from ..operators.poi import nearest_poi
 from ..operators.reconcile import compare_results, reconcile
 from ..operators.trees import score_trees, tree_check
 from ..plans import batch, contract
-from ..plans.domain import domain_conditions, names_where, needs_work, occupied, out_of_range
+from ..plans.domain import domain_conditions, needs_work, occupied, out_of_range
 from ..plans.features import build_features, own_features, prepare
 from ..plans.native import value_features, value_native, with_reasons
 from ..session import checkpoint_dir
 from ..sources import driver_tables as d
-from ..sources.listings import (FIELDS, column_name, flatten, from_raw, parse_values, read_raw, unwrap_envelopes,
+from ..sources.listings import (FIELDS, column_name, flatten, from_raw, parse_values, unwrap_envelopes,
                                 with_expected_columns)
 from ..sources.reference import References
 from ..streaming.valuation import read_stream_output, value_stream

@@ -84,15 +84,15 @@ def index_pois(pois: DataFrame, max_points: int = BROADCAST_POINTS) -> PoiIndex:
             .withColumn("j", F.explode(F.when(F.col("i") < 0, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), last)))))
     ranked = grid.select("i", "j", *[F.transform(F.col(k), lambda p: F.struct(
         haversine_km(lat, lon, p["lat"], p["lon"]).alias("d"), p.alias("p"))).alias(k) for k in kinds])
-    limits = ranked.select("*", *[F.when(F.col("i") >= 0, F.array_min(k)["d"] + diameter)
-                                  .otherwise(float("inf")).alias(f"__limit_{k}") for k in kinds])
 
     def candidates(kind: str) -> Column:
-        limit = F.col(f"__limit_{kind}")
-        near = F.filter(F.col(kind), lambda p: p["d"] <= limit)
-        return F.transform(near, lambda p: p["p"])
+        # The limit travels beside the array, so that the filter does not work it out again per point.
+        limit = F.when(F.col("i") >= 0, F.array_min(kind)["d"] + diameter).otherwise(float("inf"))
+        bound = F.array(F.struct(F.col(kind).alias("a"), limit.alias("m")))
+        kept = F.transform(bound, lambda s: F.transform(F.filter(s["a"], lambda p: p["d"] <= s["m"]), lambda p: p["p"]))
+        return F.get(kept, F.lit(0))
 
-    cells = limits.select("i", "j", *[candidates(k).alias(f"__{k}") for k in kinds])
+    cells = ranked.select("i", "j", *[candidates(k).alias(f"__{k}") for k in kinds])
     return PoiIndex(cells.persist(), (south, west, high, wide), points, center)
 
 

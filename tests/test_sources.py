@@ -10,7 +10,7 @@ from conftest import SF
 from oracle_check import TABLES, compare
 from pisoval.operators import manifest
 from pisoval.operators.reconcile import reconcile
-from pisoval.operators.trees import check_model, load_model, score_trees
+from pisoval.operators.trees import check_model, score_trees
 from pisoval.sources import driver_tables as d
 from pisoval.sources.listings import canonical, flatten, read_listings, read_raw
 from pisoval.sources.reference import read_metadata, read_references
