@@ -53,9 +53,9 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 22) ->
             at = to
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word in order, number of words of each text). A word is a run of bytes other than ASCII white space;
-    a null text has no words."""
+def word_hashes(texts: pa.Array, marks: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word in order, number of words of each text). A word is a run of bytes other than ASCII white space and
+    `marks`; a null text has no words."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
     n = int(offsets[-1] - offsets[0])
@@ -63,7 +63,9 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
     data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
     offsets = offsets - offsets[0]
-    word = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    between = np.zeros(256, bool)
+    between[[9, 10, 11, 12, 13, 32, *marks]] = True
+    word = ~between[data]
     first = np.zeros(n + 1, bool)
     first[offsets] = True
     starts = word.copy()
