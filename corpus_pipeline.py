@@ -5,6 +5,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pisoval.llm import sentence_pieces, toxicity
 from pisoval.llm.mixing import mixed_rows
 from pisoval.llm.near_text import near_duplicates, with_text_key
 from pisoval.session import checkpoint_dir
@@ -18,6 +19,12 @@ def _own_name(docs: DataFrame, name: str) -> str:
     return name
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity stays below 0.5. Null and empty texts stay; labels teach, and decide nothing by themselves."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).where("score < 0.5").select("row.*")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies: the smallest doc_id, and of rows that repeat it with the same text, one."""
     key, kept = _own_name(docs, "text_key"), near_duplicates(docs).where("kept").select(F.col("id").alias("kept_id"), F.col("text_key").alias("kept_key")).distinct()
@@ -31,7 +38,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed_rows(docs)
 
 
-STAGES = [("near_dedup", near_dedup), ("mix", mix)]
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row with its piece ids and their number."""
+    encoded = sentence_pieces.encode(docs)
+    return encoded.withColumn("n_tokens", F.size("token_ids").cast("long"))
+
+
+STAGES = [("drop_toxic", drop_toxic), ("near_dedup", near_dedup), ("mix", mix), ("tokenize", tokenize)]
 
 #: No SQL expresses the learned and sketching stages; tests hold each stage against a brute-force version.
 ORACLE_SQL = None

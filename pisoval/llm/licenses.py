@@ -74,7 +74,8 @@ class Library:
 
     def scan(self, values: np.ndarray, places: np.ndarray) -> list[tuple[str, int, int, float]]:
         """(template, first shingle, behind the last, containment) of every match in one text's shingles; matches of a template
-        that overlap are one, with the best containment. places: as occurrences() gives them."""
+        that overlap are one, with the best containment; where passages of two templates overlap, only the better one counts.
+        places: as occurrences() gives them."""
         found = []
         for n, templates in self.by_length.items():
             wide, stride = 2 * n, max(1, n // 4)
@@ -98,7 +99,7 @@ class Library:
                     else:
                         merged.append((a, b, share))
                 found += [(name, *m) for m in merged]
-        return sorted(found)
+        return sorted(m for m in found if not any(o[3] > m[3] and o[1] < m[2] and m[1] < o[2] for o in found))
 
 
 def scan_licenses(df: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,6 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import chat, html_text, licenses, sentence_pieces, toxicity
 from .mixing import mix_documents
 from .near_text import near_duplicates
 from .near_vectors import near_vectors
@@ -33,6 +34,30 @@ def op1_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@_query
+def op2_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learned from the labels of documents that aren't held out."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs, model).select("row.doc_id", "score")
+    return scored.select("doc_id", toxicity.in_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@_query
+def op3_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@_query
+def op4_chat_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one made of control strings, formatted and read back."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    tricky = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")],
+                                   "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_conversations(rows.union(tricky)))
+
+
 @_query
 def op5_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest by inner product of every vector whose vec_id 20 divides."""
@@ -61,3 +86,71 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_documents(docs)
     times = F.coalesce(F.size("takes"), F.lit(0))
     return mixed.select("row.doc_id", "size", "source_size", "target", F.when(F.col("takes").isNull(), 0).otherwise(F.col("size") * times).cast("long").alias("taken"))
+
+
+@_query
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license notice in every document."""
+    found = licenses.scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+@_query
+def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's piece ids, and whether they spell its text again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    back = sentence_pieces.decode(sentence_pieces.encode(docs))
+    return back.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
+#: Turns as the template writes them: marks, and a backslash for each control string and each backslash in a text.
+_MARKS = "['<<SYS>>','<</SYS>>','[INST]','[/INST]','<s>','</s>','<|role|>','<|text|>','<|end|>']"
+_LENGTH = ("length({0}) + length({0}) - length(replace({0}, chr(92), '')) + list_sum(list_transform(" + _MARKS +
+           ", lambda m: (length({0}) - length(replace({0}, m, ''))) // length(m)))")
+ORACLES["op4_chat_templates"] = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, t, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
+w AS (SELECT *, {_LENGTH.format('text')} AS written, CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7
+  ELSE 23 + {_LENGTH.format('role')} END AS marks FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(written + marks) AS BIGINT) AS formatted_chars
+FROM w GROUP BY conv_id"""
+
+ORACLES["op7_sorted_projections"] = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+ok AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN least ON least.a = vec_id LEFT JOIN n ON n.a = vec_id"""
+
+ORACLES["op8_source_mixing"] = r"""
+WITH d AS (SELECT doc_id, coalesce('s' || source, 'n') AS k, md5(coalesce(doc_id::VARCHAR, '~') || '|' || coalesce(text, '~')) AS d,
+  CAST(coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0) AS BIGINT) AS size FROM documents),
+cells AS (SELECT k, CAST('0x' || substr(d, 1, 3) AS INTEGER) AS cell, CAST(sum(size) AS BIGINT) AS words, count(*) AS docs FROM d GROUP BY 1, 2),
+sizes AS (SELECT k, CAST(sum(words) AS BIGINT) AS source_size, CAST(sum(docs) AS BIGINT) AS docs FROM cells GROUP BY k),
+weighed AS (SELECT *, 1 + (row_number() OVER (ORDER BY k = 'n', k) - 1) % 3 AS weight, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM sizes),
+filled AS (SELECT *, 3 * source_size / weight AS full_at FROM weighed),
+levels AS (SELECT *, (total - (CAST(sum(3 * source_size) OVER f AS BIGINT) - 3 * source_size)) / sum(weight) OVER (ORDER BY full_at, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM filled WINDOW f AS (ORDER BY full_at, k ROWS UNBOUNDED PRECEDING)),
+one AS (SELECT level FROM levels WHERE level <= full_at ORDER BY full_at, k LIMIT 1),
+targets AS (SELECT k, source_size, docs, total, least(source_size * 3.0::DOUBLE, (SELECT level FROM one) * weight) AS target FROM levels),
+passes AS (SELECT *, least(CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END, 3)::INTEGER AS passes FROM targets),
+sources AS (SELECT *, target - passes * source_size AS rest, pow(2, least(12, greatest(0, round(log2(4096.0::DOUBLE
+  * greatest(total / (64.0::DOUBLE * 16), 64.0::DOUBLE * source_size / docs, 1.0) / greatest(source_size, 1))))))::INTEGER AS run FROM passes),
+blocks AS (SELECT k, cell // run AS block, passes, rest, CAST(sum(words) AS BIGINT) AS words FROM cells JOIN sources USING (k) GROUP BY ALL),
+ranked AS (SELECT *, CAST(sum(words) OVER (PARTITION BY k ORDER BY md5(k || '|' || block || '|' || passes), block ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM blocks),
+drawn AS (SELECT *, upto <= rest AS whole, upto > rest AND upto - words < rest AS part, rest - (upto - words) AS left_ FROM ranked),
+docs AS (SELECT d.*, source_size, target, s.passes, whole, part, left_ FROM d JOIN sources s USING (k)
+  JOIN drawn b ON b.k = d.k AND b.block = CAST('0x' || substr(d, 1, 3) AS INTEGER) // s.run),
+tries AS (SELECT k, try, md5(d || '|' || try) AS h, size, left_ FROM docs, range(16) t(try) WHERE part),
+sums AS (SELECT k, try, h, left_, abs(CAST(sum(size) OVER (PARTITION BY k, try ORDER BY h) AS BIGINT) - left_) AS off FROM tries),
+cuts AS (SELECT k, min({'off': off, 'try': try, 'h': h}) AS c FROM sums WHERE off < left_ GROUP BY k)
+SELECT doc_id, size, source_size, target, CAST(size * (passes + CASE WHEN whole THEN 1 WHEN part AND md5(d || '|' || c.try) <= c.h THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM docs LEFT JOIN cuts USING (k)"""

@@ -47,12 +47,13 @@ class Codec:
         order = sorted(self.ids.values(), key=lambda i: (-scores[i], i))
         self.rank = {names[i]: r for r, i in enumerate(order)}
         self.longest = max(map(len, self.ids))
-        self.prefixes = {n[:k] for n in self.ids for k in range(1, len(n) + 1)}
         self.byte = {int(names[i][3:5], 16): i for i in range(self.size) if kinds[i] == 1}
         self.single = {n for n in self.ids if len(n) == 1}
         self._pairs: dict[int, bool] = {}
-        self._whole: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
+        # Pieces that merging makes at all, and -1 at what only begins one.
+        self.found = {n[:k]: -1 for n in self.ids for k in range(1, len(n) + 1)}
+        self.found |= {n: i for n, i in self.ids.items() if self.merge(n) == [n]}
         raw = [b"" if k == 2 else bytes([int(n[3:5], 16)]) if k == 1 else n.replace(MARK, " ").encode() for n, k in zip(names, kinds)]
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.raw_length = np.array([len(r) for r in raw])
@@ -79,46 +80,63 @@ class Codec:
             got = self._pairs[key] = self.merge(x + y) == [x, y]
         return got
 
-    def whole(self, a: int) -> bool:
-        got = self._whole.get(a)
-        if got is None:
-            got = self._whole[a] = self.merge(self.names[a]) == [self.names[a]]
-        return got
-
     def paths(self, s: str, at: int, last: int, end: int) -> list[int]:
         """For each place of s up to `end`: the last piece of the best path from `at`, where the piece `last` ends (-1: any
         may follow), to there; -1 if none gets there."""
         got = [-1] * (end + 1)
-        ids, prefixes, pairs, size, n = self.ids, self.prefixes, self._pairs, self.size, len(s)
+        found, n = self.found, len(s)
         for j in range(at, end):
             before = last if j == at else got[j]
             if j > at and before < 0:
                 continue
             for k in range(j + 1, min(n, j + self.longest) + 1):
-                t = s[j:k]
-                if t not in prefixes:
+                b = found.get(s[j:k])
+                if b is None:
                     break
-                b = ids.get(t, -1)
-                if b < 0 or k > end:
-                    continue
-                if before < 0:
-                    if self.whole(b):
-                        got[k] = b
-                else:
-                    ok = pairs.get(before * size + b)
-                    if ok or (ok is None and self.apart(before, b) and self.whole(b)):
-                        got[k] = b
+                if 0 <= b and k <= end and (before < 0 or self.apart(before, b)):
+                    got[k] = b
         return got
 
     def word(self, s: str) -> list[int]:
-        """Ids of a string without barriers inside."""
-        if (whole := self.ids.get(s)) is not None and self.whole(whole):
+        """Ids of a string without barriers inside: the only path that scores 0, looked for depth first, longest pieces first.
+        A place that no path leads on from is not tried again."""
+        found, pairs, size, n = self.found, self._pairs, self.size, len(s)
+        if (whole := found.get(s, -1)) >= 0:
             return [whole]
-        got, out, at = self.paths(s, 0, -1, len(s)), [], len(s)
-        while at:
-            out.append(got[at])
-            at -= len(self.names[got[at]])
-        return out[::-1]
+        out, ends, open_, dead, j, before = [], [], [], set(), 0, -1
+        while True:
+            options = []
+            for k in range(j + 1, n + 1):
+                b = found.get(s[j:k])
+                if b is None:
+                    break
+                if b >= 0:
+                    options.append((k, b))
+            while True:
+                while options:
+                    k, b = options.pop()
+                    if k in dead:
+                        continue
+                    if before >= 0:
+                        ok = pairs.get(before * size + b)
+                        if not (self.apart(before, b) if ok is None else ok):
+                            continue
+                    break
+                else:
+                    # Only one piece can end a path to a place, so a place with no way on is dead for good.
+                    dead.add(j)
+                    options = open_.pop()
+                    out.pop()
+                    ends.pop()
+                    j, before = (ends[-1], out[-1]) if out else (0, -1)
+                    continue
+                break
+            out.append(b)
+            ends.append(k)
+            if k == n:
+                return out
+            open_.append(options)
+            j, before = k, b
 
     def spelled(self, c: str) -> list[int]:
         return [self.byte[b] for b in c.encode("utf-8", "surrogatepass")]
@@ -156,11 +174,11 @@ class Codec:
         """Pieces (start, end) that can cover the character before the cut."""
         out = []
         for a in range(max(0, cut - self.longest), cut):
-            for b in range(cut, min(len(s), a + self.longest) + 1):
-                t = s[a:b]
-                if t not in self.prefixes:
+            for b in range(a + 1, min(len(s), a + self.longest) + 1):
+                i = self.found.get(s[a:b])
+                if i is None:
                     break
-                if t in self.ids and self.whole(self.ids[t]):
+                if i >= 0 and b >= cut:
                     out.append((a, b))
         if s[cut - 1] not in self.single:
             out.append((cut - 1, cut))

@@ -27,7 +27,7 @@ from .words import pieces
 
 #: Bounds of the fit: labelled documents of either kind, characters of all of them.
 TOXIC, CLEAN, CHARACTERS = 2500, 4000, 24_000_000
-LANDMARKS, NEGATIVES, ROUNDS, GAP = 384, 9000, 4, 0.6
+LANDMARKS, NEGATIVES, ROUNDS, GAP = 256, 6000, 3, 0.6
 #: Buckets of subsequence hashes; characters of a word's window and its step, for words beyond one window.
 BUCKETS, WIDTH, STEP = 1 << 16, 24, 12
 _SPANS = [(a, b, GAP ** (b - 2)) for b in range(2, 5) for a in range(1, b)]
@@ -110,6 +110,12 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(_expand(features) @ self.link, -30, 30)))
 
 
+def disguised(word: str) -> list[str]:
+    """Ways in which an insult is hidden: a character put in, put between all letters, or in a letter's place."""
+    m = len(word) // 2
+    return [word[:m] + "-" + word[m:], word[:2] + "*" + word[2:], ".".join(word), word[:m] + "1" + word[m + 1:]] if 4 <= len(word) <= WIDTH // 2 else []
+
+
 def _features(scores: np.ndarray) -> list[float]:
     """Highest three word scores and the number of words."""
     top = np.sort(scores)[-3:] if len(scores) > 3 else np.sort(scores)
@@ -200,12 +206,12 @@ def train(texts: list[str], toxic: list[int]) -> Model:
         others = rng.choice(minus, min(LANDMARKS - len(best), len(minus)), replace=False)
         landmarks = [_windows([vocabulary[w]])[0][0] for w in [*best, *others]]
         phi, white = _nystroem(landmarks)
-        train_on = np.concatenate([plus, minus])
-        short = [_windows([vocabulary[w]])[0][0] for w in train_on]
+        hidden = sorted({h for w in plus if witness.get(int(w), 0) > 1 for h in disguised(vocabulary[w])}.difference(number))
+        short = [_windows([w])[0][0] for w in [*(vocabulary[w] for w in plus), *hidden, *(vocabulary[w] for w in minus)]]
         z = np.column_stack([_project(short, phi.astype(np.float32)) @ white, np.ones(len(short))])
-        target = np.where(np.arange(len(train_on)) < len(plus), 1.0, -1.0)
+        target = np.where(np.arange(len(short)) < len(plus) + len(hidden), 1.0, -1.0)
         often = np.array([np.sqrt(witness.get(int(w), 1)) for w in plus])
-        cost = np.concatenate([often / often.sum(), np.full(len(minus), 2.0 / len(minus))]) * 2000
+        cost = np.concatenate([often / often.sum(), np.full(len(hidden), 0.5 / max(1, len(hidden))), np.full(len(minus), 2.0 / len(minus))]) * 2000
         w = _machine(z, target, cost)
         model = Model((phi @ (white @ w[:-1])).astype(np.float32), float(w[-1]), constant)
         scores = model.word_scores(vocabulary)
