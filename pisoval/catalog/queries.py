@@ -19,7 +19,7 @@ from ..operators.duplicates import mark_duplicates
 from ..operators.lookup import look_up
 from ..operators.poi import nearest_poi
 from ..operators.reconcile import compare_results, reconcile
-from ..operators.trees import score_trees, tree_check
+from ..operators.trees import TreeModel, score_trees, tree_check
 from ..plans import batch, contract
 from ..plans.domain import domain_conditions, needs_work, occupied, out_of_range
 from ..plans.features import build_features, own_features, prepare
@@ -359,7 +359,6 @@ def native_valuation(spark, sf_dir):
     return rounded(_native(spark, sf_dir), "row_id", *NATIVE_COLUMNS)
 
 
-_SIMPLE = ["valido", "precio_estimado_base", "indice_venta", "precio_estimado", "renta_mensual_estimada"]
 
 
 @register(f"""{o.NATIVE} SELECT distrito_code, operation, count(*) AS anuncios, count(*) FILTER (WHERE valido) AS validos,
@@ -398,14 +397,21 @@ def price_invariance(spark, sf_dir):
     return profile.estimate_invariance(out, ["row_id"])
 
 
-@register("SELECT CAST(10 AS BIGINT) AS trees, CAST(70 AS BIGINT) AS nodes, CAST(40 AS BIGINT) AS leaves, '' AS unknown_features, count(*) AS anuncios FROM orders", name="tree_check")
+@register("""SELECT count(*) AS trees, 3 * count(*) AS nodes, 2 * count(*) AS leaves,
+  coalesce(string_agg(DISTINCT CASE WHEN s_suppkey % 5 = 3 THEN 'NATION_' || s_nationkey END, ',' ORDER BY CASE WHEN s_suppkey % 5 = 3 THEN 'NATION_' || s_nationkey END), '') AS unknown_features
+FROM supplier""", name="tree_check")
 def model_check(spark, sf_dir):
-    """Model and metadata agree, stamped on the number of listings it will score."""
-    refs = references(spark, sf_dir)
-    check = tree_check(refs.model, refs.meta.columnas)
-    n = d.listings(spark, sf_dir).agg(F.count("*").alias("anuncios"))
-    both = check.unionByName(n, allowMissingColumns=True)
-    return both.agg(*[F.max(c).alias(c) for c in both.columns])
+    """A model of one stump a supplier, some of them on features that the metadata doesn't list."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    known = F.element_at(F.array(*[F.lit(c) for c in MODEL_FEATURES]), (F.col("s_suppkey") % len(MODEL_FEATURES) + 1).cast("int"))
+    feature = F.when(F.col("s_suppkey") % 5 == 3, F.concat(F.lit("NATION_"), F.col("s_nationkey").cast("string"))).otherwise(known)
+    nodes = s.select(F.col("s_suppkey").alias("tree"), F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("node"),
+                     feature.alias("f"), F.col("s_acctbal").cast("float").alias("t"))
+    split = F.col("node") == 0
+    nodes = nodes.select("tree", "node", F.when(split, F.col("f")).alias("feature"), F.when(split, F.col("t")).alias("threshold"),
+                         F.when(split, 1).alias("left"), F.when(split, 2).alias("right"), split.alias("default_left"),
+                         F.when(~split, F.col("t") / 1000).cast("float").alias("leaf"))
+    return tree_check(TreeModel(nodes, list(MODEL_FEATURES), 0.0), list(MODEL_FEATURES))
 
 
 # ---------------------------------------------------------------- contract layer
@@ -457,7 +463,8 @@ def _shifted(native: DataFrame) -> DataFrame:
     k = F.col("row_id")
     return (native.filter(k % 83 != 4)
             .withColumn("propertyCode", F.when(k % 89 == 6, F.concat("propertyCode", F.lit("-x"))).otherwise(F.col("propertyCode")))
-            .withColumn("precio_anunciado", F.when(k % 79 == 3, F.col("precio_anunciado") + 1).otherwise(F.col("precio_anunciado"))))
+            .withColumn("precio_anunciado", F.when(k % 79 == 3, F.col("precio_anunciado") + 1)
+                        .when(k % 71 == 5, F.lit(None)).otherwise(F.col("precio_anunciado"))))
 
 
 _COMPARED = ["precio_anunciado", "propertyType", "size"]
@@ -469,19 +476,22 @@ def _sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 
 _SIDES_SQL = f"""WITH {o.LISTINGS}, l AS (SELECT row_id, propertyCode AS c, price AS p, propertyType AS k, size AS s FROM listings),
-r AS (SELECT row_id, CASE WHEN row_id % 89 = 6 THEN c || '-x' ELSE c END AS c, CASE WHEN row_id % 79 = 3 THEN p + 1 ELSE p END AS p, k, s
+r AS (SELECT row_id, CASE WHEN row_id % 89 = 6 THEN c || '-x' ELSE c END AS c, CASE WHEN row_id % 79 = 3 THEN p + 1 WHEN row_id % 71 = 5 THEN NULL ELSE p END AS p, k, s
       FROM l WHERE row_id % 83 <> 4),
+every_row AS (SELECT coalesce(coalesce(l.c, r.c), '?') AS c, bool_and(coalesce(l.n, 0) = coalesce(r.n, 0)) AS same
+  FROM (SELECT c, p, k, s, count(*) AS n FROM l GROUP BY ALL) l FULL JOIN (SELECT c, p, k, s, count(*) AS n FROM r GROUP BY ALL) r
+    ON l.c IS NOT DISTINCT FROM r.c AND l.p IS NOT DISTINCT FROM r.p AND l.k IS NOT DISTINCT FROM r.k AND l.s IS NOT DISTINCT FROM r.s GROUP BY 1),
 la AS (SELECT coalesce(c, '?') AS c, count(*) AS n, min(p) AS p0, max(p) AS p1, min(k) AS k0, max(k) AS k1, min(s) AS s0, max(s) AS s1 FROM l GROUP BY ALL),
 ra AS (SELECT coalesce(c, '?') AS c, count(*) AS n, min(p) AS p0, max(p) AS p1, min(k) AS k0, max(k) AS k1, min(s) AS s0, max(s) AS s1 FROM r GROUP BY ALL),
 both_sides AS (SELECT nullif(coalesce(la.c, ra.c), '?') AS propertyCode, coalesce(la.n, 0) AS n_izquierda, coalesce(ra.n, 0) AS n_derecha,
   CASE WHEN ra.n IS NULL THEN 'solo_izquierda' WHEN la.n IS NULL THEN 'solo_derecha'
-    WHEN la.n = ra.n AND la.p0 IS NOT DISTINCT FROM ra.p0 AND la.p1 IS NOT DISTINCT FROM ra.p1 AND la.k0 IS NOT DISTINCT FROM ra.k0
-     AND la.k1 IS NOT DISTINCT FROM ra.k1 AND la.s0 IS NOT DISTINCT FROM ra.s0 AND la.s1 IS NOT DISTINCT FROM ra.s1 THEN 'igual' ELSE 'distinto' END AS comparacion,
+    WHEN same THEN 'igual' ELSE 'distinto' END AS comparacion,
+  la.n = 1 AND ra.n = 1 AND (la.p0 IS NULL) = (ra.p0 IS NULL) AND la.k0 IS NOT DISTINCT FROM ra.k0 AND (la.s0 IS NULL) = (ra.s0 IS NULL) AS plain,
   greatest(abs(la.p0 - ra.p0), abs(la.p1 - ra.p1), abs(la.s0 - ra.s0), abs(la.s1 - ra.s1)) AS diferencia
-  FROM la FULL JOIN ra ON la.c = ra.c)"""
+  FROM la FULL JOIN ra ON la.c = ra.c JOIN every_row e ON e.c = coalesce(la.c, ra.c))"""
 
 
-@register(f"{_SIDES_SQL} SELECT propertyCode, n_izquierda, n_derecha, comparacion, round(diferencia, 6) AS diferencia FROM both_sides", name="compare_results")
+@register(f"{_SIDES_SQL} SELECT propertyCode, n_izquierda, n_derecha, comparacion, round(diferencia, 6) AS diferencia, coalesce(plain, false) AS solo_numerico FROM both_sides", name="compare_results")
 def compared_results(spark, sf_dir):
     """Two result sets by code, row by row."""
     left, right = _sides(spark, sf_dir)
@@ -491,7 +501,8 @@ def compared_results(spark, sf_dir):
 @register(f"""{_SIDES_SQL} SELECT count(*) AS total, count(*) FILTER (WHERE comparacion = 'igual') AS iguales,
   count(*) FILTER (WHERE comparacion = 'distinto') AS distintos, count(*) FILTER (WHERE comparacion = 'solo_izquierda') AS solo_izquierda,
   count(*) FILTER (WHERE comparacion = 'solo_derecha') AS solo_derecha, count(*) FILTER (WHERE n_izquierda > 1 OR n_derecha > 1) AS repetidos,
-  round(coalesce(max(diferencia), 0), 6) AS diferencia_maxima, coalesce(max(diferencia), 0) < 1e-8 AS dentro_de_tolerancia FROM both_sides""", name="reconcile")
+  round(coalesce(max(diferencia), 0), 6) AS diferencia_maxima, count(*) FILTER (WHERE comparacion <> 'igual' AND NOT coalesce(plain, false)) AS sin_tolerancia,
+  coalesce(max(diferencia), 0) < 1e-8 AND count(*) FILTER (WHERE comparacion <> 'igual' AND NOT coalesce(plain, false)) = 0 AS dentro_de_tolerancia FROM both_sides""", name="reconcile")
 def reconciliation(spark, sf_dir):
     """The reconciliation report."""
     left, right = _sides(spark, sf_dir)
@@ -529,7 +540,7 @@ def manifest_fingerprint(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     entries = docs.select("source", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("nombre"),
                           F.sha2("text", 256).alias("sha256"))
-    return manifest.manifest_fingerprint(entries, ["source"])
+    return manifest.manifest_fingerprint(entries, "source")
 
 
 @register()
@@ -541,10 +552,10 @@ def file_hashes(spark, sf_dir):
 # ---------------------------------------------------------------- stream
 @register(f"SELECT * EXCLUDE (row_id) FROM ({o.results_sql()})")
 def value_stream_results(spark, sf_dir):
-    """Listings arriving as JSON lines, valued by the stream, each micro-batch its own duplicate scope."""
+    """Listings arriving as JSON lines, one file a batch, valued by a stream that takes three files at a time."""
     base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-    d.raw_texts(spark, sf_dir).select("value").write.text(f"{base}/in")
+    d.raw_texts(spark, sf_dir).repartition("batch_id").select("batch_id", "value").write.partitionBy("batch_id").text(f"{base}/in")
     refs = references(spark, sf_dir)
-    value_stream(spark, f"{base}/in", refs, f"{base}/out", f"{base}/state").awaitTermination()
+    value_stream(spark, f"{base}/in", refs, f"{base}/out", f"{base}/state", max_files=3).awaitTermination()
     rows, _ = read_stream_output(spark, f"{base}/out", refs)
     return _flat_results(rows).drop("row_id")

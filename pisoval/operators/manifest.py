@@ -1,14 +1,23 @@
 """Files against a manifest of SHA-256 values."""
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def file_hashes(spark: SparkSession, folder: str) -> DataFrame:
-    """(nombre, sha256) of every file below a folder."""
+    """(nombre, sha256) of every file below a folder; names are paths from the folder on.
+
+    Each file is read whole into a row, so this serves packages, whose files stay far below 2 GB.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("nombre"),
-                        F.sha2("content", 256).alias("sha256"))
+    inside = re.escape(re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/", folder).rstrip("/"))
+    return files.select(F.regexp_replace("path", f"^.*?{inside}/+", "").alias("nombre"), F.sha2("content", 256).alias("sha256"))
 
 
 def check_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -27,23 +36,31 @@ def fingerprint(names_and_hashes: Column) -> Column:
     return F.sha2(F.concat(F.lit("{"), F.array_join(quoted, ","), F.lit("}")), 256)
 
 
-def manifest_fingerprint(manifest: DataFrame, by: list[str] | None = None, max_entries: int = 1_000_000) -> DataFrame:
-    """Identity of a package: one hash over all its (nombre, sha256) entries.
+def manifest_fingerprint(manifest: DataFrame, by: str) -> DataFrame:
+    """Identity of each package: one hash over all its (nombre, sha256) entries, in order of names.
 
-    The hash is defined over one text that lists every file of a package, so a
-    package beyond `max_entries` files is refused rather than cut short.
+    The hash is one over a text that lists every file, so a package's entries pass through one task; they stream through it
+    in order, and none of them is kept.
     """
-    keys = by or []
-    largest = manifest.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest > max_entries:
-        raise ValueError(f"package of {largest} files; the limit is {max_entries}")
-    return manifest.groupBy(*keys).agg(
-        fingerprint(F.collect_list(F.struct("nombre", "sha256"))).alias("paquete_sha256"))
+    kind = manifest.schema[by].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3))))
+        for package, entries in groupby(rows, key=lambda r: r[0]):
+            digest, comma = hashlib.sha256(b"{"), ""
+            for _, name, value in entries:
+                digest.update(f'{comma}"{name}":"{value}"'.encode())
+                comma = ","
+            digest.update(b"}")
+            yield pa.record_batch([pa.array([package]), pa.array([digest.hexdigest()])], [by, "paquete_sha256"])
+
+    ordered = manifest.select(by, "nombre", "sha256").repartition(by).sortWithinPartitions(by, "nombre", "sha256")
+    return ordered.mapInArrow(run, f"`{by}` {kind}, paquete_sha256 string")
 
 
 def require_intact(files: DataFrame, manifest: DataFrame) -> None:
     """Raise when a listed file is missing or altered."""
-    bad = check_manifest(files, manifest).filter(F.col("estado").isin("falta", "alterado")).orderBy("nombre").limit(20)
-    names = [f"{r['nombre']} ({r['estado']})" for r in bad.collect()]
+    bad = check_manifest(files, manifest).filter(F.col("estado").isin("falta", "alterado"))
+    names = [f"{r['nombre']} ({r['estado']})" for r in bad.orderBy("nombre").take(20)]
     if names:
-        raise ValueError("altered package: " + ", ".join(names))
+        raise ValueError(f"altered package, {bad.count()} files: " + ", ".join(names))

@@ -83,7 +83,7 @@ def _tree_expression(nodes: dict[int, T.Row], at: int) -> Column:
         return F.lit(n["leaf"]).cast("float")
     left, right = _tree_expression(nodes, n["left"]), _tree_expression(nodes, n["right"])
     x = F.col(n["feature"]).cast("float")
-    return (F.when(x.isNull(), left if n["default_left"] else right)
+    return (F.when(x.isNull() | F.isnan(x), left if n["default_left"] else right)
             .when(x < F.lit(n["threshold"]).cast("float"), left).otherwise(right))
 
 

@@ -50,7 +50,7 @@ LISTINGS_SQL = f"""
 SELECT CONCAT('b', CAST(o_orderkey % 16 AS STRING)) AS batch_id, o_orderkey AS row_id,
   CASE WHEN o_orderkey % 101 = 5 THEN NULL
        WHEN o_orderkey % 97 = 13 THEN CONCAT('L', CAST(o_orderkey - 16 AS STRING))
-       WHEN o_orderkey % 97 = 14 THEN CONCAT('L', CAST(o_orderkey - 1 AS STRING))
+       WHEN o_orderkey % 97 = 15 THEN CONCAT('L', CAST(o_orderkey - 1 AS STRING))
        ELSE CONCAT('L', CAST(o_orderkey AS STRING)) END AS propertyCode,
   CASE WHEN o_orderkey % 59 = 3 THEN 'unknown' WHEN o_orderkey % 61 = 4 THEN NULL
        WHEN o_orderkey % 3 = 0 THEN 'rent' ELSE 'sale' END AS operation,

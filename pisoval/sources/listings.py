@@ -1,10 +1,11 @@
 """Listings from JSON, nested frames or flat frames."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from ..fixed_values import EXPECTED_COLUMNS
 from ..functions.numeric import coerce_numeric
+from ..operators.lookup import lookup
 
 # Listing fields and the kind each has once typed; dots mark nested fields.
 FIELDS = {"propertyCode": "string", "operation": "string", "municipality": "string", "propertyType": "string",
@@ -27,17 +28,20 @@ def parse_values(df: DataFrame, text: str = "value") -> DataFrame:
     return df.withColumn("doc", F.try_parse_json(text))
 
 
+def is_wrapped() -> Column:
+    """Whether the object `doc` has an envelope's key."""
+    return F.coalesce(*[F.expr(f"try_variant_get(doc, '$.{k}', 'variant')") for k in ENVELOPE_KEYS]).isNotNull()
+
+
 def unwrap_envelopes(df: DataFrame) -> DataFrame:
     """One row per listing from VARIANT `doc`: `pos` within its document and `raw`."""
     as_array = "array<variant>"
     kind = F.schema_of_variant("doc")
-    listed = F.when(kind.startswith("ARRAY"), F.expr(f"try_variant_get(doc, '$', '{as_array}')"))
-    for key in reversed(ENVELOPE_KEYS):
-        listed = F.when(F.expr(f"try_variant_get(doc, '$.{key}', 'variant')").isNotNull(),
-                        F.expr(f"try_variant_get(doc, '$.{key}', '{as_array}')")).otherwise(listed)
-    listed = F.when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.coalesce(
-        listed, F.when(F.coalesce(*[F.expr(f"try_variant_get(doc, '$.{k}', 'variant')") for k in ENVELOPE_KEYS]).isNull(),
-                       F.array("doc")))).otherwise(F.array("doc"))
+    held = [F.expr(f"try_variant_get(doc, '$.{k}', '{as_array}')") for k in ENVELOPE_KEYS]
+    # A key that holds no array, and no other that does: one row that no check takes for a listing.
+    broken = F.when(is_wrapped(), F.array(F.lit(None).cast("variant")))
+    listed = (F.when(kind.startswith("ARRAY"), F.expr(f"try_variant_get(doc, '$', '{as_array}')"))
+              .when(kind.startswith("OBJECT"), F.coalesce(*held, broken, F.array("doc"))).otherwise(F.array("doc")))
     others = [c for c in df.columns if c != "doc"]
     # The outer form spares a size filter that would parse every document twice.
     return df.select(*others, F.posexplode_outer(listed).alias("pos", "raw")).filter("pos IS NOT NULL")
@@ -54,13 +58,32 @@ def read_raw(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
         docs = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("batch_id"))
         return unwrap_envelopes(parse_values(docs).drop("value")).select(
             "batch_id", F.col("pos").cast("long").alias("row_id"), "raw")
-    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"),
-                                        F.monotonically_increasing_id().alias("line"))
-    parsed = parse_values(rows.filter(F.trim("value") != "")).drop("value")
+    return raw_lines(lines_of(spark.read.text(path)))
+
+
+def lines_of(texts: DataFrame) -> DataFrame:
+    """Text rows of a file source with where each comes from: value, file, split."""
+    return texts.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
+
+
+def numbered(lines: DataFrame) -> DataFrame:
+    """Adds `line`, each row's place in its file from 0, whatever splits the file is read in.
+
+    A split's rows have running numbers, so its first number and the rows of the splits before it give the place; the
+    table of splits is small beside the input.
+    """
+    marked = lines.withColumn("__id", F.monotonically_increasing_id())
+    splits = marked.groupBy("file", "split").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
+    before = W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)
+    splits = splits.select("file", "split", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift"))
+    return lookup(marked, splits, ["file", "split"]).withColumn("line", F.col("__id") + F.col("__shift")).drop("__id", "__shift")
+
+
+def raw_lines(lines: DataFrame) -> DataFrame:
+    """(batch_id, row_id, raw VARIANT) from JSON Lines given by `lines_of`; read in one go or in many, the same rows."""
+    parsed = parse_values(numbered(lines).filter(F.trim("value") != "")).drop("value")
     kind = F.schema_of_variant("doc")
-    wrapped = kind.startswith("ARRAY") | F.coalesce(
-        *[F.expr(f"try_variant_get(doc, '$.{k}', 'variant')") for k in ENVELOPE_KEYS]).isNotNull()
-    marked = parsed.withColumn("wrapped", F.coalesce(wrapped, F.lit(False)))
+    marked = parsed.withColumn("wrapped", F.coalesce(kind.startswith("ARRAY") | is_wrapped(), F.lit(False))).drop("split")
     return unwrap_envelopes(marked).select(
         F.when(F.col("wrapped"), F.concat_ws("#", "file", "line")).otherwise(F.col("file")).alias("batch_id"),
         F.when(F.col("wrapped"), F.col("pos").cast("long")).otherwise(F.col("line")).alias("row_id"), "raw")
@@ -110,8 +133,11 @@ def typed_fields() -> dict[str, Column]:
 
 
 def from_raw(df: DataFrame) -> DataFrame:
-    """Typed listing columns from VARIANT `raw`; other columns stay."""
-    return close_fields(open_fields(df).withColumns(typed_fields())).drop("raw")
+    """Typed listing columns from VARIANT `raw`; other columns stay.  A code given as a number keeps its digits."""
+    found = kind_of("propertyCode")
+    number = found.isin("BIGINT", "DOUBLE") | found.startswith("DECIMAL")
+    code = F.when(number, value_of("propertyCode", "string")).otherwise(_typed("propertyCode", "string"))
+    return close_fields(open_fields(df).withColumns({**typed_fields(), "propertyCode": code})).drop("raw")
 
 
 def read_listings(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
@@ -139,11 +165,6 @@ def with_expected_columns(df: DataFrame) -> DataFrame:
     return df.withColumns(missing) if missing else df
 
 
-def column_or(df: DataFrame, name: str, default: object = None) -> Column:
-    """The named column of a dotted frame, or a literal default."""
-    return F.col(f"`{name}`") if name in df.columns else F.lit(default)
-
-
 def canonical(df: DataFrame) -> DataFrame:
     """Typed listing columns from a nested, dotted or already canonical frame."""
     if all(column_name(f) in df.columns for f in FIELDS) and all(

@@ -1,30 +1,27 @@
 """Continuous valuation of listings that arrive as JSON lines."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.batch import errors, results, value_batch, write_outcome
-from ..sources.listings import parse_values, unwrap_envelopes
+from ..sources.listings import lines_of, raw_lines
 from ..sources.reference import References
 
 
 def value_micro_batch(lines: DataFrame, epoch: int, refs: References, output: str) -> None:
     """Value one micro-batch into its own folder; a replayed epoch overwrites itself.
 
-    Copies of a code count within the micro-batch, as they do within a request.
+    Batches come from the data: a line that holds an envelope or an array is a request of its own, and bare listings of one
+    file form a batch, in which copies of a code count.  How many files a trigger takes changes nothing.
     """
-    docs = parse_values(lines.filter(F.trim("value") != "")).select("doc")
-    raw = unwrap_envelopes(docs.withColumn("line", F.monotonically_increasing_id())).select(
-        F.lit(f"lote-{epoch}").alias("batch_id"),
-        (F.col("line") * 1_000_000 + F.col("pos")).alias("row_id"), "raw")
-    write_outcome(value_batch(raw, refs), f"{output}/epoch={epoch}")
+    write_outcome(value_batch(raw_lines(lines), refs), f"{output}/epoch={epoch}")
 
 
 def value_stream(spark: SparkSession, source: str, refs: References, output: str, checkpoint: str,
                  available_now: bool = True, max_files: int = 1000) -> StreamingQuery:
     """Start the stream; `read_stream_output` gives its results and errors."""
-    lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(source)
+    lines = lines_of(spark.readStream.option("maxFilesPerTrigger", max_files).text(source))
     writer = (lines.writeStream.option("checkpointLocation", checkpoint)
               .foreachBatch(lambda df, epoch: value_micro_batch(df, epoch, refs, output)))
     return (writer.trigger(availableNow=True) if available_now else writer).start()
