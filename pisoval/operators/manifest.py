@@ -4,7 +4,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import chain, groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -45,14 +45,17 @@ def manifest_fingerprint(manifest: DataFrame, by: str) -> DataFrame:
     kind = manifest.schema[by].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3))))
+        first = next(batches, None)
+        if first is None:
+            return
+        rows = (r for b in chain([first], batches) for r in zip(*(b.column(i).to_pylist() for i in range(3))))
         for package, entries in groupby(rows, key=lambda r: r[0]):
             digest, comma = hashlib.sha256(b"{"), ""
             for _, name, value in entries:
                 digest.update(f'{comma}"{name}":"{value}"'.encode())
                 comma = ","
             digest.update(b"}")
-            yield pa.record_batch([pa.array([package]), pa.array([digest.hexdigest()])], [by, "paquete_sha256"])
+            yield pa.record_batch([pa.array([package], first.column(0).type), pa.array([digest.hexdigest()])], [by, "paquete_sha256"])
 
     ordered = manifest.select(by, "nombre", "sha256").repartition(by).sortWithinPartitions(by, "nombre", "sha256")
     return ordered.mapInArrow(run, f"`{by}` {kind}, paquete_sha256 string")
