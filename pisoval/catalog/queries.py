@@ -246,8 +246,8 @@ def assigned_areas(spark, sf_dir):
 
 @register(f"{_ASSIGNED} SELECT {', '.join(_AREA_COLUMNS)} FROM assigned")
 def assign_area_shuffled(spark, sf_dir):
-    """The same through the salted shuffle that serves layers too large to broadcast."""
-    return _assign(spark, sf_dir, max_edges=0, salts=4).select(_AREA_COLUMNS)
+    """The same through the shuffle that serves layers too large to broadcast."""
+    return _assign(spark, sf_dir, max_edges=0).select(_AREA_COLUMNS)
 
 
 @register(f"{_ASSIGNED} SELECT row_id, barrio_code FROM assigned WHERE barrio_code IS NOT NULL AND NOT barrio_rescatado")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..fixed_values import RESCUE_METRES
 from ..functions.geo import crosses_ray, on_edge, project_utm, segment_distance
-from .lookup import SALTS, fits, row_salt
+from .lookup import fits
 
 CELL_METRES = 500.0
 BROADCAST_EDGES = 2_000_000
@@ -63,11 +63,10 @@ class AreaIndex:
     broadcast: bool
     max_m: float
     cell_m: float
-    salts: int
 
 
 def index_areas(edges: DataFrame, max_m: float = RESCUE_METRES, cell_m: float = CELL_METRES,
-                max_edges: int = BROADCAST_EDGES, salts: int = SALTS) -> AreaIndex:
+                max_edges: int = BROADCAST_EDGES) -> AreaIndex:
     """Measure the layer and shape its cells: whole cells to broadcast, else bounded edge blocks to shuffle."""
     cells = edge_cells(edges, max_m, cell_m)
     small = fits(cells, max_edges)
@@ -77,7 +76,7 @@ def index_areas(edges: DataFrame, max_m: float = RESCUE_METRES, cell_m: float =
     else:
         shaped = (cells.groupBy("cx", "cy", "area_code", "ring_no", "block")
                   .agg(F.collect_list("edge").alias("edges")))
-    return AreaIndex(shaped.persist(), small, max_m, cell_m, salts)
+    return AreaIndex(shaped.persist(), small, max_m, cell_m)
 
 
 def _by_broadcast(df: DataFrame, index: AreaIndex) -> DataFrame:
@@ -96,18 +95,17 @@ def _by_broadcast(df: DataFrame, index: AreaIndex) -> DataFrame:
 
 
 def _by_shuffle(df: DataFrame, index: AreaIndex) -> DataFrame:
-    """For layers too large to broadcast: distinct points meet edge blocks by cell, salted.
+    """For layers too large to broadcast: distinct points meet edge blocks by cell.
 
     Only coordinates travel; partial parities and minima combine before the shuffle,
-    and a point shared by many listings is worked on once.
+    and a point shared by many listings is worked on once.  Crowded cells and points
+    are split by the adaptive skew join.
     """
-    all_salts = F.explode(F.sequence(F.lit(0), F.lit(index.salts - 1)))
     # Cells pass through the grouping, so that conditions on them are not expanded into the projection formula.
     points = (_with_cells(df.select("latitude", "longitude"), index.cell_m).groupBy("latitude", "longitude")
               .agg(*[F.max(c).alias(c) for c in ("__x", "__y", "cx", "cy")]))
-    points = points.withColumn("__salt", row_salt(points, index.salts))
     x, y = F.col("__x"), F.col("__y")
-    per_area = (points.join(index.cells.withColumn("__salt", all_salts).hint("shuffle_merge"), ["cx", "cy", "__salt"])
+    per_area = (points.join(index.cells.hint("shuffle_merge"), ["cx", "cy"])
                 .select("latitude", "longitude", "area_code", _parity(x, y, F.col("edges")).alias("p"),
                         _nearest(x, y, F.col("edges")).alias("d"))
                 .groupBy("latitude", "longitude", "area_code")
@@ -118,10 +116,8 @@ def _by_shuffle(df: DataFrame, index: AreaIndex) -> DataFrame:
                  F.min(F.when(F.col("d") <= index.max_m, F.struct("d", "area_code"))).alias("__near"))
             .select("latitude", "longitude",
                     F.coalesce("__inside", F.col("__near.area_code")).alias("barrio_code"),
-                    (F.col("__inside").isNull() & F.col("__near").isNotNull()).alias("barrio_rescatado"))
-            .withColumn("__salt", all_salts))
-    return (df.withColumn("__salt", row_salt(df, index.salts))
-            .join(best.hint("shuffle_merge"), ["latitude", "longitude", "__salt"], "left").drop("__salt")
+                    (F.col("__inside").isNull() & F.col("__near").isNotNull()).alias("barrio_rescatado")))
+    return (df.join(best.hint("shuffle_merge"), ["latitude", "longitude"], "left")
             .withColumn("barrio_rescatado", F.coalesce("barrio_rescatado", F.lit(False))))
 
 

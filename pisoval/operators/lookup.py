@@ -1,14 +1,13 @@
-"""Left lookups that broadcast only what has been measured, and salt the rest."""
+"""Left lookups that broadcast only what has been measured, and leave hot keys of the rest to skew joins."""
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-ROW_KEY = ["batch_id", "row_id"]
 # A looked-up row is a key and a few numbers, so this is some tens of megabytes.
 BROADCAST_ROWS = 500_000
-SALTS = 64
+ROW_KEY = ["batch_id", "row_id"]
 
 
 def fits(df: DataFrame, max_rows: int) -> bool:
@@ -16,12 +15,6 @@ def fits(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def row_salt(df: DataFrame, salts: int) -> Column:
-    """Stable spread of the rows of a hot key: by row identity where the frame has one."""
-    keys = [c for c in ROW_KEY if c in df.columns] or df.columns
-    return F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in keys]), F.lit(salts)).cast("int")
-
-
 @dataclass(frozen=True)
 class LookupTable:
     """A table with unique keys and what its measured size allows."""
@@ -35,21 +28,17 @@ def measure(rows: DataFrame, keys: list[str], max_rows: int = BROADCAST_ROWS) ->
     return LookupTable(rows, keys, fits(rows, max_rows))
 
 
-def look_up(left: DataFrame, table: LookupTable, salts: int = SALTS) -> DataFrame:
+def look_up(left: DataFrame, table: LookupTable) -> DataFrame:
     """Left join to a measured table.
 
-    Within the bound the table is broadcast.  Beyond, both sides shuffle on the
-    key plus a salt, the table copied once per salt, so that no key's rows meet
-    in one task.
+    Within the bound the table is broadcast.  Beyond, both sides shuffle on the key; the rows of a hot key, measured as they are
+    written, are split over tasks by the adaptive skew join, so nothing is copied for keys that aren't hot.
     """
     if table.broadcast:
         return left.join(F.broadcast(table.rows), table.keys, "left")
-    spread = table.rows.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return (left.withColumn("__salt", row_salt(left, salts))
-            .join(spread.hint("shuffle_merge"), [*table.keys, "__salt"], "left").drop("__salt"))
+    return left.join(table.rows.hint("shuffle_merge"), table.keys, "left")
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: list[str], max_rows: int = BROADCAST_ROWS,
-           salts: int = SALTS) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """`measure` and `look_up` in one, for a table used once."""
-    return look_up(left, measure(right, keys, max_rows), salts)
+    return look_up(left, measure(right, keys, max_rows))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..fixed_values import EARTH_RADIUS_KM, POI_AVENUE, POI_CENTER, POI_METRO
 from ..functions.geo import haversine_km, usable_coordinates
 from ..session import cut_lineage
-from .lookup import SALTS, fits, row_salt
+from .lookup import fits
 
 DISTANCES = {"DISTANCE_TO_METRO": POI_METRO, "DISTANCE_TO_CASTELLANA": POI_AVENUE}
 BROADCAST_POINTS = 5_000
@@ -146,31 +146,28 @@ def candidate_cells(listings: DataFrame, points: DataFrame) -> DataFrame:
     return pairs
 
 
-def _by_shuffle(df: DataFrame, index: PoiIndex, salts: int) -> DataFrame:
-    """For point sets too large to broadcast: distinct coordinates meet candidate cells, salted."""
+def _by_shuffle(df: DataFrame, index: PoiIndex) -> DataFrame:
+    """For point sets too large to broadcast: distinct coordinates meet candidate cells; crowded ones are split by skew joins."""
     lat, lon = F.col("latitude"), F.col("longitude")
     cells = {"li": _grid(lat, -90.0, LISTING_LEVEL), "lj": _grid(lon, -180.0, LISTING_LEVEL)}
     where = df.select("latitude", "longitude").filter(usable_coordinates(lat, lon)).distinct().withColumns(cells)
-    where = _with_unit(where.withColumn("__salt", row_salt(where, salts)))
-    all_salts = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    out = df.withColumn("__salt", row_salt(df, salts))
+    where, out = _with_unit(where), df
     for name, kind in DISTANCES.items():
         points = (index.points.filter(F.col("tipo") == kind)
                   .withColumns({"pi": _grid(F.col("Lat"), -90.0, 0), "pj": _grid(F.col("Lon"), -180.0, 0)}))
         xyz = [c.alias(n) for n, c in zip("xyz", _unit(F.col("Lat"), F.col("Lon")))]
         boxes = points.groupBy("pi", "pj").agg(
             F.collect_list(F.struct(F.col("Lat").alias("lat"), F.col("Lon").alias("lon"), *xyz)).alias("near"))
-        reach = candidate_cells(where, points).join(boxes, ["pi", "pj"]).withColumn("__salt", all_salts)
-        nearest = (where.join(reach.hint("shuffle_merge"), ["li", "lj", "__salt"])
-                   .groupBy("latitude", "longitude").agg(F.min(_min_distance(lat, lon, F.col("near"))).alias(name))
-                   .withColumn("__salt", all_salts))
-        out = out.join(nearest.hint("shuffle_merge"), ["latitude", "longitude", "__salt"], "left")
-    return out.drop("__salt")
+        reach = candidate_cells(where, points).join(boxes, ["pi", "pj"])
+        nearest = (where.join(reach.hint("shuffle_merge"), ["li", "lj"])
+                   .groupBy("latitude", "longitude").agg(F.min(_min_distance(lat, lon, F.col("near"))).alias(name)))
+        out = out.join(nearest.hint("shuffle_merge"), ["latitude", "longitude"], "left")
+    return out
 
 
-def nearest_poi(df: DataFrame, index: PoiIndex, salts: int = SALTS) -> DataFrame:
+def nearest_poi(df: DataFrame, index: PoiIndex) -> DataFrame:
     """Add the distance in kilometres to the city centre and to the nearest point of each type."""
     lat, lon = F.col("latitude"), F.col("longitude")
-    near = _by_broadcast(df, index) if index.cells is not None else _by_shuffle(df, index, salts)
+    near = _by_broadcast(df, index) if index.cells is not None else _by_shuffle(df, index)
     return near.withColumn("DISTANCE_TO_CITY_CENTER",
                            haversine_km(lat, lon, F.lit(index.center[0]), F.lit(index.center[1])))

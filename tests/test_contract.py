@@ -71,7 +71,7 @@ def test_hot_code_is_counted_without_one_task_holding_it(spark):
                                     F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.concat(F.lit("c"), "id")).alias("codigo"))
     expected = {("hot", 2000): 2000, (None, 1): 2000}
     for bound in (500_000, 0):
-        got = mark_duplicates(rows, max_rows=bound, salts=4).groupBy("codigo", "copias").count()
+        got = mark_duplicates(rows, max_rows=bound).groupBy("codigo", "copias").count()
         counts = {(r["codigo"], r["copias"]): r["count"] for r in got.filter("codigo IS NULL OR codigo = 'hot' OR copias > 1").collect()}
         assert counts == expected
 

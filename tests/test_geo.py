@@ -54,7 +54,7 @@ def test_assignment_equals_brute_force_both_ways(spark):
     points += [(439501.0, 4475000.0), (439499.0, 4475000.0), (441000.0, 4475000.0)]
     edges, df = spark.createDataFrame(EDGES, SCHEMA), located(spark, points)
     expected = {i: brute(*p) for i, p in enumerate(points)}
-    for index in (index_areas(edges), index_areas(edges, max_edges=0, salts=3), index_areas(edges, cell_m=130.0)):
+    for index in (index_areas(edges), index_areas(edges, max_edges=0), index_areas(edges, cell_m=130.0)):
         rows = assign_area(df, index).collect()
         assert {r["row_id"]: (r["barrio_code"], r["barrio_rescatado"]) for r in rows} == expected
         assert all(r["distrito_code"] == (r["barrio_code"] or "")[:2] or r["barrio_code"] is None for r in rows)
@@ -64,7 +64,7 @@ def test_bad_coordinates_and_hot_point(spark):
     df = spark.createDataFrame([("b", 0, None, -3.7), ("b", 1, float("nan"), -3.7), ("b", 2, 91.0, -3.7), ("b", 3, 40.4, 179.0)]
                                + [("b", 10 + i, 40.42, -3.70) for i in range(500)], "batch_id string, row_id long, latitude double, longitude double")
     edges = spark.createDataFrame(EDGES, SCHEMA)
-    for index in (index_areas(edges), index_areas(edges, max_edges=0, salts=3)):
+    for index in (index_areas(edges), index_areas(edges, max_edges=0)):
         rows = {r["row_id"]: r for r in assign_area(df, index).collect()}
         assert len(rows) == 504 and all(rows[i]["barrio_code"] is None and not rows[i]["barrio_rescatado"] for i in range(4))
         assert len({rows[10 + i]["barrio_code"] for i in range(500)}) == 1
@@ -94,7 +94,7 @@ def test_nearest_points_both_ways(spark):
     rows = [("b", i, a, b) for i, (a, b) in enumerate(where)] + [("b", 999, None, -3.7)]
     df = spark.createDataFrame(rows, "batch_id string, row_id long, latitude double, longitude double")
     for index in (index_pois(table), index_pois(table, max_points=0)):
-        got = {r["row_id"]: r for r in nearest_poi(df, index, salts=2).collect()}
+        got = {r["row_id"]: r for r in nearest_poi(df, index).collect()}
         assert len(got) == len(rows) and got[999]["DISTANCE_TO_METRO"] is None
         for i, (a, b) in enumerate(where):
             assert abs(got[i]["DISTANCE_TO_CITY_CENTER"] - haversine(a, b, 40.42, -3.70)) < 1e-9
