@@ -13,11 +13,13 @@ its own part on its own.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
@@ -25,7 +27,7 @@ from .words import pieces as slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk; entries that a worker keeps of words, and of pairs.
-CHUNK, WORDS_KEPT, PAIRS_KEPT = 32_768, 400_000, 1_500_000
+CHUNK, WORDS_KEPT, PAIRS_KEPT = 32_768, 250_000, 600_000
 MARK = "▁"
 BEGIN, END = -1, -2
 
@@ -184,24 +186,25 @@ class Codec:
             out.append((cut - 1, cut))
         return out
 
-    def trace(self, s: str, left: tuple[int, int] | None, rights: list[tuple[int, int] | None]) -> dict:
+    def barriers(self, s: str) -> list[int]:
+        """Places of s where a part begins."""
+        return [m.start() for m in self._cut.finditer(s)]
+
+    def trace(self, s: str, barriers: list[int], left: tuple[int, int] | None, rights: list[tuple[int, int] | None], ids: bool = True) -> dict:
         """For each piece of `rights` (None: the end of s) to which a path leads from the piece `left` (None: the start of s): the
-        ids after left, up to and with the right one."""
+        ids after left, up to and with the right one. Between the first barrier after left and the last one before the rights lie
+        whole parts, which have their paths whatever stands around them; without `ids` these are left out."""
         at, last = (left[1], self._id(s, left)) if left else (0, -1)
         first = min((r[0] for r in rights if r), default=len(s))
-        bounds = [at]
-        for m in self._cut.finditer(s):
-            if at < m.start() <= first:
-                bounds.append(m.start())
-        out_ids: list[int] = []
-        # Between barriers, each stretch is a path of its own; from a barrier on nothing before it matters.
-        for a, b in zip(bounds, bounds[1:]):
-            got = self._stretch(s, a, b, last)
-            if got is None:
+        i, j = bisect_left(barriers, at), bisect_right(barriers, first) - 1
+        before: list[int] = []
+        if i <= j:
+            head = self._stretch(s, at, barriers[i], last)
+            if head is None:
                 return {}
-            out_ids += got
-            last = -1
-        at, out = bounds[-1], {}
+            middle = self.encode_parts([self.parts(s[barriers[i]:barriers[j]])])[0] if ids else b""
+            before, at, last = head + np.frombuffer(middle, np.int32).tolist(), barriers[j], -1
+        out = {}
         for r in rights:
             stop = r[0] if r else len(s)
             if r and r[0] < at:
@@ -212,11 +215,11 @@ class Codec:
             if tail is None:
                 continue
             if r:
-                before, own = (tail[-1] if tail else last), self._id(s, r)
-                if before >= 0 and not self._follows(s, before, r, own):
+                previous, own = (tail[-1] if tail else last), self._id(s, r)
+                if previous >= 0 and not self._follows(s, previous, r, own):
                     continue
                 tail = tail + ([own] if own >= 0 else self.spelled(s[r[0]]))
-            out[r] = out_ids + tail
+            out[r] = before + tail
         return out
 
     def _id(self, s: str, span: tuple[int, int]) -> int:
@@ -270,7 +273,7 @@ class Codec:
             raw = data[keep].tobytes()
             out = pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets, offsets[1:])], pa.large_string())
         null = ids.is_null()
-        return pa.compute.if_else(null, None, out).cast(pa.string()) if null.true_count else out.cast(pa.string())
+        return pc.if_else(null, None, out).cast(pa.string()) if null.true_count else out.cast(pa.string())
 
 
 @lru_cache(4)
@@ -333,27 +336,36 @@ def _span(cut: int, code: int) -> tuple[int, int]:
     return cut - code // 64, cut + code % 64
 
 
-def encode(df: DataFrame, path: str = MODEL, text_col: str = "text", name: str = "token_ids", chunk: int = CHUNK) -> DataFrame:
-    """df with `name`: array<int>, the model's ids of the whole text, equal to the public library's. An empty text has none, a null
+def encode(df: DataFrame, path: str = MODEL, text_col: str = "text", name: str = "token_ids", chunk: int = CHUNK,
+           check: str | None = None) -> DataFrame:
+    """df with `name`: array<int>, and, if asked for, `check`: whether the ids decode to the text again. The ids are the model's of the whole text, equal to the public library's. An empty text has none, a null
     one null. A literal word mark reads as a space, as in the library. Repeated rows have equal ids; a column of that name
     is replaced. Texts above `chunk` characters go chunk by chunk through the scan; their ids meet again in their row."""
     names, scores, kinds = map(tuple, load(path))
     shared = df.sparkSession.sparkContext.broadcast((names, scores, kinds))
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != name]).alias("row")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in (name, check)]).alias("row")
     text = F.col(f"`{text_col}`")
     giant = F.coalesce(F.length(text) > chunk, F.lit(False))
-    kind = df.select(row).schema["row"].dataType.simpleString()
+    schema = f"row {df.select(row).schema['row'].dataType.simpleString()}, ids array<int>, same boolean"
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(*shared.value)
         for b in slices(batches, "text"):
-            yield pa.record_batch([b.column(0), _lists(c.encode(b.column(1).to_pylist()))], ["row", "ids"])
+            yield with_check(c, b.column(0), b.column(1), _lists(c.encode(b.column(1).to_pylist())))
+
+    def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(*shared.value)
+        for b in slices(batches, "text"):
+            yield with_check(c, b.column(0), b.column(1), b.column(2))
+
+    def with_check(c: Codec, rows: pa.Array, texts: pa.Array, ids: pa.Array) -> pa.RecordBatch:
+        same = pc.fill_null(pc.equal(c.decode(ids), texts), pc.is_null(texts)) if check else pa.nulls(len(ids), pa.bool_())
+        return pa.record_batch([rows, ids, same], ["row", "ids", "same"])
 
-    plain = df.where(~giant).select(row, text.alias("text")).mapInArrow(short, f"row {kind}, ids array<int>")
+    plain = df.where(~giant).select(row, text.alias("text")).mapInArrow(short, schema)
     large = df.where(giant).select(row, F.md5(text).alias("key"), text.alias("text"))
-    long_ids = _encode_long(large.select("key", "text"), shared, chunk)
-    joined = large.drop("text").join(long_ids, "key").select("row", "ids")
-    return plain.union(joined).select("row.*", F.col("ids").alias(name))
+    joined = large.join(_encode_long(large.select("key", "text"), shared, chunk), "key").select("row", "text", "ids").mapInArrow(long, schema)
+    return plain.union(joined).select("row.*", F.col("ids").alias(name), *([F.col("same").alias(check)] if check else []))
 
 
 def _lists(ids: list[bytes | None]) -> pa.Array:
@@ -386,7 +398,8 @@ def _encode_long(texts: DataFrame, shared, chunk: int) -> DataFrame:
             out = []
             for r in batch.to_pylist():
                 a, b, lefts, rights = ends(c, r["s"], r["left"], r["k"], r["n"])
-                entries = [(_code(a, x) if x else BEGIN, _code(b, y) if y else END) for x in lefts for y in c.trace(r["s"], x, rights)]
+                at = c.barriers(r["s"])
+                entries = [(_code(a, x) if x else BEGIN, _code(b, y) if y else END) for x in lefts for y in c.trace(r["s"], at, x, rights, ids=False)]
                 out.append((r["key"], r["k"], [{"l": x, "r": y} for x, y in entries]))
             pair = pa.list_(pa.struct([("l", pa.int32()), ("r", pa.int32())]))
             yield pa.record_batch([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.int32(), pair))], ["key", "k", "m"])
@@ -408,7 +421,7 @@ def _encode_long(texts: DataFrame, shared, chunk: int) -> DataFrame:
             for r in batch.to_pylist():
                 a, b, _, _ = ends(c, r["s"], r["left"], r["k"], r["n"])
                 right = _span(b, r["r"]) if b else None
-                out.append((r["key"], r["k"], c.trace(r["s"], _span(a, r["l"]) if r["k"] else None, [right])[right]))
+                out.append((r["key"], r["k"], c.trace(r["s"], c.barriers(r["s"]), _span(a, r["l"]) if r["k"] else None, [right])[right]))
             yield pa.record_batch([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.list_(pa.int32())))], ["key", "k", "ids"])
 
     traced = cut.join(states, ["key", "k"]).select("key", "k", "n", "left", "s", "l", "r").mapInArrow(back, "key string, k int, ids array<int>")
