@@ -7,9 +7,9 @@ two texts agree in a component with the probability of their weighted Jaccard si
 components are almost surely filled are never made; a text left with an empty component is done again with twice the time.
 
 Signatures are cut into bands. In each (band, value) bucket every text is compared with one centre, chosen by a hash that
-differs from band to band, so a bucket costs its size and not its square. Buckets whose texts did not all come together are
-then worked through again: each text against its likeliest partner outside its own component, and last against all of them that
-the signature does not rule out. All links are verified on the exact multisets before they count.
+differs from band to band, so a bucket costs its size and not its square. In buckets whose texts did not all come together by
+that, texts of different components are then held against each other, block by block inside tasks: first by signature, then by
+their elements; only pairs that join components leave the task. All links are verified on the exact multisets before they count.
 """
 from __future__ import annotations
 
@@ -153,42 +153,89 @@ def _links(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return cut_lineage(held.mapInArrow(_verify(threshold), "a long, b long"))
 
 
-def _partners(every: bool):
-    """Pairs across components within one block of a bucket against one other block."""
-    def run(key, left, right):
-        import pandas as pd
-
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        pl, pr = (np.frombuffer(b"".join(x["prints"]), np.uint16).reshape(len(x), -1) for x in (left, right))
-        cl, cr = left["c"].to_numpy(), right["c"].to_numpy()
-        a, b = [], []
-        for i in range(len(left)):
-            near = (pr == pl[i]).mean(1)
-            near[cr == cl[i]] = 0
-            js = np.flatnonzero(near >= LIKELY)
-            if len(js) and not every:
-                js = js[[np.argmax(near[js])]]
-            a += [left["v"].iat[i]] * len(js)
-            b += list(right["v"].to_numpy()[js])
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}, dtype="int64")
-    return run
+def _elements(hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Multisets as sets: 32 bits of every shingle and how many equal ones came before it, sorted within each text."""
+    order = np.lexsort((hashes, text))
+    h, t = hashes[order], text[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+    low = (mix(h + (np.arange(len(h)) - first).astype(np.uint64) * _GOLD) >> np.uint64(32)).astype(np.uint32)
+    order = np.lexsort((low, t))
+    return low[order], t
 
 
-def _across(members: DataFrame, labels: DataFrame, prints: DataFrame, every: bool, block: int = 2048) -> DataFrame:
-    """Likely pairs between different components of a bucket. members: (band, value, v). Large buckets are dealt out in
-    blocks, each block of the texts outside the bucket's largest component against each block of the bucket."""
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in pieces(batches, "text"):
+        low, text = _elements(*shingles(*word_hashes(b.column(1)), WORDS))
+        edges = np.searchsorted(text, np.arange(b.num_rows + 1))
+        yield pa.record_batch([b.column(0), pa.array([low[x:y].tobytes() for x, y in zip(edges, edges[1:])], pa.binary())], ["v", "bag"])
+
+
+def _cross(keys: list, own: dict, threshold: float) -> Iterator[tuple[int, int]]:
+    """Pairs of one bucket's two blocks (or of one with itself) that join components: likely by signature, similar by elements,
+    not met in an earlier band. Of the pairs that join the same components one is enough."""
+    band, _, at, to = keys
+    v, block, c = (np.array(own[k]) for k in ("v", "block", "c"))
+    prints = np.frombuffer(b"".join(own["prints"]), np.uint16).reshape(len(v), -1)
+    bands = np.frombuffer(b"".join(own["bits"]), np.int64).reshape(len(v), -1)
+    bags = [np.frombuffer(x, np.uint32) for x in own["bag"]]
+    sizes = np.array([len(x) for x in bags])
+    for i in np.flatnonzero(block == at):
+        other = (c != c[i]) & (block == to)
+        if at == to:
+            other[:i + 1] = False
+        js = np.flatnonzero(other)
+        js = js[(prints[js] == prints[i]).mean(1) >= LIKELY] if len(js) else js
+        js = js[(bands[js] == bands[i]).argmax(1) == band] if len(js) else js
+        js = js[np.minimum(sizes[js], sizes[i]) >= threshold * np.maximum(sizes[js], sizes[i])]
+        if not len(js):
+            continue
+        many = np.concatenate([bags[j] for j in js])
+        hit = bags[i][np.minimum(np.searchsorted(bags[i], many), sizes[i] - 1)] == many
+        both = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes[js]) - sizes[js])
+        for j in js[both >= (threshold - 1e-9) * (sizes[js] + sizes[i] - both)]:
+            if c[j] != c[i]:
+                yield int(v[i]), int(v[j])
+                c[c == c[j]] = c[i]
+
+
+def _across(members: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
+    """Similar pairs between different components of a bucket. members: (band, value, v). A bucket's texts are dealt out in blocks,
+    and each pair of blocks is a group of its own, so that none holds more than two blocks."""
     own = members.join(labels, "v", "left").select("band", "value", "v", F.coalesce("component", "v").alias("c"))
-    sizes = own.groupBy("band", "value", "c").agg(F.count("*").alias("n"))
-    whole = sizes.groupBy("band", "value").agg(F.sum("n").alias("size"), F.count("*").alias("parts"), F.max(F.struct("n", "c"))["c"].alias("main"))
-    mixed = own.join(whole.where("parts > 1"), ["band", "value"]).join(prints, "v") \
-        .withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-    mixed = cut_lineage(mixed.withColumn("at", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")))
-    right = mixed.select("band", "value", "at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("to"), "v", "c", "prints")
-    left = mixed.where("c <> main").select("band", "value", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at"),
-                                           F.col("at").alias("to"), "v", "c", "prints")
-    keys = ["band", "value", "at", "to"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_partners(every), "a long, b long").distinct()
+    whole = own.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most")
+    mixed = own.join(whole.select("band", "value", F.ceil(F.col("n") / block).cast("int").alias("blocks")), ["band", "value"])
+    mixed = cut_lineage(mixed.withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")))
+    facts = mixed.select("v").distinct().join(texts, "v").select("v", "text").mapInArrow(_bags, "v long, bag binary")
+    facts = facts.join(classes.select("v", "prints", "bands"), "v")
+    dealt = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(facts, "v") \
+        .select("band", "value", F.least("block", "other").alias("at"), F.greatest("block", "other").alias("to"), "v", "c", "block", "prints", "bands", "bag")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own, names = None, {}, ["v", "c", "block", "prints", "bits", "bag"]
+
+        def found() -> pa.RecordBatch:
+            pairs = list(_cross(now, own, threshold)) if now and len(own["v"]) > 1 else []
+            return pa.record_batch([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        for b in batches:
+            keys = list(zip(*(b.column(i).to_pylist() for i in range(4))))
+            lists = b.column(8)
+            bits = np.ascontiguousarray(lists.flatten().to_numpy(), np.int64).reshape(b.num_rows, -1)
+            columns = [*(b.column(i).to_pylist() for i in (4, 5, 6, 7)), [x.tobytes() for x in bits], b.column(9).to_pylist()]
+            for key, *values in zip(keys, *columns):
+                if key != now:
+                    if now:
+                        yield found()
+                    now, own = key, {n: [] for n in names}
+                for n, x in zip(names, values):
+                    own[n].append(x)
+        if now:
+            yield found()
+
+    grouped = dealt.repartition("band", "value", "at", "to").sortWithinPartitions("band", "value", "at", "to", "v")
+    return grouped.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
@@ -214,12 +261,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = cut_lineage(with_text_key(texts, "id", "text", "own").where("own = v").groupBy("v").agg(F.first("text").alias("text")))
     links = _links(pairs, texts, threshold)
     labels = components(links)
-    for every in (False, True):
-        more = cut_lineage(_across(members.select("band", "value", "v"), labels, classes.select("v", "prints"), every))
-        if more.isEmpty():  # then no pair across components is likely, here or in a later turn
-            break
-        links = links.union(_links(more, texts, threshold))
-        labels = components(links)
+    more = cut_lineage(_across(members.select("band", "value", "v"), labels, classes, texts, threshold))
+    if not more.isEmpty():
+        labels = components(links.union(_links(more, texts, threshold)))
     owned = signed.select("id", "v").join(labels, "v", "left").select("id", "v", F.coalesce("component", "v").alias("c"))
     owned = cut_lineage(owned)
     names = owned.groupBy("c").agg(F.min("id").alias("class_id"), F.min(F.struct(F.col("id").isNull(), "id", "v"))["v"].alias("first_v"))
