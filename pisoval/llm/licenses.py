@@ -3,8 +3,8 @@
 Text and templates are two-word shingles (lower case, punctuation parts words). For each template length a text is seen through windows
 of twice that length, a quarter of it apart, so any passage as long as the template lies whole in one. Every band is one MinHash
 value: with 24 bands a window that holds 80% of a template (Jaccard 0.36 at the least) is retrieved but once in 40,000 times.
-Windows that share no shingle with any template can't collide in a band, so MinHash values are computed only where
-shingles of templates occur; this leaves out nothing.
+A window that verifies holds 80% of a template's shingles, so MinHash values are computed only for windows that hold as many
+shingles of templates of their length; this leaves out nothing.
 """
 from __future__ import annotations
 
@@ -59,27 +59,42 @@ class Library:
             if len(h):
                 values = np.unique(shingles(h, c, WORDS)[0])
                 made.append(Template(name, values, len(h), _signature(values)))
-        self.values = np.unique(np.concatenate([t.values for t in made])) if made else np.empty(0, np.uint64)
         self.low = np.zeros(1 << 16, bool)
-        self.low[(self.values & np.uint64(0xFFFF)).astype(int)] = True
         self.by_length: dict[int, list[Template]] = defaultdict(list)
         for t in made:
             self.by_length[t.words].append(t)
+            self.low[(t.values & np.uint64(0xFFFF)).astype(int)] = True
+        # For each length: all its templates' shingles, and how many of them a window that verifies holds at the least.
+        self.needs = {n: (np.unique(np.concatenate([t.values for t in ts])), max(1, int(np.ceil(CONTAINMENT * min(len(t.values) for t in ts) - 1e-9))))
+                      for n, ts in self.by_length.items()}
         self.bands = {n: [{v: [t for t in ts if t.signature[b] == v] for v in {t.signature[b] for t in ts}} for b in range(BANDS)] for n, ts in self.by_length.items()}
 
-    def occurrences(self, values: np.ndarray) -> np.ndarray:
-        """Places of shingles that some template has."""
-        at = np.flatnonzero(self.low[(values & np.uint64(0xFFFF)).astype(np.int64)])
-        return at[np.isin(values[at], self.values)] if len(at) else at
-
-    def scan(self, values: np.ndarray, places: np.ndarray) -> list[tuple[str, int, int, float]]:
+    def _runs(self, n: int, values: np.ndarray, places: np.ndarray, text: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """First and last places of as many shingles as a match needs, near enough for one window and in one text."""
+        wanted, need = self.needs[n]
+        own = places[np.isin(values[places], wanted)]
+        first, last = own[:max(0, len(own) - need + 1)], own[need - 1:]
+        near = last - first < 2 * n
+        if text is not None:
+            near &= text[first] == text[last]
+        return first[near], last[near]
+
+    def candidates(self, values: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Texts with a window that may verify. values: shingles of texts one after another; text: the text of each."""
+        places = np.flatnonzero(self.low[(values & np.uint64(0xFFFF)).astype(np.int64)])
+        return np.unique(np.concatenate([text[self._runs(n, values, places, text)[0]] for n in self.by_length])) if len(places) else places
+
+    def scan(self, values: np.ndarray) -> list[tuple[str, int, int, float]]:
         """(template, first shingle, behind the last, containment) of every match in one text's shingles; matches of a template
-        that overlap are one, with the best containment; where passages of two templates overlap, only the better one counts.
-        places: as occurrences() gives them."""
+        that overlap are one, with the best containment; where passages of two templates overlap, only the better one counts."""
+        places = np.arange(len(values))
         found = []
         for n, templates in self.by_length.items():
             wide, stride = 2 * n, max(1, n // 4)
-            starts = np.unique(np.concatenate([np.arange(max(0, -(-(p - wide + 1) // stride)), p // stride + 1) for p in places]) * stride)
+            runs = list(zip(*self._runs(n, values, places)))
+            if not runs:
+                continue
+            starts = np.unique(np.concatenate([np.arange(max(0, -(-(b - wide + 1) // stride)), a // stride + 1) for a, b in runs])) * stride
             spans: dict[str, list] = defaultdict(list)
             for s in starts:
                 window = values[s:s + wide]
@@ -116,13 +131,11 @@ def scan_licenses(df: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_co
         library = Library(templates)
         for b in pieces(batches, "text"):
             values, text = shingles(*word_hashes(b.column(1), MARKS), WORDS)
-            places = library.occurrences(values)
             rows = []
-            for doc in np.unique(text[places]):
+            for doc in library.candidates(values, text):
                 first, behind = np.searchsorted(text, [doc, doc + 1])
-                own = places[(places >= first) & (places < behind)] - first
                 by_name = defaultdict(list)
-                for name, a, _, share in library.scan(values[first:behind], own):
+                for name, a, _, share in library.scan(values[first:behind]):
                     by_name[name].append((a, share))
                 rows += [(b.column(0)[int(doc)].as_py(), name, len(m), min(x[0] for x in m), max(x[1] for x in m)) for name, m in by_name.items()]
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64()]
