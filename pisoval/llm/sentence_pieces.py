@@ -27,7 +27,7 @@ from .words import pieces as slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk; entries that a worker keeps of words, and of pairs.
-CHUNK, WORDS_KEPT, PAIRS_KEPT = 32_768, 250_000, 600_000
+CHUNK, WORDS_KEPT, PAIRS_KEPT = 32_768, 600_000, 900_000
 MARK = "▁"
 BEGIN, END = -1, -2
 
@@ -79,7 +79,8 @@ class Codec:
         got = self._pairs.get(key)
         if got is None:
             x, y = self.names[a], self.names[b]
-            got = self._pairs[key] = self.merge(x + y) == [x, y]
+            # Together they may be a piece that merging makes; else merging tells.
+            got = self._pairs[key] = self.found.get(x + y, -1) < 0 and self.merge(x + y) == [x, y]
         return got
 
     def paths(self, s: str, at: int, last: int, end: int) -> list[int]:
@@ -145,7 +146,11 @@ class Codec:
 
     def parts(self, s: str) -> list[str]:
         """s cut at its barriers: before each word mark that follows other text, and around characters spelled in bytes."""
-        return self._cut.findall(s)
+        if "\x1e" in s or MARK * 2 in s:  # runs of marks stay together
+            return self._cut.findall(s)
+        for c in set(s) - self.single:
+            s = s.replace(c, f"\x1e{c}\x1e")
+        return [p for p in s.replace(MARK, "\x1e" + MARK).split("\x1e") if p]
 
     @property
     def _cut(self):
