@@ -26,10 +26,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .words import pieces
 
 #: Bounds of the fit: labelled documents of either kind, characters of all of them.
-TOXIC, CLEAN, CHARACTERS = 2500, 4000, 24_000_000
+TOXIC, CLEAN, CHARACTERS = 2500, 4000, 16_000_000
 LANDMARKS, NEGATIVES, ROUNDS, GAP = 256, 6000, 3, 0.6
 #: Buckets of subsequence hashes; characters of a word's window and its step, for words beyond one window.
-BUCKETS, WIDTH, STEP = 1 << 16, 24, 12
+BUCKETS, WIDTH, STEP = 1 << 15, 24, 12
 _SPANS = [(a, b, GAP ** (b - 2)) for b in range(2, 5) for a in range(1, b)]
 _SENTENCE = re.compile(r"[.!?\n]+")
 _SPELLED = re.compile(r"(?<!\S)\w(?:[ \t]\w){2,}(?!\S)")
@@ -65,17 +65,17 @@ def describe(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]
         n = chars.shape[1] - b
         h = x[:, :n] ^ (y[:, a:a + n] + (x[:, :n] >> np.uint64(29))) ^ (z[:, b:b + n] >> np.uint64(1))
         h ^= h >> np.uint64(31)
-        yield (h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(48)).astype(np.int32), chars[:, b:b + n] != 0, weight
+        yield (h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(49)).astype(np.int32), chars[:, b:b + n] != 0, weight
 
 
 def _project(words: list[str], weights: np.ndarray) -> np.ndarray:
     """Descriptions times weights (buckets, k), over the descriptions' lengths."""
-    out, length = np.zeros((len(words), weights.shape[1])), np.zeros(len(words))
+    out, length = np.zeros((len(words), weights.shape[1]), np.float32), np.zeros(len(words))
     for bucket, there, weight in describe(words):
         length += weight ** 2 * there.sum(1)
         for column in range(bucket.shape[1]):
             on = np.flatnonzero(there[:, column])
-            out[on] += weight * weights[bucket[on, column]]
+            out[on] += np.float32(weight) * weights[bucket[on, column]]
     return out / np.sqrt(np.maximum(length, 1e-9))[:, None]
 
 
@@ -155,15 +155,15 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _nystroem(landmarks: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, landmarks) descriptions and the whitening of their kernel matrix."""
-    phi = np.zeros((BUCKETS, len(landmarks)))
+    phi = np.zeros((BUCKETS, len(landmarks)), np.float32)
     length = np.zeros(len(landmarks))
     for bucket, there, weight in describe(landmarks):
         length += weight ** 2 * there.sum(1)
         row, column = np.nonzero(there)
         np.add.at(phi, (bucket[row, column], row), weight)
-    phi /= np.sqrt(np.maximum(length, 1e-9))
-    values, vectors = np.linalg.eigh(phi.T @ phi)
-    keep = values > 1e-6 * values.max()
+    phi /= np.sqrt(np.maximum(length, 1e-9)).astype(np.float32)
+    values, vectors = np.linalg.eigh((phi.T @ phi).astype(float))
+    keep = values > 1e-5 * values.max()
     return phi, vectors[:, keep] / np.sqrt(values[keep])
 
 
@@ -208,12 +208,12 @@ def train(texts: list[str], toxic: list[int]) -> Model:
         phi, white = _nystroem(landmarks)
         hidden = sorted({h for w in plus if witness.get(int(w), 0) > 1 for h in disguised(vocabulary[w])}.difference(number))
         short = [_windows([w])[0][0] for w in [*(vocabulary[w] for w in plus), *hidden, *(vocabulary[w] for w in minus)]]
-        z = np.column_stack([_project(short, phi.astype(np.float32)) @ white, np.ones(len(short))])
+        z = np.column_stack([_project(short, phi) @ white, np.ones(len(short))])
         target = np.where(np.arange(len(short)) < len(plus) + len(hidden), 1.0, -1.0)
         often = np.array([np.sqrt(witness.get(int(w), 1)) for w in plus])
         cost = np.concatenate([often / often.sum(), np.full(len(hidden), 0.5 / max(1, len(hidden))), np.full(len(minus), 2.0 / len(minus))]) * 2000
         w = _machine(z, target, cost)
-        model = Model((phi @ (white @ w[:-1])).astype(np.float32), float(w[-1]), constant)
+        model = Model((phi @ (white @ w[:-1]).astype(np.float32)), float(w[-1]), constant)
         scores = model.word_scores(vocabulary)
         hard = clean[np.argsort(-scores[clean])[:NEGATIVES // 3]]
         hard = hard[held[1][hard] <= held[0][hard] * 3]
