@@ -2,9 +2,11 @@
 
 In each pass every vector gets a code of 60 random-hyperplane bits; vectors are ordered by it across the cluster, and each is
 compared with the neighbours in a bounded window. The number of passes follows from the number of vectors, so that a pair at the
-threshold is missed in all passes about once in 100,000 times. Verified neighbours are united across passes. A window bounds
-what one pass finds, so the links of each component are then counted whole, block against block, which emits counts and no
-pairs. All cosines are in double precision on the original vectors.
+threshold shares its first bits in no pass about once in 100,000 times, however the vectors lie. Vectors that share these bits
+are a run; a window spans the usual run. Longer runs, which dense groups make, are compared whole, block against block, unless
+the windows have already brought all their vectors together; only pairs that join components leave the task. Verified
+neighbours are united across passes. The links of each component are then counted whole, block against block, which emits
+counts and no pairs. All cosines are in double precision on the original vectors.
 """
 from __future__ import annotations
 
@@ -20,13 +22,18 @@ from ..session import cut_lineage
 from .graph import components
 from .vectors import checked, matrix
 
-THRESHOLD, WINDOW, BITS, MISS, CHUNK, BLOCK = 0.95, 64, 60, 1e-5, 512, 1024
+THRESHOLD, WINDOW, BITS, MISS, CHUNK, BLOCK, WIDE = 0.95, 64, 60, 1e-5, 512, 1024, 2048
+
+
+def prefix_for(n: int) -> int:
+    """First bits of a code by which evenly spread vectors fall into runs of half a window."""
+    return min(BITS, max(1, math.ceil(math.log2(max(2, n) / (WINDOW / 2)))))
 
 
 def passes_for(n: int, threshold: float = THRESHOLD) -> int:
-    """Passes after which a pair at the threshold has been within the window but for a chance of MISS."""
+    """Passes after which a pair at the threshold has shared a run but for a chance of MISS."""
     agree = 1 - math.acos(min(1.0, threshold)) / math.pi
-    hit = agree ** max(1.0, math.log2(max(2, n) / (WINDOW / 2)))
+    hit = agree ** prefix_for(n)
     return max(4, math.ceil(math.log(MISS) / math.log(1 - min(hit, 0.999))))
 
 
@@ -35,7 +42,8 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True)) if len(x) else x
 
 
-def _code(passes: int):
+def _code(passes: int, prefix: int | None = None):
+    """The codes of every pass, with the vectors; with a prefix, the runs of that many bits without them."""
     def run(batches):
         planes = None
         for b in batches:
@@ -50,6 +58,9 @@ def _code(passes: int):
                     own = bits[:, p * BITS:(p + 1) * BITS]
                     code = own @ (np.int64(1) << np.arange(BITS, dtype=np.int64)[::-1])
                     part = b.slice(lo, len(own))
+                    if prefix:
+                        yield pa.record_batch([pa.array(np.full(len(own), p, np.int32)), pa.array(code >> (BITS - prefix)), part.column(0)], ["pass", "run", "v"])
+                        continue
                     yield pa.record_batch([pa.array(np.full(len(own), p, np.int32)), pa.array(code), part.column(0), part.column(1)], ["pass", "code", "v", "vec"])
     return run
 
@@ -112,6 +123,48 @@ def _windows(threshold: float):
     return run
 
 
+def _joining(pdf: pd.DataFrame, at: int, to: int, threshold: float) -> list[tuple[int, int]]:
+    """Verified pairs of two blocks (or of one with itself) that join components; of pairs that join the same ones, one."""
+    v, c, x = pdf["v"].to_numpy(), pdf["c"].to_numpy().copy(), unit(matrix(pdf["vec"]))
+    first, second = (np.flatnonzero(pdf["block"].to_numpy() == k) for k in (at, to))
+    names, many = np.unique(c, return_counts=True)
+    rest = c != names[many.argmax()]  # a joining pair has an end outside the commonest component
+    pairs = []
+    for left, right in ((first[rest[first]], second), (second[rest[second]], first)):
+        if not len(left):
+            continue
+        near = x[left] @ x[right].T >= threshold
+        for i, row in zip(left, near):
+            js = right[row]
+            while len(js := js[c[js] != c[i]]):
+                pairs.append((v[i], v[js[0]]))
+                c[c == c[js[0]]] = c[i]
+    return pairs
+
+
+def _whole_runs(classes: DataFrame, labels: DataFrame, passes: int, prefix: int, threshold: float) -> DataFrame:
+    """Pairs (a, b) that join components and share a run longer than a window spans. Each run is a group of its own, cut into blocks
+    whose pairs are separate tasks, or all vectors of such runs are one group, if that is fewer pairs."""
+    coded = classes.select("v", "vec").mapInArrow(_code(passes, prefix), "pass int, run long, v long")
+    long = cut_lineage(coded.groupBy("pass", "run").agg(F.count("*").alias("size")).where(F.col("size") > WINDOW + 1))
+    own = cut_lineage(coded.join(long.select("pass", "run"), ["pass", "run"]).join(labels, "v", "left").select("pass", "run", "v", F.coalesce("component", "v").alias("c")))
+    mixed = own.groupBy("pass", "run").agg(F.count("*").alias("size"), F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most")
+    mixed = cut_lineage(mixed.select("pass", "run", "size"))
+    own = cut_lineage(own.join(mixed, ["pass", "run"]))
+    each = mixed.agg(F.sum(F.col("size").cast("double") * F.col("size"))).first()[0] or 0.0
+    all_of = own.select("v", "c").distinct()
+    if (most := all_of.count()) ** 2 <= each:
+        own = all_of.select(F.lit(0).alias("pass"), F.lit(0).cast("long").alias("run"), "v", "c", F.lit(most).cast("long").alias("size"))
+    own = own.withColumn("blocks", F.ceil(F.col("size") / WIDE).cast("int")).withColumn("block", F.pmod(F.xxhash64("v", F.lit(5)), F.col("blocks")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(classes.select("v", "vec"), "v") \
+        .select("pass", "run", F.least("block", "other").alias("at"), F.greatest("block", "other").alias("to"), "block", "v", "c", "vec")
+
+    def run(key, pdf):
+        return pd.DataFrame(_joining(pdf, key[2], key[3], threshold), columns=["a", "b"]).astype("int64")
+
+    return dealt.groupBy("pass", "run", "at", "to").applyInPandas(run, "a long, b long").distinct()
+
+
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of df: (id, n_links, component_id, kept).
 
@@ -137,7 +190,11 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
     borders = found.where("border is not null").groupBy("border").applyInPandas(across, "a long, b long")
     links = found.where("border is null").select("a", "b").union(borders).distinct()
+    links = cut_lineage(links)
     labels = cut_lineage(components(links))
+    more = cut_lineage(_whole_runs(classes, labels, passes, prefix_for(n), threshold))
+    if not more.isEmpty():
+        labels = cut_lineage(components(links.union(more)))
 
     # Whole count of links: every block of a component against every block of it.
     members = classes.join(labels, "v").withColumn("blocks", F.lit(1))

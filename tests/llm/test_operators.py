@@ -261,6 +261,30 @@ def test_near_vectors_equal_brute_force(spark):
     assert near_vectors(frame(spark, x[:0])).count() == 0
 
 
+def test_near_vectors_find_all_pairs_inside_a_dense_group(spark):
+    """A third of all rows at cosine 0.9 to each other, with pairs at 0.951 among them: a window is full of group mates."""
+    r, n, d, planted = np.random.default_rng(4), 6000, 64, 700
+
+    def across(z, *axes):
+        for a in axes:
+            z = z - (z * a).sum(1, keepdims=True) * a
+        return z / np.linalg.norm(z, axis=1, keepdims=True)
+
+    x, centre = across(r.standard_normal((n, d))), across(r.standard_normal((1, d)))
+    own = across(r.standard_normal((n // 3, d)), centre)
+    first, q = own[:planted], (0.951 - 0.9) / 0.1
+    own[planted:2 * planted] = q * first + np.sqrt(1 - q * q) * across(r.standard_normal((planted, d)), centre, first)
+    x[:n // 3] = np.sqrt(0.9) * centre + np.sqrt(0.1) * own
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    label = np.arange(n)
+    for _ in range(12):
+        label = np.minimum(label, np.where(near, label[None, :], n).min(1))
+    got = near_vectors(frame(spark, x)).toPandas().set_index("id").sort_index()
+    assert near.sum() >= 2 * planted and (got.n_links.to_numpy() == near.sum(1)).all()
+    assert (got.component_id.to_numpy() == label).all() and (got.kept.to_numpy() == (label == np.arange(n))).all()
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(0, 300)] + [(500, 501), (501, 500), (7, 7), (900, 900), (None, 1)]
     got = {r["v"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
