@@ -23,10 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import cut_lineage
 from .words import pieces
 
 #: Bounds of the fit: labelled documents of either kind, characters of all of them.
 TOXIC, CLEAN, CHARACTERS = 2500, 4000, 16_000_000
+#: A document beyond this part of its kind's characters is learned from only where shorter ones leave room.
+LARGE = 1 / 20
 LANDMARKS, NEGATIVES, ROUNDS, GAP = 256, 6000, 3, 0.6
 #: Buckets of subsequence hashes; characters of a word's window and its step, for words beyond one window.
 BUCKETS, WIDTH, STEP = 1 << 15, 24, 12
@@ -229,22 +232,40 @@ def in_held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Trained on at most TOXIC and CLEAN labelled documents, the first by a hash of their ids, up to CHARACTERS characters. A
-    document labelled twice counts as toxic if one label says so; null labels and texts teach nothing. The documents meet the
-    chosen ids, which the bound keeps few, by a broadcast, so the corpus isn't shuffled."""
+    """Trained on at most TOXIC and CLEAN labelled documents, the first by a hash of their ids, up to CHARACTERS characters, of
+    which each kind has its share and what the other leaves. Long documents come last, the shorter ones first, and one that
+    doesn't fit is passed over, so none takes the others' place (one beyond CHARACTERS teaches nothing). A document labelled twice counts as toxic if one label says
+    so; null labels and texts teach nothing; the rows of an id are one document here. The texts meet the chosen ids, which the
+    bound keeps few, by a broadcast, so that only ids and lengths are shuffled."""
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).where("id is not null and y is not null")
     known = known.where(~in_held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("id"))
-    chosen = [known.where(F.col("y") == v).orderBy("h", "id").limit(n) for v, n in ((1, TOXIC), (0, CLEAN))]
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.lower(F.col(f"`{text_col}`")).alias("text")).where("text is not null")
-    rows = rows.join(F.broadcast(chosen[0].union(chosen[1])), "id").orderBy("h", "id", "text").select("text", "y")
-    texts, toxic, left = [], [], CHARACTERS
+    sizes = rows.select("id", F.length("text").cast("long").alias("size")).groupBy("id").agg(F.sum("size").alias("size"))
+    sized = cut_lineage(known.join(sizes, "id"))
+    share = CHARACTERS * TOXIC // (TOXIC + CLEAN)
+
+    def first(kind: int, n: int, own: int) -> list:
+        late = F.when(F.col("size") > int(own * LARGE), F.col("size")).otherwise(0)
+        return sized.where((F.col("y") == kind) & (F.col("size") <= CHARACTERS)).orderBy(late, "h", "id").limit(n).collect()
+
+    def filled(found: list, left: int) -> list:
+        out = []
+        for r in found:
+            if r["size"] <= left:
+                left -= r["size"]
+                out.append(r)
+        return out
+
+    toxic, clean = first(1, TOXIC, share), first(0, CLEAN, CHARACTERS - share)
+    taken = filled(toxic, max(share, CHARACTERS - sum(r["size"] for r in clean)))
+    taken += filled(clean, CHARACTERS - sum(r["size"] for r in taken))
+    chosen = docs.sparkSession.createDataFrame(taken, sized.schema).select("id", "y", "h")
+    rows = rows.join(F.broadcast(chosen), "id").orderBy("h", "id", "text").select("text", "y")
+    texts, marks = [], []
     for r in rows.toLocalIterator():
-        left -= len(r["text"])
-        if left < 0 and texts:
-            break
         texts.append(r["text"])
-        toxic.append(r["y"])
-    return train(texts, toxic)
+        marks.append(r["y"])
+    return train(texts, marks)
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

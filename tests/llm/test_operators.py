@@ -119,6 +119,19 @@ def test_toxicity_fit_uses_no_held_out_label(spark, insulted):
     assert toxicity.fit(docs.limit(0), known).document_scores(np.zeros((1, 4))).shape == (1,)
 
 
+@pytest.mark.parametrize("label, words", [(1, 80_000), (0, 80_000), (1, 30_000), (0, 30_000)])
+def test_toxicity_fit_is_not_decided_by_one_long_text(spark, insulted, monkeypatch, label, words):
+    texts, labels = insulted
+    monkeypatch.setattr(toxicity, "CHARACTERS", 300_000)
+    order = spark.range(20_000).where((F.col("id") < 400) | ~toxicity.in_held_out(F.col("id"))).orderBy(F.xxhash64("id"))
+    giant = order.first()["id"]
+    assert giant >= 400  # the long text is the first by hash
+    docs = spark.createDataFrame([*enumerate(texts), (giant, prose(words, 2))], "doc_id long, text string")
+    known = spark.createDataFrame([*enumerate(labels), (giant, label)], "doc_id long, toxic int")
+    scored = toxicity.score(docs, toxicity.fit(docs, known)).select("row.doc_id", "score").toPandas().set_index("doc_id").score
+    assert np.mean([(scored[i] >= 0.5) == bool(y) for i, y in enumerate(labels)]) > 0.95
+
+
 # 3 Page text
 
 def test_extracts_layouts_never_seen():
