@@ -8,8 +8,8 @@ components are almost surely filled are never made; a text left with an empty co
 
 Signatures are cut into bands. In each (band, value) bucket every text is compared with one centre, chosen by a hash that
 differs from band to band, so a bucket costs its size and not its square. In buckets whose texts did not all come together by
-that, texts of different components are then held against each other, block by block inside tasks: first by signature, then by
-their elements; only pairs that join components leave the task. All links are verified on the exact multisets before they count.
+that, texts of different components are then held against each other, block by block inside tasks, by size
+and elements; only pairs that join components leave the task. All links are verified on the exact multisets before they count.
 """
 from __future__ import annotations
 
@@ -24,8 +24,6 @@ from .graph import components
 from .words import mix, multisets, pieces, shingles, text_keys, word_hashes
 
 WORDS, SIMILARITY, COMPONENTS, BANDS = 5, 0.8, 64, 16
-#: A pair of similarity 0.8 falls this low in a signature of 64 components about once in 10,000 times.
-LIKELY = 0.61
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -173,11 +171,9 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cross(keys: list, own: dict, threshold: float) -> Iterator[tuple[int, int]]:
-    """Pairs of one bucket's two blocks (or of one with itself) that join components: likely by signature, similar by elements,
-    not met in an earlier band. Of the pairs that join the same components one is enough."""
+    """Pairs of one bucket's two blocks (or of one with itself) that join components: similar by size and elements, not met in an earlier band. Of the pairs that join the same components one is enough."""
     band, _, at, to = keys
     v, block, c = (np.array(own[k]) for k in ("v", "block", "c"))
-    prints = np.frombuffer(b"".join(own["prints"]), np.uint16).reshape(len(v), -1)
     bands = np.frombuffer(b"".join(own["bits"]), np.int64).reshape(len(v), -1)
     bags = [np.frombuffer(x, np.uint32) for x in own["bag"]]
     sizes = np.array([len(x) for x in bags])
@@ -186,7 +182,6 @@ def _cross(keys: list, own: dict, threshold: float) -> Iterator[tuple[int, int]]
         if at == to:
             other[:i + 1] = False
         js = np.flatnonzero(other)
-        js = js[(prints[js] == prints[i]).mean(1) >= LIKELY] if len(js) else js
         js = js[(bands[js] == bands[i]).argmax(1) == band] if len(js) else js
         js = js[np.minimum(sizes[js], sizes[i]) >= threshold * np.maximum(sizes[js], sizes[i])]
         if not len(js):

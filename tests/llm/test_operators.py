@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pisoval.llm import chat, html_text, licenses, sentence_pieces as sp, toxicity
 from pisoval.llm.graph import components
 from pisoval.llm.mixing import mix_documents, mixed_rows, split_quotas
-from pisoval.llm.near_text import near_duplicates, signatures
+from pisoval.llm.near_text import _cross, near_duplicates, signatures
 from pisoval.llm.near_vectors import near_vectors
 from pisoval.llm.neighbours import nearest
 from pisoval.llm.sharding import kd_shards
@@ -320,6 +320,14 @@ def test_signatures_estimate_weighted_jaccard():
     assert abs(np.mean([(s[0] == s[1]).mean() for s in rows]) - true) < 0.02
 
 
+def test_similar_texts_of_unlike_signatures_are_held_against_each_other():
+    bag, r = np.arange(90, dtype=np.uint32), np.random.default_rng(1)
+    prints = [r.integers(0, 1000, 64).astype(np.uint16) for _ in range(2)]
+    own = {"v": [1, 2], "block": [0, 0], "c": [1, 2], "prints": [x.tobytes() for x in prints], "bits": [np.zeros(16, np.int64).tobytes()] * 2,
+           "bag": [bag.tobytes(), (bag + 10).astype(np.uint32).tobytes()]}
+    assert list(_cross([0, 7, 0, 0], own, 0.8)) == [(1, 2)]
+
+
 def test_near_duplicates_equal_brute_force(spark):
     r, rows = random.Random(8), []
     for g in range(60):
