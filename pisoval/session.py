@@ -21,11 +21,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Folder named by the cluster; a temporary one only for local masters."""
+    """Folder named by the cluster; a temporary one only where driver and executors are one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     if not _LOCAL_DIR:
         _LOCAL_DIR.append(tempfile.mkdtemp(prefix="pisoval-"))
@@ -39,6 +40,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of intermediate rows that nothing reads any more, in whatever store it lies."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Repartition a frame read in fewer splits than there are cores; a well-split one passes untouched."""
     cores = df.sparkSession.sparkContext.defaultParallelism
