@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, html_text, licenses, sentence_pieces, toxicity
+from . import chat, conversation_trie, html_text, licenses, quality, sentence_pieces, toxicity, vector_codes
 from .mixing import mix_documents
 from .near_text import near_duplicates
 from .near_vectors import near_vectors
@@ -102,6 +102,31 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode(docs, check="round_trip").select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "round_trip")
 
 
+@_query
+def op11_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality, learned from preferences between labelled documents that aren't held out."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rated = quality.rate(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return rated.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted", "worth")
+
+
+@_query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's code, with codebooks of 16 entries for each of 8 parts after 6 rounds."""
+    found = vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return vector_codes.with_label_errors(found.rows).select(F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error",
+                                                             F.lit(found.sha256()).alias("codebooks_sha256"))
+
+
+@_query
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of conversations that begin with turns of the first conversation of their hundred."""
+    conv = F.col("conv_id")
+    turns = conversation_trie.turns_of(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    rebuilt = conversation_trie.sequences(turns, conv - conv % 100, F.crc32(conv.cast("string").cast("binary")) % 6, 5)
+    return conversation_trie.prefix_trie(rebuilt)
+
+
 #: Turns as the template writes them: marks, and a backslash for each control string and each backslash in a text.
 _MARKS = "['<<SYS>>','<</SYS>>','[INST]','[/INST]','<s>','</s>','<|role|>','<|text|>','<|end|>']"
 _LENGTH = ("length({0}) + length({0}) - length(replace({0}, chr(92), '')) + list_sum(list_transform(" + _MARKS +
@@ -153,3 +178,51 @@ sums AS (SELECT k, try, h, left_, abs(CAST(sum(size) OVER (PARTITION BY k, try O
 cuts AS (SELECT k, min({'off': off, 'try': try, 'h': h}) AS c FROM sums WHERE off < left_ GROUP BY k)
 SELECT doc_id, size, source_size, target, CAST(size * (passes + CASE WHEN whole THEN 1 WHEN part AND md5(d || '|' || c.try) <= c.h THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM docs LEFT JOIN cuts USING (k)"""
+
+
+def _codes_sql(rounds: int) -> str:
+    """Rounds of integer k-means written out: x holds components, books the entries, near the assignment of each part."""
+    steps = []
+    for t in range(rounds + 1):
+        if t:
+            steps.append(f"""books{t} AS MATERIALIZED (SELECT part, entry, place, CASE WHEN n > 0 THEN (total - ((total % n) + n) % n) // n ELSE v END AS v
+  FROM books{t - 1} LEFT JOIN (SELECT part, entry, place, CAST(sum(x.v) AS BIGINT) AS total, count(*) AS n FROM x JOIN near{t - 1} USING (vec_id, part) GROUP BY ALL) USING (part, entry, place))""")
+        steps.append(f"""near{t} AS MATERIALIZED (SELECT vec_id, part, (min((d, entry)))[2] AS entry, min(d) AS d FROM (SELECT vec_id, part, entry, CAST(sum((x.v - b.v) * (x.v - b.v)) AS BIGINT) AS d
+  FROM x JOIN books{t} b USING (part, place) GROUP BY ALL) GROUP BY ALL)""")
+    return ",\n".join(steps)
+
+
+ORACLES["op12_vector_codes"] = f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(floor(4096 * v::DOUBLE) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v::DOUBLE))) = 0),
+x AS MATERIALIZED (SELECT vec_id, i // (n // 8) AS part, i % (n // 8) AS place, v FROM (SELECT vec_id, len(e) AS n, unnest(range(len(e))) AS i, unnest(e) AS v FROM kept)),
+books0 AS MATERIALIZED (SELECT part, entry, place, v FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT 16) USING (vec_id)),
+{_codes_sql(vector_codes.ROUNDS)},
+coded AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{vector_codes.ROUNDS} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY part, entry, place)) FROM books{vector_codes.ROUNDS}) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)"""
+
+ORACLES["op13_conversation_trie"] = """
+WITH RECURSIVE turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+placed AS (SELECT conv_id, md5(length(role) || ':' || role || text) AS letter, length(text) AS size,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text)) - 1 AS pos FROM turns),
+ids AS (SELECT DISTINCT conv_id, conv_id::VARCHAR AS digits FROM turns),
+crc(conv_id, digits, bit, v) AS (SELECT conv_id, digits, 0, 4294967295::BIGINT FROM ids
+  UNION ALL SELECT conv_id, digits, bit + 1, xor(w >> 1, CASE WHEN w % 2 = 1 THEN 3988292384 ELSE 0 END)
+  FROM (SELECT conv_id, digits, bit, CASE WHEN bit % 8 = 0 THEN xor(v, ascii(substr(digits, CAST(bit // 8 + 1 AS BIGINT), 1))::BIGINT) ELSE v END AS w FROM crc WHERE bit < 8 * length(digits))),
+lent AS (SELECT conv_id, conv_id - conv_id % 100 AS lender, xor(v, 4294967295::BIGINT) % 6 AS h FROM crc WHERE bit = 8 * length(digits)),
+rebuilt AS (SELECT l.conv_id, 0 AS own, pos, letter, size FROM lent l JOIN placed p ON p.conv_id = lender AND pos < h
+  UNION ALL SELECT l.conv_id, 1, pos, letter, size FROM lent l JOIN placed p ON p.conv_id = l.conv_id AND pos >= h),
+paths AS (SELECT conv_id, size, row_number() OVER w AS depth, string_agg(letter, '') OVER w AS path, count(*) OVER (PARTITION BY conv_id) AS n
+  FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY own, pos ROWS UNBOUNDED PRECEDING)),
+members AS (SELECT conv_id, size, depth, path, depth = n AS ends FROM paths
+  UNION ALL SELECT conv_id, 0, 0, '', NOT EXISTS (SELECT 1 FROM rebuilt r WHERE r.conv_id = ids.conv_id) FROM ids),
+nodes AS MATERIALIZED (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(size) AS size, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends) AS ends FROM members GROUP BY path, depth),
+kids AS (SELECT left(path, 32 * (depth - 1)) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+counted AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (path)),
+subtrees AS (SELECT left(path, 32 * d) AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * size) AS saved_tokens
+  FROM (SELECT *, unnest(range(depth + 1)) AS d FROM counted) GROUP BY 1)
+SELECT c.conv_id, CAST(c.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, c.n_convs, CAST(c.n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(c.ends, '')) AS ends_sha256
+FROM counted c JOIN subtrees USING (path) LEFT JOIN nodes p ON c.depth > 0 AND p.path = left(c.path, 32 * (c.depth - 1))"""
