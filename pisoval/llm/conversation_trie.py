@@ -332,7 +332,9 @@ def prefix_trie(strings: DataFrame, most: int = STRINGS) -> DataFrame:
     columns = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
     shared = cut_lineage(nodes.where("open").groupBy("place").agg(
         F.max("parent_place").alias("parent_place"), F.max("depth").alias("depth"), F.min("conv_id").alias("conv_id"),
-        *[F.sum(c).alias(c) for c in ("n_convs", "n_children", "n_leaves", "saved_tokens")], F.coalesce(F.max("ends_sha256"), F.lit(NOTHING)).alias("ends_sha256")))
+        *[F.sum(c).alias(c) for c in ("n_convs", "n_children", "n_leaves", "saved_tokens")], F.coalesce(F.max("ends_sha256"), F.lit(NOTHING)).alias("ends_sha256"))
+                        # Of open nodes only a root alone has no child.
+                        .withColumn("n_leaves", F.when(F.col("n_children") == 0, 1).otherwise(F.col("n_leaves"))))
     names = measure(shared.select(F.col("place").alias("parent_place"), F.col("conv_id").alias("parent_conv_id")), ["parent_place"])
     # Children of open nodes learn their parent's least id here; deeper ones know it.
     below = nodes.where("not open and parent_place is not null").drop("parent_conv_id")
