@@ -39,7 +39,7 @@ def op2_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity, learned from the labels of documents that aren't held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs, model).select("row.doc_id", "score")
+    scored = toxicity.score(docs, model, keep=["doc_id"]).select("row.doc_id", "score")
     return scored.select("doc_id", toxicity.in_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

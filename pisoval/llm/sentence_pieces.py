@@ -3,7 +3,7 @@
 A segmentation scores 0 where every two neighbouring pieces are a pair that merging leaves apart, and minus infinity elsewhere; the
 best path is then the encoding, because merges across a boundary depend on its two pieces alone. No piece of the model crosses
 from text into a following word mark or over a character that the model spells in bytes, so paths through such places
-are independent, and each word's path is computed once per Python worker.
+are independent, and a word's path is computed once while its task has room for it.
 
 A giant text is cut into chunks anywhere. A boundary state is the piece that covers the character before the cut; a chunk yields the
 transfer matrix from the states at its left cut to those at its right one (scores 0 or minus infinity, kept sparse). Matrices are
@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -26,8 +27,10 @@ from ..session import cut_lineage
 from .words import pieces as slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Characters of a chunk; entries that a worker keeps of words, and of pairs.
-CHUNK, WORDS_KEPT, PAIRS_KEPT = 32_768, 600_000, 900_000
+#: Characters of a chunk; about how many bytes a task keeps of words' paths, and of pairs.
+CHUNK, WORDS_KEPT, PAIRS_KEPT = 32_768, 48 << 20, 24 << 20
+#: What an entry takes beside its word and path, and what a pair takes.
+_ENTRY, _PAIR = 200, 100
 MARK = "▁"
 BEGIN, END = -1, -2
 
@@ -53,6 +56,7 @@ class Codec:
         self.single = {n for n in self.ids if len(n) == 1}
         self._pairs: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
+        self._held = 0
         # Pieces that merging makes at all, and -1 at what only begins one.
         self.found = {n[:k]: -1 for n in self.ids for k in range(1, len(n) + 1)}
         self.found |= {n: i for n, i in self.ids.items() if self.merge(n) == [n]}
@@ -160,16 +164,24 @@ class Codec:
         """Ids of each text, given in parts, as bytes of 32-bit integers."""
         known = self.known
         new = set().union(*texts).difference(known) if texts else set()
-        if len(known) + len(new) > WORDS_KEPT:
+        if self._held > WORDS_KEPT:
             known.clear()
+            self._held = 0
             new = set().union(*texts)
-        if len(self._pairs) > PAIRS_KEPT:
+        if len(self._pairs) * _PAIR > PAIRS_KEPT:
             self._pairs.clear()
         for s in new:
             ids = self.spelled(s) if len(s) == 1 and s not in self.single else self.word(s)
-            known[s] = np.array(ids, np.int32).tobytes()
+            known[s] = got = np.array(ids, np.int32).tobytes()
+            self._held += _ENTRY + 2 * len(s) + len(got)
         return [b"".join(map(known.__getitem__, t)) for t in texts]
 
+    def forget(self) -> None:
+        """Drop words and pairs, at the end of a task; the vocabulary stays."""
+        self.known.clear()
+        self._pairs.clear()
+        self._held = 0
+
     def encode(self, texts: list[str | None]) -> list[bytes | None]:
         """Whole texts. An empty text has no pieces; a null one gives null."""
         out = self.encode_parts([self.parts(normal(t)) if t else [] for t in texts])
@@ -289,10 +301,20 @@ def _cutter(single: tuple[str, ...]) -> re.Pattern:
 
 @lru_cache(2)
 def codec(names: tuple, scores: tuple, kinds: tuple) -> Codec:
-    """One codec in each Python worker; its words and pairs stay from task to task."""
+    """One codec in each Python worker."""
     return Codec(list(names), list(scores), list(kinds))
 
 
+@contextmanager
+def one_task(shared) -> Iterator[Codec]:
+    """The worker's codec, for one task."""
+    c = codec(*shared.value)
+    try:
+        yield c
+    finally:
+        c.forget()
+
+
 def normal(text: str) -> str:
     return MARK + text.replace(" ", MARK)
 
@@ -354,14 +376,14 @@ def encode(df: DataFrame, path: str = MODEL, text_col: str = "text", name: str =
     schema = f"row {df.select(row).schema['row'].dataType.simpleString()}, ids array<int>, same boolean"
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(*shared.value)
-        for b in slices(batches, "text"):
-            yield with_check(c, b.column(0), b.column(1), _lists(c.encode(b.column(1).to_pylist())))
+        with one_task(shared) as c:
+            for b in slices(batches, "text"):
+                yield with_check(c, b.column(0), b.column(1), _lists(c.encode(b.column(1).to_pylist())))
 
     def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(*shared.value)
-        for b in slices(batches, "text"):
-            yield with_check(c, b.column(0), b.column(1), b.column(2))
+        with one_task(shared) as c:
+            for b in slices(batches, "text"):
+                yield with_check(c, b.column(0), b.column(1), b.column(2))
 
     def with_check(c: Codec, rows: pa.Array, texts: pa.Array, ids: pa.Array) -> pa.RecordBatch:
         same = pc.fill_null(pc.equal(c.decode(ids), texts), pc.is_null(texts)) if check else pa.nulls(len(ids), pa.bool_())
@@ -398,16 +420,16 @@ def _encode_long(texts: DataFrame, shared, chunk: int) -> DataFrame:
         return a, b, (c.states(s, a) if k else [None]), (c.states(s, b) if b else [None])
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(*shared.value)
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                a, b, lefts, rights = ends(c, r["s"], r["left"], r["k"], r["n"])
-                at = c.barriers(r["s"])
-                entries = [(_code(a, x) if x else BEGIN, _code(b, y) if y else END) for x in lefts for y in c.trace(r["s"], at, x, rights, ids=False)]
-                out.append((r["key"], r["k"], [{"l": x, "r": y} for x, y in entries]))
-            pair = pa.list_(pa.struct([("l", pa.int32()), ("r", pa.int32())]))
-            yield pa.record_batch([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.int32(), pair))], ["key", "k", "m"])
+        pair = pa.list_(pa.struct([("l", pa.int32()), ("r", pa.int32())]))
+        with one_task(shared) as c:
+            for batch in slices(batches, "s"):
+                out = []
+                for r in batch.to_pylist():
+                    a, b, lefts, rights = ends(c, r["s"], r["left"], r["k"], r["n"])
+                    at = c.barriers(r["s"])
+                    entries = [(_code(a, x) if x else BEGIN, _code(b, y) if y else END) for x in lefts for y in c.trace(r["s"], at, x, rights, ids=False)]
+                    out.append((r["key"], r["k"], [{"l": x, "r": y} for x, y in entries]))
+                yield pa.record_batch([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.int32(), pair))], ["key", "k", "m"])
 
     def scan(pdf):
         import pandas as pd
@@ -420,14 +442,14 @@ def _encode_long(texts: DataFrame, shared, chunk: int) -> DataFrame:
     states = made.groupBy("key").applyInPandas(scan, "key string, k int, l int, r int")
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(*shared.value)
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                a, b, _, _ = ends(c, r["s"], r["left"], r["k"], r["n"])
-                right = _span(b, r["r"]) if b else None
-                out.append((r["key"], r["k"], c.trace(r["s"], c.barriers(r["s"]), _span(a, r["l"]) if r["k"] else None, [right])[right]))
-            yield pa.record_batch([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.list_(pa.int32())))], ["key", "k", "ids"])
+        with one_task(shared) as c:
+            for batch in slices(batches, "s"):
+                out = []
+                for r in batch.to_pylist():
+                    a, b, _, _ = ends(c, r["s"], r["left"], r["k"], r["n"])
+                    right = _span(b, r["r"]) if b else None
+                    out.append((r["key"], r["k"], c.trace(r["s"], c.barriers(r["s"]), _span(a, r["l"]) if r["k"] else None, [right])[right]))
+                yield pa.record_batch([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.list_(pa.int32())))], ["key", "k", "ids"])
 
     traced = cut.join(states, ["key", "k"]).select("key", "k", "n", "left", "s", "l", "r").mapInArrow(back, "key string, k int, ids array<int>")
     return traced.groupBy("key").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))

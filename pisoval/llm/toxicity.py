@@ -17,7 +17,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +35,8 @@ BUCKETS, WIDTH, STEP = 1 << 15, 24, 12
 _SPANS = [(a, b, GAP ** (b - 2)) for b in range(2, 5) for a in range(1, b)]
 _SENTENCE = re.compile(r"[.!?\n]+")
 _SPELLED = re.compile(r"(?<!\S)\w(?:[ \t]\w){2,}(?!\S)")
-_CACHE_MOST = 300_000
+#: About how many bytes a task keeps of words and their scores.
+KNOWN = 32 << 20
 
 
 def tokens(text: str) -> set[str]:
@@ -268,27 +268,38 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train(texts, marks)
 
 
-def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """(row, score): df's rows in one struct, and the toxicity of the whole text from 0 to 1. Null and empty texts have the score of
-    a text without words. Rows are scored one by one, so repeated rows and clashing names don't matter."""
-    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.lower(F.col(f"`{text_col}`")).alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _cache_of(model.weights.tobytes(), model.bias)
-        for b in pieces(batches, "text"):
-            bags = [tokens(t) if t else set() for t in b.column(1).to_pylist()]
-            new = list(set().union(*bags).difference(known))
-            if len(known) + len(new) > _CACHE_MOST:
-                known.clear()
-                new = list(set().union(*bags))
-            known.update(zip(new, model.word_scores(new).tolist()) if new else ())
-            features = np.array([_features(np.fromiter(map(known.__getitem__, bag), float, len(bag))) for bag in bags])
-            yield pa.record_batch([b.column(0), pa.array(model.document_scores(features))], ["row", "score"])
-
-    return packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, score double")
-
-
-@lru_cache(1)
-def _cache_of(weights: bytes, bias: float) -> dict:
-    """Word scores that a Python worker has computed for this model."""
-    return {}
+def score(df: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(row, score): df's rows (or their columns `keep`) in one struct, and the toxicity of the whole text from 0 to 1. Null and empty texts have
+    the score of a text without words. Rows are scored one by one, so repeated rows and clashing names don't matter. Only texts
+    go to Python; a task keeps the scores of about KNOWN bytes of words and drops them at its end."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known, model = _Known(), shared.value
+        for texts in batches:
+            slices = pieces(iter([pa.record_batch([texts], ["text"])]), "text")
+            yield pa.array(np.concatenate([np.empty(0), *(model.document_scores(known.features(model, b.column(0))) for b in slices)]))
+
+    columns = [F.col(f"`{c}`") for c in (df.columns if keep is None else keep)]
+    return df.select(F.struct(*columns).alias("row"), scored(F.lower(F.col(f"`{text_col}`"))).alias("score"))
+
+
+class _Known:
+    """Word scores that a task has computed."""
+
+    def __init__(self):
+        self.scores: dict[str, float] = {}
+        self.held = 0
+
+    def features(self, model: Model, texts: pa.Array) -> np.ndarray:
+        known = self.scores
+        bags = [tokens(t) if t else set() for t in texts.to_pylist()]
+        new = list(set().union(*bags).difference(known))
+        if self.held > KNOWN:
+            known.clear()
+            self.held = 0
+            new = list(set().union(*bags))
+        known.update(zip(new, model.word_scores(new).tolist()) if new else ())
+        self.held += sum(map(len, new)) + 170 * len(new)
+        return np.array([_features(np.fromiter(map(known.__getitem__, bag), float, len(bag))) for bag in bags])
