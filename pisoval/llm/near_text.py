@@ -90,7 +90,7 @@ def _key_of(hashes, counts, texts: pa.Array, ids: pa.Array) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in pieces(batches, "text"):
+    for b in pieces(batches, "text", 1 << 20):
         ids, texts = b.column(0), b.column(1)
         hashes, counts = word_hashes(texts)
         sig = signatures(*multisets(*shingles(hashes, counts, WORDS)), b.num_rows)
@@ -106,7 +106,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def with_text_key(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
     """df with the key that near_duplicates gives the row's text."""
     def run(batches):
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", 1 << 20):
             hashes, counts = word_hashes(b.column("text"))
             key = pa.array(_key_of(hashes, counts, b.column("text"), b.column("id")))
             yield pa.record_batch([b.column("row"), key], ["row", "v"])
@@ -164,7 +164,7 @@ def _elements(hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in pieces(batches, "text"):
+    for b in pieces(batches, "text", 1 << 20):
         low, text = _elements(*shingles(*word_hashes(b.column(1)), WORDS))
         edges = np.searchsorted(text, np.arange(b.num_rows + 1))
         yield pa.record_batch([b.column(0), pa.array([low[x:y].tobytes() for x, y in zip(edges, edges[1:])], pa.binary())], ["v", "bag"])

@@ -28,7 +28,7 @@ from .words import pieces as slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk; about how many bytes a task keeps of words' paths, and of pairs.
-CHUNK, WORDS_KEPT, PAIRS_KEPT = 32_768, 48 << 20, 24 << 20
+CHUNK, WORDS_KEPT, PAIRS_KEPT = 32_768, 160 << 20, 40 << 20
 #: What an entry takes beside its word and path, and what a pair takes.
 _ENTRY, _PAIR = 200, 100
 MARK = "▁"
@@ -55,7 +55,9 @@ class Codec:
         self.byte = {int(names[i][3:5], 16): i for i in range(self.size) if kinds[i] == 1}
         self.single = {n for n in self.ids if len(n) == 1}
         self._pairs: dict[int, bool] = {}
+        # Words' paths, newer and older ones: those not met again while the newer fill up go first.
         self.known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         self._held = 0
         # Pieces that merging makes at all, and -1 at what only begins one.
         self.found = {n[:k]: -1 for n in self.ids for k in range(1, len(n) + 1)}
@@ -162,23 +164,24 @@ class Codec:
 
     def encode_parts(self, texts: list[list[str]]) -> list[bytes]:
         """Ids of each text, given in parts, as bytes of 32-bit integers."""
-        known = self.known
+        if self._held > WORDS_KEPT // 2:
+            self._older, self.known, self._held = self.known, {}, 0
+        known, older = self.known, self._older
         new = set().union(*texts).difference(known) if texts else set()
-        if self._held > WORDS_KEPT:
-            known.clear()
-            self._held = 0
-            new = set().union(*texts)
         if len(self._pairs) * _PAIR > PAIRS_KEPT:
             self._pairs.clear()
         for s in new:
-            ids = self.spelled(s) if len(s) == 1 and s not in self.single else self.word(s)
-            known[s] = got = np.array(ids, np.int32).tobytes()
+            got = older.get(s)
+            if got is None:
+                got = np.array(self.spelled(s) if len(s) == 1 and s not in self.single else self.word(s), np.int32).tobytes()
+            known[s] = got
             self._held += _ENTRY + 2 * len(s) + len(got)
         return [b"".join(map(known.__getitem__, t)) for t in texts]
 
     def forget(self) -> None:
         """Drop words and pairs, at the end of a task; the vocabulary stays."""
         self.known.clear()
+        self._older.clear()
         self._pairs.clear()
         self._held = 0
 
@@ -377,12 +380,12 @@ def encode(df: DataFrame, path: str = MODEL, text_col: str = "text", name: str =
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with one_task(shared) as c:
-            for b in slices(batches, "text"):
+            for b in slices(batches, "text", 1 << 20):
                 yield with_check(c, b.column(0), b.column(1), _lists(c.encode(b.column(1).to_pylist())))
 
     def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with one_task(shared) as c:
-            for b in slices(batches, "text"):
+            for b in slices(batches, "text", 1 << 20):
                 yield with_check(c, b.column(0), b.column(1), b.column(2))
 
     def with_check(c: Codec, rows: pa.Array, texts: pa.Array, ids: pa.Array) -> pa.RecordBatch:
@@ -422,7 +425,7 @@ def _encode_long(texts: DataFrame, shared, chunk: int) -> DataFrame:
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = pa.list_(pa.struct([("l", pa.int32()), ("r", pa.int32())]))
         with one_task(shared) as c:
-            for batch in slices(batches, "s"):
+            for batch in slices(batches, "s", 1 << 20):
                 out = []
                 for r in batch.to_pylist():
                     a, b, lefts, rights = ends(c, r["s"], r["left"], r["k"], r["n"])
@@ -443,7 +446,7 @@ def _encode_long(texts: DataFrame, shared, chunk: int) -> DataFrame:
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with one_task(shared) as c:
-            for batch in slices(batches, "s"):
+            for batch in slices(batches, "s", 1 << 20):
                 out = []
                 for r in batch.to_pylist():
                     a, b, _, _ = ends(c, r["s"], r["left"], r["k"], r["n"])

@@ -278,7 +278,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text", keep: list[str] |
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known, model = _Known(), shared.value
         for texts in batches:
-            slices = pieces(iter([pa.record_batch([texts], ["text"])]), "text")
+            slices = pieces(iter([pa.record_batch([texts], ["text"])]), "text", 1 << 20)
             yield pa.array(np.concatenate([np.empty(0), *(model.document_scores(known.features(model, b.column(0))) for b in slices)]))
 
     columns = [F.col(f"`{c}`") for c in (df.columns if keep is None else keep)]

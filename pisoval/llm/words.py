@@ -29,16 +29,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 
 
-#: Powers that a worker keeps; longer rows, which only very long texts need, are made anew.
-_KEPT = (1 << 20) + 1
+#: The most powers that a worker keeps; longer rows, which only very long texts need, are made anew.
+_KEPT = (1 << 22) + 1
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if n <= _KEPT and _POWERS:
+    if n <= len(_POWERS.get("up", ())):
         return _POWERS["up"][:n], _POWERS["down"][:n]
     made = {}
     for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-        p = np.full(max(n, _KEPT), base, np.uint64)
+        p = np.full(max(n, 1 << 20), base, np.uint64)
         p[0] = 1
         made[name] = np.cumprod(p)
     if n <= _KEPT:
@@ -46,7 +46,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return made["up"][:n], made["down"][:n]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Slices of about `most` text bytes at the most (one row at the least), so that working arrays stay small."""
     for batch in batches:
         if not batch.num_rows:
