@@ -422,13 +422,28 @@ def validate_strict(spark, sf_dir):
         "row_id", F.col("codigo").alias("propertyCode"), "error.estado", "error.detalle")
 
 
-@register(f"""WITH {o.validated()}, copies AS (SELECT batch_id, codigo, count(*) AS n FROM checked WHERE codigo IS NOT NULL GROUP BY ALL)
-SELECT row_id, codigo, coalesce(n, 1) AS copias FROM checked LEFT JOIN copies USING (batch_id, codigo)""")
+_COPIES = f"""WITH {o.validated()}, copies AS (SELECT batch_id, codigo, count(*) AS n FROM checked WHERE codigo IS NOT NULL GROUP BY ALL)
+SELECT row_id, codigo, coalesce(n, 1) AS copias FROM checked LEFT JOIN copies USING (batch_id, codigo)"""
+
+
+@register(_COPIES)
 def duplicates_in_batch(spark, sf_dir):
     """Occurrences of each code within its batch."""
     return mark_duplicates(contract.validate(d.raw_listings(spark, sf_dir))).select("row_id", "codigo", "copias")
 
 
+@register(_COPIES)
+def duplicates_shuffled(spark, sf_dir):
+    """The same through the filters that serve more repeated codes than can be broadcast; listing no key makes the cascade go its whole way."""
+    return mark_duplicates(contract.validate(d.raw_listings(spark, sf_dir)), max_rows=0, listed=0).select("row_id", "codigo", "copias")
+
+
+@register(f"""WITH {o.batch()} SELECT row_id, estado, detalle FROM judged WHERE estado IS NOT NULL""")
+def contract_errors_filtered(spark, sf_dir):
+    """Errors of the contract, copies told by filters: whole rows stay where they are."""
+    return contract.validate_batch(d.raw_listings(spark, sf_dir), max_rows=0).where("error is not null").select("row_id", "error.estado", "error.detalle")
+
+
 _RESULT_COLUMNS = ["row_id", "propertyCode", "estado", "model_id", "ano_ajuste", "factor_escenario", "precio_estimado_base",
                    "precio_estimado", "precio_anunciado", "operation", "precio_comparacion", "unidad_comparacion", "brecha_pct",
                    "barrio_code", "distrito_code", "renta_mensual_estimada", "factor_renta_mensual"]
