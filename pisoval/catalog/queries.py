@@ -17,7 +17,7 @@ from ..operators import coverage, manifest, profile
 from ..operators.areas import assign_area, index_areas
 from ..operators.duplicates import mark_duplicates
 from ..operators.lookup import look_up
-from ..operators.poi import nearest_poi
+from ..operators.poi import index_pois, nearest_poi
 from ..operators.reconcile import compare_results, reconcile
 from ..operators.trees import TreeModel, score_trees, tree_check
 from ..plans import batch, contract
@@ -274,6 +274,13 @@ def poi_distances(spark, sf_dir):
                    "row_id", *_DISTANCES)
 
 
+@register(_DISTANCE_SQL)
+def nearest_poi_shuffled(spark, sf_dir):
+    """The same through the shuffle that serves more points than can be broadcast; points without numbers, split by passes."""
+    index = index_pois(references(spark, sf_dir).pois.orderBy("poi_no").drop("poi_no"), max_points=0, task_points=200)
+    return rounded(nearest_poi(d.listings(spark, sf_dir).select("row_id", "latitude", "longitude"), index), "row_id", *_DISTANCES)
+
+
 @register(f"""{o.NATIVE} SELECT row_id, barrio_code, {o.rounded(AREA_FEATURES)}, indice_venta, factor_renta_mensual FROM assigned LEFT JOIN area_table USING (barrio_code) LEFT JOIN indices USING (distrito_code)""")
 def area_and_district_lookups(spark, sf_dir):
     """Area features and district indices by code."""

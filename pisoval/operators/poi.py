@@ -1,23 +1,33 @@
-"""Distance to the nearest point of interest of each type."""
+"""Distance to the nearest point of interest of each type.
+
+The globe is cut into a quadtree of squares in degrees.  A leaf keeps every point that can be nearest to something in it: a point is
+ruled out once the whole leaf lies on the other side of the bisector between it and the point nearest to the leaf's middle.
+Leaves are split until few points are left, so they are small where points are dense and grow with the distance from them.
+"""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..fixed_values import EARTH_RADIUS_KM, POI_AVENUE, POI_CENTER, POI_METRO
+from ..fixed_values import POI_AVENUE, POI_CENTER, POI_METRO
 from ..functions.geo import haversine_km, usable_coordinates
 from ..session import cut_lineage
-from .lookup import fits
+from .lookup import fits, lookup
 
 DISTANCES = {"DISTANCE_TO_METRO": POI_METRO, "DISTANCE_TO_CASTELLANA": POI_AVENUE}
 BROADCAST_POINTS = 5_000
-GRID_SIDE = 40
-# Shuffled search: listings in cells of 0.005 degrees, points down to about ten metres.
-FINE_DEGREES = 0.005 / 64
-LISTING_LEVEL = 6
-TOP_LEVEL = 24
+# Points of a leaf that isn't split any more; points that one task splits further; the last level, of about 15 centimetres.
+LEAF_POINTS, TASK_POINTS, DEEPEST = 16, 20_000, 26
+# Level of the squares that tasks start from where points are few.
+FIRST = 2
+_POINT = "struct<lat: double, lon: double, x: double, y: double, z: double>"
+LEAF_SCHEMA = f"tipo string, level int, i long, j long, near array<{_POINT}>"
+_XYZ = ("x", "y", "z")
 
 
 def _unit(lat: Column, lon: Column) -> list[Column]:
@@ -26,22 +36,140 @@ def _unit(lat: Column, lon: Column) -> list[Column]:
     return [F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a)]
 
 
-def points_by_type(points: DataFrame, kinds: list[str]) -> DataFrame:
-    """One row with one array of STRUCT<lat, lon, x, y, z> per type; for measured, small tables only."""
-    xyz = [c.alias(n) for n, c in zip("xyz", _unit(F.col("Lat"), F.col("Lon")))]
-    point = F.struct(F.col("Lat").alias("lat"), F.col("Lon").alias("lon"), *xyz)
-    return points.groupBy().pivot("tipo", kinds).agg(F.collect_list(point))
+def _square(lat: Column, lon: Column, level: Column | int) -> tuple[Column, Column]:
+    """Row and column of a place at a level, whose squares have sides of 90 / 2 ** level degrees; the far ends belong to the last ones."""
+    n = F.pow(F.lit(2.0), F.lit(level) if isinstance(level, int) else level)
+    return (F.least(F.floor((lat + 90) * n / 90), n * 2 - 1).cast("long"), F.least(F.floor((lon + 180) * n / 90), n * 4 - 1).cast("long"))
+
+
+def _reach(level: int) -> float:
+    """No point of a square is farther than this from its middle, in radii of the globe."""
+    return math.radians(90 / 2 ** level) * math.sqrt(0.5) * (1 + 1e-9)
+
+
+def can_be_nearest(points: np.ndarray, level: int, i: int, j: int) -> np.ndarray:
+    """Which of the points (lat, lon, x, y, z) no other rules out for the square."""
+    side = 90 / 2 ** level
+    lat, lon = math.radians((i + 0.5) * side - 90), math.radians((j + 0.5) * side - 180)
+    middle = np.array([math.cos(lat) * math.cos(lon), math.cos(lat) * math.sin(lon), math.sin(lat)])
+    xyz = points[:, 2:]
+    along = xyz @ middle
+    best = int(along.argmax())
+    return (along[best] - along) < _reach(level) * np.linalg.norm(xyz[best] - xyz, axis=1) + 1e-13
+
+
+def leaves(points: np.ndarray, level: int, i: int, j: int) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """Leaves of one square with their points."""
+    open_ = [(level, i, j, points)]
+    while open_:
+        level, i, j, points = open_.pop()
+        points = points[can_be_nearest(points, level, i, j)]
+        if len(points) <= LEAF_POINTS or level >= DEEPEST:
+            yield level, i, j, points
+        else:
+            open_ += [(level + 1, 2 * i + a, 2 * j + b, points) for a in (0, 1) for b in (0, 1)]
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Squares with bounded points, split to leaves."""
+    names = ("lat", "lon", *_XYZ)
+    for batch in batches:
+        for r in range(batch.num_rows):
+            kind, level, i, j = (batch.column(c)[r].as_py() for c in range(4))
+            held = batch.column(4)[r].values
+            points = np.column_stack([held.field(n).to_numpy(zero_copy_only=False) for n in names])
+            found = list(leaves(points, level, i, j))
+            flat = np.concatenate([f[3] for f in found])
+            near = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(f[3]) for f in found])]), pa.int32()),
+                                            pa.StructArray.from_arrays([pa.array(flat[:, c]) for c in range(5)], names))
+            yield pa.record_batch([pa.array([kind] * len(found)), *[pa.array([f[c] for f in found], t) for c, t in ((0, pa.int32()), (1, pa.int64()), (2, pa.int64()))], near],
+                                  ["tipo", "level", "i", "j", "near"])
+
+
+def quadtree(points: DataFrame, task_points: int = TASK_POINTS) -> DataFrame:
+    """(tipo, level, i, j, near) of every leaf over the globe, from distinct points (tipo, Lat, Lon).
+
+    Squares with more points than one task takes are split by passes over (square, point) rows, in which each square learns its nearest
+    point by a combined aggregate; the others are split inside tasks.  A square of the last level that is still too full becomes
+    several rows, of which the least distance counts.
+    """
+    xyz = [c.alias(n) for n, c in zip(_XYZ, _unit(F.col("Lat"), F.col("Lon")))]
+    rows = points.select("tipo", F.col("Lat").alias("lat"), F.col("Lon").alias("lon"), *xyz)
+    squares = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j"))
+                                  for i in range(2 * 2 ** FIRST) for j in range(4 * 2 ** FIRST)])).alias("s")
+    point = F.struct("lat", "lon", *_XYZ)
+    key = ["tipo", "level", "i", "j"]
+    if fits(points, task_points):
+        gathered = rows.groupBy("tipo").agg(F.collect_list(point).alias("near"))
+        gathered = gathered.select("tipo", F.lit(FIRST).alias("level"), squares, "near").select("tipo", "level", "s.i", "s.j", "near")
+        return gathered.repartition(8, "i", "j").mapInArrow(_split, LEAF_SCHEMA)
+    open_, closed = rows.select("*", F.lit(0).alias("level"), F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j"))
+                                                                                for i in (0, 1) for j in range(4)])).alias("s")).select(*rows.columns, "level", "s.i", "s.j"), []
+    for level in range(DEEPEST + 1):
+        side = 90 / 2 ** level
+        middle = _unit((F.col("i") + 0.5) * side - 90, (F.col("j") + 0.5) * side - 180)
+        along = sum((F.col(n) * m for n, m in zip(_XYZ[1:], middle[1:])), F.col("x") * middle[0])
+        placed = open_.withColumn("along", along)
+        best = placed.groupBy(key).agg(F.max(F.struct("along", *_XYZ)).alias("best"))
+        away = F.sqrt(sum(((F.col(f"best.{n}") - F.col(n)) * (F.col(f"best.{n}") - F.col(n)) for n in _XYZ[1:]),
+                          (F.col("best.x") - F.col("x")) * (F.col("best.x") - F.col("x"))))
+        kept = cut_lineage(lookup(placed, best, key).where((F.col("best.along") - F.col("along")) < _reach(level) * away + 1e-13).drop("best", "along"))
+        sizes = kept.groupBy(key).agg(F.count("*").alias("n"))
+        marked = lookup(kept, sizes, key)
+        full = (F.col("n") > task_points) & F.lit(level < DEEPEST)
+        closed.append(marked.where(~full))
+        quarters = F.explode(F.array(*[F.struct((F.col("i") * 2 + a).alias("i"), (F.col("j") * 2 + b).alias("j")) for a in (0, 1) for b in (0, 1)])).alias("s")
+        open_ = marked.where(full).select("tipo", "lat", "lon", *_XYZ, (F.col("level") + 1).alias("level"), quarters).select(*rows.columns, "level", "s.i", "s.j")
+        if open_.limit(1).count() == 0:
+            break
+    ready = closed[0]
+    for c in closed[1:]:
+        ready = ready.unionByName(c)
+    block = F.pmod(F.xxhash64("lat", "lon"), F.ceil(F.col("n") / task_points).cast("long"))
+    return ready.groupBy(*key, block.alias("block")).agg(F.collect_list(point).alias("near")).select(*key, "near").mapInArrow(_split, LEAF_SCHEMA)
 
 
 @dataclass(frozen=True)
 class PoiIndex:
-    """Prepared points: candidate cells when small, the distinct points otherwise."""
-    cells: DataFrame | None
-    box: tuple[float, float, float, float] | None
-    points: DataFrame
+    """Leaves of the quadtree.  starts: where they begin along the curve through all squares, for a tree that is broadcast."""
+    leaves: DataFrame
+    starts: dict[str, list[int]] | None
+    levels: dict[str, tuple[int, int]]
     center: tuple[float, float]
 
 
+def _spaced(c: Column) -> Column:
+    """The bits of a number, each followed by a free place."""
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        c = c.bitwiseOR(F.shiftleft(c, shift)).bitwiseAND(F.lit(mask))
+    return c
+
+
+def _along_curve(i: Column, j: Column) -> Column:
+    return F.shiftleft(_spaced(i), 1).bitwiseOR(_spaced(j))
+
+
+def index_pois(pois: DataFrame, max_points: int = BROADCAST_POINTS, task_points: int = TASK_POINTS) -> PoiIndex:
+    """Measure the table and build its leaves, to be broadcast or shuffled.  The centre is the first of its type: by `poi_no`, or as stored."""
+    first = F.col("poi_no") if "poi_no" in pois.columns else F.monotonically_increasing_id()
+    center = (pois.select("tipo", "Lat", "Lon", first.alias("no")).filter(F.col("tipo") == POI_CENTER)
+              .select(F.min(F.struct("no", "Lat", "Lon")).alias("p")).select("p.Lat", "p.Lon").first())
+    points = (pois.filter(F.col("tipo").isin(*DISTANCES.values()) & usable_coordinates(F.col("Lat"), F.col("Lon"))).select("tipo", "Lat", "Lon").distinct()).persist()
+    small = fits(points, max_points)
+    found = quadtree(points, task_points)
+    at = center["Lat"], center["Lon"]
+    if not small:
+        found = cut_lineage(found)
+        levels = {r["tipo"]: (r["low"], r["high"]) for r in found.groupBy("tipo").agg(F.min("level").alias("low"), F.max("level").alias("high")).collect()}
+        return PoiIndex(found, None, levels, at)
+    up = F.pow(F.lit(2.0), F.lit(DEEPEST) - F.col("level")).cast("long")
+    found = found.withColumn("start", _along_curve(F.col("i") * up, F.col("j") * up)).select("tipo", "start", "near").persist()
+    starts: dict[str, list[int]] = {}
+    for r in found.select("tipo", "start").orderBy("tipo", "start").collect():
+        starts.setdefault(r["tipo"], []).append(r["start"])
+    return PoiIndex(found, starts, {}, at)
+
+
 def _min_distance(lat: Column, lon: Column, points: Column) -> Column:
     """Exact distance to the point with the shortest chord, which is also the nearest along the sphere."""
     x, y, z = F.col("__ux"), F.col("__uy"), F.col("__uz")
@@ -58,109 +186,57 @@ def _with_unit(df: DataFrame) -> DataFrame:
     return df.withColumns(dict(zip(("__ux", "__uy", "__uz"), _unit(F.col("latitude"), F.col("longitude")))))
 
 
-def index_pois(pois: DataFrame, max_points: int = BROADCAST_POINTS) -> PoiIndex:
-    """Measure the table; a small one becomes cells that keep only the points that can be nearest.
-
-    A point can be nearest to something in a cell only if its distance from the
-    cell centre exceeds the least such distance by no more than the cell diameter.
-    """
-    first = (pois.filter(F.col("tipo") == POI_CENTER).select(F.min(F.struct("poi_no", "Lat", "Lon")).alias("p"))
-             .select("p.Lat", "p.Lon").first())
-    points = (pois.filter(F.col("tipo").isin(*DISTANCES.values())).select("tipo", "Lat", "Lon").distinct())
-    center = (first["Lat"], first["Lon"])
-    if not fits(points, max_points):
-        return PoiIndex(None, None, points.persist(), center)
-    b = points.agg(F.min("Lat"), F.max("Lat"), F.min("Lon"), F.max("Lon")).first()
-    if b[0] is None:
-        b = (0.0, 0.0, 0.0, 0.0)
-    south, west = b[0] - 0.02, b[2] - 0.02
-    high, wide = (b[1] - b[0] + 0.04) / GRID_SIDE, (b[3] - b[2] + 0.04) / GRID_SIDE
-    diameter = 1.01 * EARTH_RADIUS_KM * math.radians(math.hypot(high, wide))
-    lat, lon = south + (F.col("i") + 0.5) * high, west + (F.col("j") + 0.5) * wide
-    kinds = list(DISTANCES.values())
-    # The one row of arrays fans out to grid rows, then to cells; row and column -1 stand for everywhere else.
-    last = F.lit(GRID_SIDE - 1)
-    grid = (points_by_type(points, kinds).withColumn("i", F.explode(F.sequence(F.lit(-1), last))).repartition(8, "i")
-            .withColumn("j", F.explode(F.when(F.col("i") < 0, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), last)))))
-    ranked = grid.select("i", "j", *[F.transform(F.col(k), lambda p: F.struct(
-        haversine_km(lat, lon, p["lat"], p["lon"]).alias("d"), p.alias("p"))).alias(k) for k in kinds])
-
-    def candidates(kind: str) -> Column:
-        # The limit travels beside the array, so that the filter does not work it out again per point.
-        limit = F.when(F.col("i") >= 0, F.array_min(kind)["d"] + diameter).otherwise(float("inf"))
-        bound = F.array(F.struct(F.col(kind).alias("a"), limit.alias("m")))
-        kept = F.transform(bound, lambda s: F.transform(F.filter(s["a"], lambda p: p["d"] <= s["m"]), lambda p: p["p"]))
-        return F.get(kept, F.lit(0))
-
-    cells = ranked.select("i", "j", *[candidates(k).alias(f"__{k}") for k in kinds])
-    return PoiIndex(cells.persist(), (south, west, high, wide), points, center)
-
-
-def _by_broadcast(df: DataFrame, index: PoiIndex) -> DataFrame:
-    south, west, high, wide = index.box
-    lat, lon = F.col("latitude"), F.col("longitude")
-    row, col = F.floor((lat - south) / high), F.floor((lon - west) / wide)
-    within = row.between(0, GRID_SIDE - 1) & col.between(0, GRID_SIDE - 1)
-    # A missing coordinate has no cell and so no distance; a far one sees every point.
-    keys = {"i": F.when(within, row).when(~within, -1).cast("int"), "j": F.when(within, col).when(~within, -1).cast("int")}
-    return (_with_unit(df.withColumns(keys)).join(F.broadcast(index.cells), ["i", "j"], "left")
-            .withColumns({out: _min_distance(lat, lon, F.col(f"__{kind}")) for out, kind in DISTANCES.items()})
-            .drop("i", "j", "__ux", "__uy", "__uz", *[f"__{kind}" for kind in DISTANCES.values()]))
-
-
-def _grid(c: Column, origin: float, level: int) -> Column:
-    return F.shiftright(F.floor((c - origin) / FINE_DEGREES).cast("long"), level)
-
+def _on_globe(lat: Column, lon: Column) -> tuple[Column, Column]:
+    """The same place within the usual range; NULL where a coordinate is missing or not finite."""
+    x, y, z = _unit(lat, lon)
+    finite = (F.abs(lat) < float("inf")) & (F.abs(lon) < float("inf"))
+    usable = usable_coordinates(lat, lon)
+    return (F.when(usable, lat).when(finite, F.degrees(F.asin(z))), F.when(usable, lon).when(finite, F.degrees(F.atan2(y, x))))
 
-def _middle(cell: Column, origin: float, level: int) -> Column:
-    return origin + (cell + 0.5) * (FINE_DEGREES * 2**level)
 
+def _leaf_start(at: Column, starts: list[int]) -> Column:
+    """The last start that is not beyond `at`, by halving."""
+    held, steps = F.lit(starts), max(1, (len(starts) - 1).bit_length())
 
-def _radius_km(level: int) -> float:
-    return 1.01 * EARTH_RADIUS_KM * (FINE_DEGREES * 2**level) * math.pi / 180
+    def halve(low: Column, step: Column) -> Column:
+        ahead = low + step
+        return F.when((ahead < len(starts)) & (F.get(held, ahead) <= at), ahead).otherwise(low)
+    low = F.aggregate(F.array(*[F.lit(1 << k) for k in reversed(range(steps))]), F.lit(0), halve)
+    return F.get(held, low)
 
 
-def candidate_cells(listings: DataFrame, points: DataFrame) -> DataFrame:
-    """(li, lj, pi, pj): for each occupied listing cell, the point cells that can hold its nearest point.
-
-    Starts from one cell over the globe and quarters its sides; at every level only point
-    cells whose least possible distance beats the best guaranteed one survive.
-    """
-    occupied = listings.select("li", "lj").distinct()
-    pairs = occupied.withColumns({"pi": F.lit(0).cast("long"), "pj": F.lit(0).cast("long")})
-    for level in range(TOP_LEVEL - 2, -1, -2):
-        cells = points.select(F.shiftright("pi", level).alias("ci"), F.shiftright("pj", level).alias("cj")).distinct()
-        children = cells.withColumns({"pi": F.shiftright("ci", 2), "pj": F.shiftright("cj", 2)})
-        spread = _radius_km(LISTING_LEVEL) + _radius_km(level)
-        d = haversine_km(_middle(F.col("li"), -90.0, LISTING_LEVEL), _middle(F.col("lj"), -180.0, LISTING_LEVEL),
-                         _middle(F.col("ci"), -90.0, level), _middle(F.col("cj"), -180.0, level))
-        # A listing cell keeps a ring of point cells, so this window holds few rows each.
-        least = F.min("d").over(Window.partitionBy("li", "lj"))
-        # High levels have few point cells for all listing cells, hence the salt.
-        pairs = (pairs.withColumn("__salt", F.pmod(F.xxhash64("li", "lj"), F.lit(8)))
-                 .join(children.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(7)))), ["pi", "pj", "__salt"]).select("li", "lj", "ci", "cj", d.alias("d"))
-                 .withColumn("least", least).filter(F.col("d") <= F.col("least") + 2 * spread)
-                 .select("li", "lj", F.col("ci").alias("pi"), F.col("cj").alias("pj")))
-        if level % 6 == 0:
-            pairs = cut_lineage(pairs)
-    return pairs
+def _by_broadcast(df: DataFrame, index: PoiIndex) -> DataFrame:
+    """One leaf row per listing and type; a missing coordinate has no leaf and so no distance."""
+    lat, lon = F.col("latitude"), F.col("longitude")
+    placed = df.withColumns(dict(zip(("__lat", "__lon"), _on_globe(lat, lon))))
+    out = _with_unit(placed.withColumn("__at", _along_curve(*_square(F.col("__lat"), F.col("__lon"), DEEPEST))).drop("__lat", "__lon"))
+    for name, kind in DISTANCES.items():
+        starts = index.starts.get(kind)
+        if not starts:
+            out = out.withColumn(name, F.lit(None).cast("double"))
+            continue
+        rows = index.leaves.where(F.col("tipo") == kind).select(F.col("start").alias("__start"), F.col("near").alias("__near"))
+        out = (out.withColumn("__start", F.when(F.col("__at").isNotNull(), _leaf_start(F.col("__at"), starts))).join(F.broadcast(rows), "__start", "left")
+               .withColumn(name, _min_distance(lat, lon, F.col("__near"))).drop("__start", "__near"))
+    return out.drop("__at", "__ux", "__uy", "__uz")
 
 
 def _by_shuffle(df: DataFrame, index: PoiIndex) -> DataFrame:
-    """For point sets too large to broadcast: distinct coordinates meet candidate cells; crowded ones are split by skew joins."""
+    """For point sets too large to broadcast: distinct coordinates ask for their square of every level in use, of which one is a leaf; crowded
+    leaves are split by skew joins."""
     lat, lon = F.col("latitude"), F.col("longitude")
-    cells = {"li": _grid(lat, -90.0, LISTING_LEVEL), "lj": _grid(lon, -180.0, LISTING_LEVEL)}
-    where = df.select("latitude", "longitude").filter(usable_coordinates(lat, lon)).distinct().withColumns(cells)
-    where, out = _with_unit(where), df
+    where = df.select("latitude", "longitude").distinct().withColumns(dict(zip(("__lat", "__lon"), _on_globe(lat, lon))))
+    where = _with_unit(where.where("__lat is not null"))
+    out = df
     for name, kind in DISTANCES.items():
-        points = (index.points.filter(F.col("tipo") == kind)
-                  .withColumns({"pi": _grid(F.col("Lat"), -90.0, 0), "pj": _grid(F.col("Lon"), -180.0, 0)}))
-        xyz = [c.alias(n) for n, c in zip("xyz", _unit(F.col("Lat"), F.col("Lon")))]
-        boxes = points.groupBy("pi", "pj").agg(
-            F.collect_list(F.struct(F.col("Lat").alias("lat"), F.col("Lon").alias("lon"), *xyz)).alias("near"))
-        reach = candidate_cells(where, points).join(boxes, ["pi", "pj"])
-        nearest = (where.join(reach.hint("shuffle_merge"), ["li", "lj"])
-                   .groupBy("latitude", "longitude").agg(F.min(_min_distance(lat, lon, F.col("near"))).alias(name)))
+        if kind not in index.levels:
+            out = out.withColumn(name, F.lit(None).cast("double"))
+            continue
+        low, high = index.levels[kind]
+        asked = where.withColumn("level", F.explode(F.sequence(F.lit(low), F.lit(high))))
+        asked = asked.withColumns(dict(zip("ij", _square(F.col("__lat"), F.col("__lon"), F.col("level")))))
+        met = asked.join(index.leaves.where(F.col("tipo") == kind).drop("tipo").hint("shuffle_merge"), ["level", "i", "j"])
+        nearest = met.groupBy("latitude", "longitude").agg(F.min(_min_distance(lat, lon, F.col("near"))).alias(name))
         out = out.join(nearest.hint("shuffle_merge"), ["latitude", "longitude"], "left")
     return out
 
@@ -168,6 +244,6 @@ def _by_shuffle(df: DataFrame, index: PoiIndex) -> DataFrame:
 def nearest_poi(df: DataFrame, index: PoiIndex) -> DataFrame:
     """Add the distance in kilometres to the city centre and to the nearest point of each type."""
     lat, lon = F.col("latitude"), F.col("longitude")
-    near = _by_broadcast(df, index) if index.cells is not None else _by_shuffle(df, index)
+    near = _by_broadcast(df, index) if index.starts is not None else _by_shuffle(df, index)
     return near.withColumn("DISTANCE_TO_CITY_CENTER",
                            haversine_km(lat, lon, F.lit(index.center[0]), F.lit(index.center[1])))
