@@ -9,8 +9,10 @@ from ..fixed_values import (ADMITTED_TYPES, AMENITY_RULES, AREA_FEATURES, DOMAIN
                             MSG_OBJECT, MSG_OBSERVED, MSG_SIZE, NATIVE_COLUMNS, OCCUPIED_CANCELLED, REASONS,
                             TEXT_AMENITIES, WARNING_PARKING, WARNING_RANGE, WORKS_CANCELLED, WORKS_NEEDED)
 from ..functions import geo
+from ..plans.batch import stamp_values
 from ..sources import driver_tables as d
 from ..sources.listings import FIELDS, column_name
+from ..sources.reference import Metadata
 
 # Negative look-ahead is not available in this dialect, so these patterns are split in two positive ones.
 CUES = r"sin|no tiene|no dispone de|no cuenta con|no incluye|carece de|no hay|ni|ausencia de|falta de"
@@ -353,7 +355,7 @@ typed AS (SELECT batch_id, row_id, j, {typed}, {bad_fields_sql()} AS bad FROM ra
 checked AS (SELECT *, propertyCode AS codigo, {estado} AS estado, {detalle} AS detalle FROM typed)"""
 
 
-def batch(scope: str = "batch_id") -> str:
+def batch() -> str:
     """CTE list ending in `outcome`."""
     fields = ", ".join(f"CASE WHEN estado IS NULL THEN {column_name(f)} END AS {column_name(f)}" for f in FIELDS)
     domain = ", ".join(map(q, DOMAIN_REASONS))
@@ -362,10 +364,10 @@ def batch(scope: str = "batch_id") -> str:
     failed = f"NOT valido OR NOT {good}"
     unavailable = "NOT coalesce(isfinite(precio_comparacion) AND precio_comparacion > 0, false)"
     return f"""{validated()},
-copies AS (SELECT {scope}, codigo, count(*) AS copias FROM checked WHERE codigo IS NOT NULL GROUP BY ALL),
+copies AS (SELECT batch_id, codigo, count(*) AS copias FROM checked WHERE codigo IS NOT NULL GROUP BY ALL),
 judged AS (SELECT c.* EXCLUDE (estado, detalle), CASE WHEN estado IS NULL AND copias > 1 THEN 'datos_insuficientes' ELSE estado END AS estado,
     CASE WHEN estado IS NULL AND copias > 1 THEN {q(MSG_DUPLICATE)} ELSE detalle END AS detalle
-  FROM checked c LEFT JOIN copies USING ({scope}, codigo)),
+  FROM checked c LEFT JOIN copies USING (batch_id, codigo)),
 hollow AS (SELECT row_id, {fields} FROM judged),
 {native('hollow')},
 compared AS (SELECT v.*, {compared} AS precio_comparacion FROM valued v),
@@ -386,11 +388,17 @@ def warnings_sql() -> str:
             f"CASE WHEN parkingSpace_hasParkingSpace IS NULL THEN {q(WARNING_PARKING)} END], lambda w: w IS NOT NULL), ' | ')")
 
 
-def results_sql(scope: str = "batch_id") -> str:
-    m = d.META
-    return f"""WITH {batch(scope)}
-SELECT row_id, codigo AS propertyCode, 'ok' AS estado, {q(m.model_id)} AS model_id, {m.ano_precio} AS ano_ajuste,
-  indice_venta AS factor_escenario, precio_estimado_base AS precio_estimado_base,
+def literal(v: object) -> str:
+    return str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else q(v)
+
+
+def results_sql(meta: Metadata = d.META) -> str:
+    """Whole responses; warnings are joined and marks stand beside the rest."""
+    fixed = ", ".join(f"{literal(v)} AS {k}" for k, v in stamp_values(meta).items())
+    return f"""WITH {batch()}
+SELECT batch_id, row_id, codigo AS propertyCode, 'ok' AS estado, {fixed}, CAST(NULL AS VARCHAR) AS intervalo, CAST(NULL AS VARCHAR) AS banda,
+  false AS oportunidad, false AS sobrevalorado, false AS alquiler_validado, {q(f'ratio_distrital_proyectado_{meta.ano_renta}')} AS metodo_renta,
+  {warnings_sql()} AS advertencias, indice_venta AS factor_escenario, precio_estimado_base AS precio_estimado_base,
   precio_estimado AS precio_estimado, precio_anunciado AS precio_anunciado, operation,
   precio_comparacion AS precio_comparacion, CASE WHEN operation = 'rent' THEN 'EUR/mes' ELSE 'EUR' END AS unidad_comparacion,
   (precio_anunciado / precio_comparacion - 1) * 100 AS brecha_pct, barrio_code, distrito_code,

@@ -28,6 +28,8 @@ from ..session import checkpoint_dir
 from ..sources import driver_tables as d
 from ..sources.listings import (FIELDS, column_name, flatten, from_raw, parse_values, unwrap_envelopes,
                                 with_expected_columns)
+from ..sources.packages import load_package, package_manifest, write_package
+from ..sources.polygons import polygon_edges, polygon_shapes
 from ..sources.reference import References
 from ..streaming.valuation import read_stream_output, value_stream
 from . import oracle as o
@@ -262,6 +264,12 @@ def nearest_area_500m(spark, sf_dir):
     return _assign(spark, sf_dir).filter("barrio_rescatado").select("row_id", "barrio_code")
 
 
+@register(f"SELECT area_code, CAST(ring_no AS INTEGER) AS ring_no, CAST(edge_no AS INTEGER) AS edge_no, x1, y1, x2, y2 FROM ({o._edges()})")
+def area_edges_from_wkb(spark, sf_dir):
+    """Areas to WKB polygons and back to edges."""
+    return polygon_edges(polygon_shapes(d.area_edges(spark, sf_dir)))
+
+
 _DISTANCES = ["DISTANCE_TO_CITY_CENTER", "DISTANCE_TO_METRO", "DISTANCE_TO_CASTELLANA"]
 _DISTANCE_SQL = f"""{o.NATIVE} SELECT row_id, {o.rounded(_DISTANCES)} FROM distances"""
 
@@ -451,14 +459,10 @@ def contract_errors_filtered(spark, sf_dir):
     return contract.validate_batch(d.raw_listings(spark, sf_dir), max_rows=0).where("error is not null").select("row_id", "error.estado", "error.detalle")
 
 
-_RESULT_COLUMNS = ["row_id", "propertyCode", "estado", "model_id", "ano_ajuste", "factor_escenario", "precio_estimado_base",
-                   "precio_estimado", "precio_anunciado", "operation", "precio_comparacion", "unidad_comparacion", "brecha_pct",
-                   "barrio_code", "distrito_code", "renta_mensual_estimada", "factor_renta_mensual"]
-
-
 def _flat_results(rows: DataFrame) -> DataFrame:
-    return rounded(rows.select("*", "calidad.*"), *_RESULT_COLUMNS, "barrio_rescatado", "planta_imputada",
-                   "ascensor_desde_descripcion", "sin_descripcion", "obra_nueva", "fuera_de_rango")
+    """Every response column, marks beside the rest and warnings joined."""
+    flat = rows.select("*", "calidad.*").drop("calidad").withColumn("advertencias", F.array_join("advertencias", " | "))
+    return rounded(flat)
 
 
 @register(o.results_sql(), name="results")
@@ -467,6 +471,22 @@ def result_rows(spark, sf_dir):
     return _flat_results(batch.results(_outcome(spark, sf_dir), d.META))
 
 
+_HASHES = ["modelo_sha256", "paquete_sha256"]
+
+
+@register(f"SELECT * EXCLUDE ({', '.join(_HASHES)}), true AS modelo_intacto, true AS paquete_intacto FROM ({o.results_sql()})")
+def package_results(spark, sf_dir):
+    """Whole responses with a package written, named by its manifest, checked and loaded; its hashes are held against the files'."""
+    folder = f"{checkpoint_dir(spark)}/package-{uuid.uuid4().hex}"
+    own = references(spark, sf_dir)
+    write_package(own, folder)
+    listed = package_manifest(own, folder)
+    refs = load_package(spark, folder, listed)
+    rows = _flat_results(batch.results(batch.value_batch(d.raw_listings(spark, sf_dir), refs), refs.meta))
+    model = next(h for n, h in listed["sha256"].items() if n.startswith("modelo.json"))
+    return rows.withColumns({"modelo_intacto": F.col("modelo_sha256") == model, "paquete_intacto": F.col("paquete_sha256") == listed["paquete_sha256"]}).drop(*_HASHES)
+
+
 @register(f"WITH {o.batch()} SELECT row_id AS indice, codigo AS propertyCode, estado, detalle FROM outcome WHERE estado IS NOT NULL", name="errors")
 def error_rows(spark, sf_dir):
     """Error rows of the contract layer."""
@@ -572,12 +592,28 @@ def file_hashes(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- stream
-@register(f"SELECT * EXCLUDE (row_id) FROM ({o.results_sql()})")
-def value_stream_results(spark, sf_dir):
-    """Listings arriving as JSON lines, one file a batch, valued by a stream that takes three files at a time."""
+def _streamed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Results and errors of listings arriving as JSON lines, one file a batch, taken three files at a time; an attempt that broke off lies beside."""
     base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-    d.raw_texts(spark, sf_dir).repartition("batch_id").select("batch_id", "value").write.partitionBy("batch_id").text(f"{base}/in")
+    ordered = d.raw_texts(spark, sf_dir).repartition("batch_id").sortWithinPartitions("batch_id", "row_id")
+    ordered.select("batch_id", "value").write.partitionBy("batch_id").text(f"{base}/in")
+    spark.range(5).write.parquet(f"{base}/out/data/epoch=0/attempt=brokenoff/tipo=resultado")
     refs = references(spark, sf_dir)
     value_stream(spark, f"{base}/in", refs, f"{base}/out", f"{base}/state", max_files=3).awaitTermination()
-    rows, _ = read_stream_output(spark, f"{base}/out", refs)
-    return _flat_results(rows).drop("row_id")
+    named = F.regexp_extract("batch_id", "batch_id=([^/]+)", 1)
+    return tuple(side.withColumn("batch_id", named) for side in read_stream_output(spark, f"{base}/out", refs))
+
+
+@register(f"""WITH lineas AS (SELECT batch_id, row_id, row_number() OVER (PARTITION BY batch_id ORDER BY row_id) - 1 AS linea FROM ({d.LISTINGS_SQL}))
+SELECT r.* REPLACE (linea AS row_id) FROM ({o.results_sql()}) r JOIN lineas USING (batch_id, row_id)""")
+def value_stream_results(spark, sf_dir):
+    """Whole responses of the stream, each with its line."""
+    return _flat_results(_streamed(spark, sf_dir)[0])
+
+
+@register(f"""WITH lineas AS (SELECT batch_id, row_id, row_number() OVER (PARTITION BY batch_id ORDER BY row_id) - 1 AS linea FROM ({d.LISTINGS_SQL}))
+SELECT e.batch_id, linea AS indice, propertyCode, estado, detalle
+FROM (WITH {o.batch()} SELECT batch_id, row_id, codigo AS propertyCode, estado, detalle FROM outcome WHERE estado IS NOT NULL AND row_id % 71 <> 3) e JOIN lineas USING (batch_id, row_id)""")
+def value_stream_errors(spark, sf_dir):
+    """Errors of the stream, each with its line; a line with an empty array is a request without listings."""
+    return _streamed(spark, sf_dir)[1]

@@ -40,10 +40,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _store(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    folder, store = _store(spark, path)
+    return store.exists(folder)
+
+
+def folders_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder, which need not exist."""
+    folder, store = _store(spark, path)
+    return [s.getPath().getName() for s in store.listStatus(folder) if s.isDirectory()] if store.exists(folder) else []
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Remove a folder of intermediate rows that nothing reads any more, in whatever store it lies."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    folder, store = _store(spark, path)
+    store.delete(folder, True)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

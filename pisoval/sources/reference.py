@@ -12,6 +12,7 @@ from ..operators.areas import AreaIndex, index_areas
 from ..operators.lookup import LookupTable, measure
 from ..operators.poi import PoiIndex, index_pois
 from ..operators.trees import Scorer, TreeModel, check_model, load_model, prepare_scorer
+from .polygons import polygon_edges
 
 PACKAGE_VERSION = 3
 YEARS = ["ano_base", "ano_precio", "ano_renta"]
@@ -83,13 +84,13 @@ def read_metadata(spark: SparkSession, path: str) -> Metadata:
 
 
 def read_references(spark: SparkSession, folder: str) -> References:
-    """A package folder: metadata and model as JSON, tables as Parquet; checked before use."""
+    """A package folder: metadata and model as JSON, tables as Parquet, areas as polygons in metres; checked before use."""
     meta = read_metadata(spark, f"{folder}/metadatos.json")
     model = load_model(spark, f"{folder}/modelo.json")
     check_model(model, meta.arboles, meta.columnas)
     index = spark.read.parquet(f"{folder}/indices_distrito.parquet")
     check_years(index, meta)
-    return References(spark.read.parquet(f"{folder}/areas.parquet"), spark.read.parquet(f"{folder}/pois.parquet"),
+    return References(polygon_edges(spark.read.parquet(f"{folder}/barrios.parquet")), spark.read.parquet(f"{folder}/pois.parquet"),
                       spark.read.parquet(f"{folder}/variables_barrio.parquet"), index, model, meta)
 
 

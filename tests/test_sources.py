@@ -13,6 +13,8 @@ from pisoval.operators.reconcile import reconcile
 from pisoval.operators.trees import check_model, score_trees
 from pisoval.sources import driver_tables as d
 from pisoval.sources.listings import canonical, flatten, read_listings, read_raw
+from pisoval.sources.packages import load_package, package_manifest, write_package
+from pisoval.sources.polygons import polygon_shapes
 from pisoval.sources.reference import read_metadata, read_references
 from pisoval.sources.sinks import json_rows, write_native, write_report
 
@@ -57,7 +59,7 @@ def test_package_round_trip_and_tampering(spark, refs, tmp_path):
     meta = {"version_paquete": 3, "columnas": names, "smearing": 1.0173, "mediana_planta_train": 2.0, "area_max_dominio": 240.0,
             "arboles": len(d.TREES), "nombre": "x", "rangos_train": {"ROOMNUMBER": {"min": 0, "max": 5}}}
     (tmp_path / "metadatos.json").write_text(json.dumps(meta))
-    for name, df in (("areas", refs.edges), ("pois", refs.pois), ("variables_barrio", refs.area_features), ("indices_distrito", refs.district_index)):
+    for name, df in (("barrios", polygon_shapes(refs.edges)), ("pois", refs.pois), ("variables_barrio", refs.area_features), ("indices_distrito", refs.district_index)):
         df.write.parquet(str(tmp_path / f"{name}.parquet"))
     package = read_references(spark, str(tmp_path))
     assert package.meta.rangos_train == {"ROOMNUMBER": (0.0, 5.0)} and package.model.base_score == d.BASE_SCORE
@@ -73,6 +75,26 @@ def test_package_round_trip_and_tampering(spark, refs, tmp_path):
         manifest.require_intact(files, files.withColumn("sha256", F.lit("0")))
 
 
+def test_package_is_what_its_manifest_says(spark, refs, tmp_path):
+    folder = str(tmp_path / "p")
+    write_package(refs, folder)
+    manifest_ = package_manifest(refs, folder)
+    loaded = load_package(spark, folder, manifest_)
+    assert (loaded.meta.paquete_sha256, len(loaded.meta.modelo_sha256)) == (manifest_["paquete_sha256"], 64)
+    order = ["area_code", "ring_no", "edge_no"]
+    assert loaded.edges.orderBy(order).collect() == refs.edges.orderBy(order).collect()
+    assert sorted(map(tuple, loaded.model.nodes.collect()), key=lambda r: r[:2]) == sorted(map(tuple, refs.model.nodes.collect()), key=lambda r: r[:2])
+    assert "poi_no" not in loaded.pois.columns and loaded.points.center == refs.points.center
+    for wrong in ({**manifest_, "paquete_sha256": "0"}, {**manifest_, "trees": 3}, {**manifest_, "periodos": {"ano_base": 2017}}):
+        with pytest.raises(ValueError):
+            load_package(spark, folder, wrong)
+    part = next((tmp_path / "p" / "modelo.json").glob("part-*"))
+    part.write_text(part.read_text().replace("0.5", "0.6", 1))
+    (part.parent / f".{part.name}.crc").unlink()
+    with pytest.raises(ValueError, match="modelo.json"):
+        load_package(spark, folder, manifest_)
+
+
 def test_scoring_ways_agree(spark, refs):
     rows = spark.range(500).select(*[F.when(F.col("id") % (7 + i) != 0, (F.col("id") * (13 + i) % 300) / 2.0).alias(c)
                                      for i, c in enumerate(refs.meta.columnas)], (F.col("id") % 5 != 0).alias("ok"), "id")
