@@ -22,7 +22,7 @@ from .lookup import fits, lookup
 DISTANCES = {"DISTANCE_TO_METRO": POI_METRO, "DISTANCE_TO_CASTELLANA": POI_AVENUE}
 BROADCAST_POINTS = 5_000
 # Points of a leaf that isn't split any more; points that one task splits further; the last level, of about 15 centimetres.
-LEAF_POINTS, TASK_POINTS, DEEPEST = 16, 20_000, 26
+LEAF_POINTS, TASK_POINTS, DEEPEST = 24, 20_000, 26
 # Level of the squares that tasks start from where points are few.
 FIRST = 2
 _POINT = "struct<lat: double, lon: double, x: double, y: double, z: double>"
@@ -86,12 +86,12 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                   ["tipo", "level", "i", "j", "near"])
 
 
-def quadtree(points: DataFrame, task_points: int = TASK_POINTS) -> DataFrame:
+def quadtree(points: DataFrame, task_points: int = TASK_POINTS, few: bool = False) -> DataFrame:
     """(tipo, level, i, j, near) of every leaf over the globe, from distinct points (tipo, Lat, Lon).
 
     Squares with more points than one task takes are split by passes over (square, point) rows, in which each square learns its nearest
     point by a combined aggregate; the others are split inside tasks.  A square of the last level that is still too full becomes
-    several rows, of which the least distance counts.
+    several rows, of which the least distance counts.  few: known to be no more than one task takes.
     """
     xyz = [c.alias(n) for n, c in zip(_XYZ, _unit(F.col("Lat"), F.col("Lon")))]
     rows = points.select("tipo", F.col("Lat").alias("lat"), F.col("Lon").alias("lon"), *xyz)
@@ -99,7 +99,7 @@ def quadtree(points: DataFrame, task_points: int = TASK_POINTS) -> DataFrame:
                                   for i in range(2 * 2 ** FIRST) for j in range(4 * 2 ** FIRST)])).alias("s")
     point = F.struct("lat", "lon", *_XYZ)
     key = ["tipo", "level", "i", "j"]
-    if fits(points, task_points):
+    if few or fits(points, task_points):
         gathered = rows.groupBy("tipo").agg(F.collect_list(point).alias("near"))
         gathered = gathered.select("tipo", F.lit(FIRST).alias("level"), squares, "near").select("tipo", "level", "s.i", "s.j", "near")
         return gathered.repartition(8, "i", "j").mapInArrow(_split, LEAF_SCHEMA)
@@ -156,7 +156,7 @@ def index_pois(pois: DataFrame, max_points: int = BROADCAST_POINTS, task_points:
               .select(F.min(F.struct("no", "Lat", "Lon")).alias("p")).select("p.Lat", "p.Lon").first())
     points = (pois.filter(F.col("tipo").isin(*DISTANCES.values()) & usable_coordinates(F.col("Lat"), F.col("Lon"))).select("tipo", "Lat", "Lon").distinct()).persist()
     small = fits(points, max_points)
-    found = quadtree(points, task_points)
+    found = quadtree(points, task_points, small and max_points <= task_points)
     at = center["Lat"], center["Lon"]
     if not small:
         found = cut_lineage(found)
@@ -165,9 +165,9 @@ def index_pois(pois: DataFrame, max_points: int = BROADCAST_POINTS, task_points:
     up = F.pow(F.lit(2.0), F.lit(DEEPEST) - F.col("level")).cast("long")
     found = found.withColumn("start", _along_curve(F.col("i") * up, F.col("j") * up)).select("tipo", "start", "near").persist()
     starts: dict[str, list[int]] = {}
-    for r in found.select("tipo", "start").orderBy("tipo", "start").collect():
+    for r in found.select("tipo", "start").collect():
         starts.setdefault(r["tipo"], []).append(r["start"])
-    return PoiIndex(found, starts, {}, at)
+    return PoiIndex(found, {k: sorted(v) for k, v in starts.items()}, {}, at)
 
 
 def _min_distance(lat: Column, lon: Column, points: Column) -> Column:
@@ -196,7 +196,8 @@ def _on_globe(lat: Column, lon: Column) -> tuple[Column, Column]:
 
 def _leaf_start(at: Column, starts: list[int]) -> Column:
     """The last start that is not beyond `at`, by halving."""
-    held, steps = F.lit(starts), max(1, (len(starts) - 1).bit_length())
+    # One literal, which the optimizer parses once; a literal a start would be planned one by one.
+    held, steps = F.split(F.lit(",".join(map(str, starts))), ",").cast("array<long>"), max(1, (len(starts) - 1).bit_length())
 
     def halve(low: Column, step: Column) -> Column:
         ahead = low + step
