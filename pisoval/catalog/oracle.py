@@ -9,6 +9,7 @@ from ..fixed_values import (ADMITTED_TYPES, AMENITY_RULES, AREA_FEATURES, DOMAIN
                             MSG_OBJECT, MSG_OBSERVED, MSG_SIZE, NATIVE_COLUMNS, OCCUPIED_CANCELLED, REASONS,
                             TEXT_AMENITIES, WARNING_PARKING, WARNING_RANGE, WORKS_CANCELLED, WORKS_NEEDED)
 from ..functions import geo
+from ..operators.coverage import BASE_LISTING, EDGE_CASES
 from ..plans.batch import stamp_values
 from ..sources import driver_tables as d
 from ..sources.listings import FIELDS, column_name
@@ -142,6 +143,46 @@ FROM (SELECT *, atan2(tt, cos(lam)) AS xi, asinh(sin(lam) / sqrt(tt * tt + cos(l
           FROM {source})))"""
 
 
+def unprojected(source: str) -> str:
+    """Adds latitude, longitude to a relation with x, y in metres."""
+    e, k = repr(geo.ECCENTRICITY), repr(geo.SCALE * geo.RECTIFYING)
+    series = [(j, repr(b)) for j, b in enumerate(geo.INVERSE, start=1)]
+    u = " - ".join(["xi"] + [f"{b} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, b in series])
+    v = " - ".join(["eta"] + [f"{b} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, b in series])
+    steps = f"(SELECT *, asinh(sin(u) / sqrt(sinh(v) * sinh(v) + cos(u) * cos(u))) AS iso FROM (SELECT *, {u} AS u, {v} AS v FROM (SELECT *, y / {k} AS xi, (x - {geo.FALSE_EASTING}) / {k} AS eta FROM {source})))"
+    steps = f"(SELECT *, tanh(iso) AS s0 FROM {steps})"
+    for n in range(6):
+        steps = f"(SELECT *, tanh(iso + {e} * atanh({e} * s{n})) AS s{n + 1} FROM {steps})"
+    return f"SELECT *, degrees(asin(s6)) AS latitude, degrees(atan2(sinh(v), cos(u))) + {geo.CENTRAL_MERIDIAN} AS longitude FROM {steps}"
+
+
+def coverage_sql() -> str:
+    """CTE list ending in `valued`: a listing in the middle of every area and the edge cases, valued natively."""
+    def value(v):
+        return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else repr(v) if isinstance(v, float) else str(v) if isinstance(v, int) else q(v)
+    flat = [f for f in FIELDS if "." not in f]
+    base = {**{f: None for f in flat}, **{k: v for k, v in BASE_LISTING.items() if k in flat}}
+    kinds = {"string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+    own = {"propertyCode": "'barrio-' || i", "newDevelopment": "NULL", "size": "40 + i % 21 * 5", "latitude": "latitude", "longitude": "longitude"}
+
+    def row(source: dict) -> str:
+        return ", ".join(f"CAST({source[f]} AS {kinds[FIELDS[f]]}) AS {f}" for f in flat)
+    rest = (f"CAST(NULL AS VARCHAR) AS detailedType_typology, CAST(NULL AS VARCHAR) AS detailedType_subTypology, "
+            f"{value(BASE_LISTING['hasParkingSpace'])} AS parkingSpace_hasParkingSpace")
+    cases = " UNION ALL ".join(f"SELECT {1_000_000_000 + n} AS row_id, {row({f: value({**base, **c, 'propertyCode': f'edge-{n}'}[f]) for f in flat})}, {rest}"
+                               for n, c in enumerate(EDGE_CASES))
+    spans = "(y1 > y) <> (y2 > y)"
+    return f"""layer AS ({_edges()}),
+halves AS (SELECT area_code, (min(least(y1, y2)) + max(greatest(y1, y2))) / 2 AS half FROM layer GROUP BY area_code),
+lines AS (SELECT area_code, (max(CASE WHEN y1 <= half THEN y1 END) + min(CASE WHEN y1 > half THEN y1 END)) / 2 AS y FROM layer JOIN halves USING (area_code) GROUP BY area_code),
+crossings AS (SELECT area_code, y, x1 + (y - y1) * (x2 - x1) / (y2 - y1) AS x FROM layer JOIN lines USING (area_code) WHERE {spans}),
+stretches AS (SELECT *, row_number() OVER w AS n, lead(x) OVER w AS upto FROM crossings WINDOW w AS (PARTITION BY area_code ORDER BY x)),
+middles AS (SELECT area_code, y, (x + upto) / 2 AS x FROM stretches WHERE n % 2 = 1 AND upto IS NOT NULL QUALIFY row_number() OVER (PARTITION BY area_code ORDER BY upto - x DESC, x) = 1),
+placed AS ({unprojected('(SELECT *, row_number() OVER (ORDER BY area_code) - 1 AS i FROM middles)')}),
+cover AS (SELECT CAST(i AS BIGINT) AS row_id, {row({**{f: value(base[f]) for f in flat}, **own})}, {rest} FROM placed UNION ALL {cases}),
+{native('cover')}"""
+
+
 def _edges() -> str:
     rows = []
     for ring_no, ring in enumerate((d.AREA_RING, d.AREA_HOLE)):

@@ -31,6 +31,7 @@ from ..sources.listings import (FIELDS, column_name, flatten, from_raw, parse_va
 from ..sources.packages import load_package, package_manifest, write_package
 from ..sources.polygons import polygon_edges, polygon_shapes
 from ..sources.reference import References
+from ..sources.sinks import json_rows
 from ..streaming.valuation import read_stream_output, value_stream
 from . import oracle as o
 
@@ -95,11 +96,11 @@ def read_envelope(spark, sf_dir):
                        "propertyCode", "operation")
 
 
-@register(f"WITH {o.LISTINGS} SELECT row_id, {', '.join(column_name(f) for f in FIELDS if f != 'latitude')} FROM listings")
+@register(f"WITH {o.LISTINGS} SELECT row_id, {', '.join(column_name(f) for f in FIELDS)} FROM listings")
 def flatten_listings(spark, sf_dir):
     """Nested objects flattened to dotted columns (shown with underscores)."""
     flat = flatten(d.nested_listings(spark, sf_dir))
-    return flat.select("row_id", *[F.col(f"`{f}`").alias(column_name(f)) for f in FIELDS if f != "latitude"])
+    return flat.select("row_id", *[F.col(f"`{f}`").alias(column_name(f)) for f in FIELDS])
 
 
 @register(f"""WITH {o.LISTINGS} SELECT row_id, propertyCode, operation, propertyType, CAST(NULL AS DOUBLE) AS price, size,
@@ -112,14 +113,17 @@ def default_columns(spark, sf_dir):
                        "longitude", F.col("`detailedType.subTypology`").alias("detailedType_subTypology"))
 
 
-@register(f"""WITH {o.LISTINGS} SELECT row_id, CAST(to_json({{propertyCode: propertyCode, rooms: CAST(rooms AS BIGINT),
-  hasLift: hasLift, detailedType: {{subTypology: detailedType_subTypology}}}}) AS VARCHAR) AS fila FROM listings""")
+_JSON_FIELDS = [f for f in FIELDS if "." not in f]
+_JSON_NUMBERS = [f for f in _JSON_FIELDS if FIELDS[f] == "double"]
+
+
+@register(f"""WITH {o.LISTINGS} SELECT CAST(to_json({{row_id: row_id, {', '.join(f"{f}: CAST(round({f} * 10000) AS BIGINT)" if f in _JSON_NUMBERS else f"{f}: {f}" for f in _JSON_FIELDS)},
+  detailedType: {{typology: detailedType_typology, subTypology: detailedType_subTypology}}, parkingSpace: {{hasParkingSpace: parkingSpace_hasParkingSpace}}}}) AS VARCHAR) AS fila FROM listings""")
 def json_records(spark, sf_dir):
-    """Rows as JSON objects that keep their nulls."""
+    """Whole rows as JSON objects that keep their nulls; numbers in ten-thousandths, as engines write doubles each in their own way."""
     nested = d.nested_listings(spark, sf_dir)
-    rows = nested.select("row_id", F.struct("propertyCode", F.col("rooms").cast("long").alias("rooms"), "hasLift",
-                                            F.struct("detailedType.subTypology").alias("detailedType")).alias("r"))
-    return rows.select("row_id", F.to_json("r", {"ignoreNullFields": "false"}).alias("fila"))
+    whole = [F.round(F.col(f) * 10000).cast("long").alias(f) if f in _JSON_NUMBERS else F.col(f) for f in _JSON_FIELDS]
+    return json_rows(nested.select("row_id", *whole, "detailedType", "parkingSpace"))
 
 
 # ---------------------------------------------------------------- projections
@@ -499,6 +503,29 @@ def warnings_list(spark, sf_dir):
     return batch.results(_outcome(spark, sf_dir), d.META).select("row_id", F.array_join("advertencias", " | ").alias("advertencias"))
 
 
+@register(f"""WITH {o.batch()} SELECT count(*) AS anuncios, count(*) FILTER (WHERE estado IS NULL) AS resultados, count(*) FILTER (WHERE estado IS NOT NULL) AS errores FROM outcome""")
+def outcome_summary(spark, sf_dir):
+    """Counts seen on the way while an outcome is written, without a second pass."""
+    seen = batch.write_outcome(_outcome(spark, sf_dir), f"{checkpoint_dir(spark)}/outcome-{uuid.uuid4().hex}")
+    return spark.createDataFrame([(seen["anuncios"], seen["resultados"], seen["errores"])], "anuncios long, resultados long, errores long")
+
+
+_ESTIMATES = ["precio_estimado_base", "precio_estimado", "renta_mensual_estimada"]
+
+
+@register(f"""WITH l AS ({o.NATIVE} SELECT row_id, {', '.join(_ESTIMATES)} FROM valued WHERE valido), r AS ({o.results_sql()}),
+b AS (SELECT row_id, l.row_id IS NOT NULL AS izq, r.row_id IS NOT NULL AS der, {' AND '.join(f'l.{c} IS NOT DISTINCT FROM r.{c}' for c in _ESTIMATES)} AS igual,
+  greatest({', '.join(f'abs(l.{c} - r.{c})' for c in _ESTIMATES)}) AS d FROM l FULL JOIN r USING (row_id))
+SELECT count(*) AS total, count(*) FILTER (WHERE izq AND der AND igual) AS iguales, count(*) FILTER (WHERE izq AND der AND NOT igual) AS distintos,
+  count(*) FILTER (WHERE NOT der) AS solo_izquierda, count(*) FILTER (WHERE NOT izq) AS solo_derecha, CAST(0 AS BIGINT) AS repetidos,
+  round(coalesce(max(d), 0), 6) AS diferencia_maxima, count(*) FILTER (WHERE NOT (izq AND der)) AS sin_tolerancia, count(*) FILTER (WHERE NOT (izq AND der)) = 0 AS dentro_de_tolerancia FROM b""")
+def reconcile_estimates(spark, sf_dir):
+    """Base price, price and rent of the native layer against those of the contract's responses, row by row."""
+    native = _native(spark, sf_dir).where("valido").select("row_id", *_ESTIMATES)
+    rows = batch.results(_outcome(spark, sf_dir), d.META).select("row_id", *_ESTIMATES)
+    return reconcile(native, rows, "row_id", _ESTIMATES).withColumn("diferencia_maxima", F.round("diferencia_maxima", 6))
+
+
 # ---------------------------------------------------------------- reports
 def _shifted(native: DataFrame) -> DataFrame:
     """A second result set: some rows missing, some changed, some new."""
@@ -551,7 +578,7 @@ def reconciliation(spark, sf_dir):
     return reconcile(left, right, "propertyCode", _COMPARED).withColumn("diferencia_maxima", F.round("diferencia_maxima", 6))
 
 
-@register()
+@register(f"WITH {o.coverage_sql()} SELECT row_id, propertyCode, valido, motivo_no_valido, barrio_code, barrio_rescatado FROM valued")
 def coverage_set(spark, sf_dir):
     """One listing inside every polygon and the edge cases, valued natively."""
     refs = references(spark, sf_dir)
@@ -585,6 +612,16 @@ def manifest_fingerprint(spark, sf_dir):
     return manifest.manifest_fingerprint(entries, "source")
 
 
+@register("""WITH e AS (SELECT source, 'doc-' || doc_id AS nombre, sha256(text) AS h FROM documents),
+hojas AS (SELECT source, substr(sha256(nombre), 1, 1) AS d, count(*) AS n, sha256('{' || string_agg('"' || nombre || '":"' || h || '"', ',' ORDER BY nombre) || '}') AS h FROM e GROUP BY 1, 2)
+SELECT source, CAST(sum(n) AS BIGINT) AS entradas, 1 AS profundidad, sha256('{' || string_agg('"' || d || '":"' || h || '"', ',' ORDER BY d) || '}') AS raiz_sha256 FROM hojas GROUP BY source""")
+def manifest_tree(spark, sf_dir):
+    """Root of the hash tree over each source's texts: no task hashes a whole source."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    entries = docs.select("source", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("nombre"), F.sha2("text", 256).alias("sha256"))
+    return manifest.manifest_tree(entries, "source")
+
+
 @register()
 def file_hashes(spark, sf_dir):
     """Hashes of the files in a folder."""

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.geo import unproject_utm
 from .lookup import lookup
+from .positions import with_positions
 
 BASE_LISTING = dict(propertyCode="muestra", operation="sale", municipality="Madrid", propertyType="flat",
                     size=64.0, rooms=3, bathrooms=1, latitude=40.42, longitude=-3.69, floor="4", hasLift=True,
@@ -45,21 +46,11 @@ def interior_points(edges: DataFrame) -> DataFrame:
             .select("area_code", "p.x", "p.y"))
 
 
-def _positions(points: DataFrame) -> DataFrame:
-    """Zero-based position by code: within the district, plus the districts before it."""
-    marked = points.withColumn("district", F.substring("area_code", 1, 2))
-    before = marked.groupBy("district").count().withColumn(
-        "offset", F.sum("count").over(W.orderBy("district").rowsBetween(W.unboundedPreceding, -1)))
-    within = marked.withColumn("n", F.row_number().over(W.partitionBy("district").orderBy("area_code")) - 1)
-    return (lookup(within, before.select("district", "offset"), ["district"])
-            .withColumn("i", F.coalesce("offset", F.lit(0)) + F.col("n")).drop("district", "offset", "n"))
-
-
 def coverage_set(edges: DataFrame) -> DataFrame:
     """One listing inside every polygon, then the edge cases, in the contract's field layout."""
     lat, lon = unproject_utm(F.col("x"), F.col("y"))
     base = {k: F.lit(v) for k, v in BASE_LISTING.items()}
-    per_area = _positions(interior_points(edges)).select(
+    per_area = with_positions(interior_points(edges), ["area_code"], "i").select(
         F.col("i").cast("long").alias("row_id"),
         *[c.alias(k) for k, c in {**base, "propertyCode": F.concat(F.lit("barrio-"), F.col("i").cast("string")),
                                   "newDevelopment": F.lit(None).cast("boolean"),

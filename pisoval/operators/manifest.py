@@ -61,6 +61,37 @@ def manifest_fingerprint(manifest: DataFrame, by: str) -> DataFrame:
     return ordered.mapInArrow(run, f"`{by}` {kind}, paquete_sha256 string")
 
 
+#: Entries that one leaf of a hash tree may hold, about.
+LEAF_ENTRIES = 64
+
+
+def tree_depth(largest: int) -> int:
+    """Digits of the names' hashes by which leaves are told apart, so that the largest package's leaves stay small; one at least."""
+    depth = 1
+    while largest > LEAF_ENTRIES * 16 ** depth:
+        depth += 1
+    return depth
+
+
+def manifest_tree(manifest: DataFrame, by: str) -> DataFrame:
+    """(by, entradas, profundidad, raiz_sha256): identity of each package as the root of a hash tree.
+
+    Leaves hold the entries whose names' hashes begin alike; a leaf's hash is that of its entries in the manifest's text form, and a
+    node's that of its children's digits and hashes in the same form. No group holds more than a leaf or sixteen children, so a
+    package of any size is hashed by many tasks, and two packages can be compared branch by branch.
+    """
+    largest = manifest.groupBy(F.col(by)).count().agg(F.max("count")).first()[0] or 0
+    depth = tree_depth(largest)
+    entry = F.struct("nombre", "sha256")
+    nodes = manifest.groupBy(F.col(by), F.substring(F.sha2("nombre", 256), 1, depth).alias("camino")).agg(
+        fingerprint(F.collect_list(entry)).alias("sha256"), F.count("*").alias("entradas"))
+    for length in reversed(range(depth)):
+        child = F.struct(F.substring("camino", length + 1, 1).alias("nombre"), "sha256")
+        nodes = nodes.groupBy(F.col(by), F.substring("camino", 1, length).alias("camino")).agg(
+            fingerprint(F.collect_list(child)).alias("sha256"), F.sum("entradas").alias("entradas"))
+    return nodes.select(by, "entradas", F.lit(depth).alias("profundidad"), F.col("sha256").alias("raiz_sha256"))
+
+
 def require_intact(files: DataFrame, manifest: DataFrame) -> None:
     """Raise when a listed file is missing or altered."""
     bad = check_manifest(files, manifest).filter(F.col("estado").isin("falta", "alterado"))
