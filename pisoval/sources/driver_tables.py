@@ -16,28 +16,28 @@ from .reference import Metadata, References
 PHRASES = [
     "Piso con terraza y aire acondicionado.",
     "Sin ascensor, pero con trastero y balcón.",
-    "Vivienda a reformar junto al parque.",
+    "Rincón tranquilo con vistas al parque, ideal para actualizar con ilusión.",
     "Armarios empotrados en todas las habitaciones; portero físico.",
     "Piscina comunitaria y zonas ajardinadas.",
-    "Posibilidad de plaza de garaje. Sin necesidad de reformar.",
-    "Actualmente alquilado con contrato de alquiler vigente.",
+    "Posibilidad de plaza de garaje. Se entrega sin necesidad de obras.",
+    "Hoy se encuentra alquilado hasta junio, con la renta al día.",
     "Urbanización con jardín, piscina y conserje.",
     "No tiene terraza ni trastero. Ático luminoso.",
     "Cerca de la piscina municipal y con vistas al jardín.",
     "Preinstalación de aire acondicionado, garaje opcional.",
     "Oferta de bares con terraza en la zona. Portero automático.",
     "Proyecto para instalar ascensor en la finca.",
-    "Nuda propiedad - valoración de viviendas.",
-    "Se vende nuda propiedad con usufructo.",
-    "Libre de inquilinos, desocupado y para entrar a vivir.",
+    "Trabajamos también la nuda propiedad - valoraciones sin coste.",
+    "Venta de la nuda propiedad; el usufructo queda en la familia.",
+    "Llaves en mano: sin inquilinos desde mayo y recién pintado.",
     "Trastero opcional, no incluido; plaza de aparcamiento.",
     "Bomba de calor, splits y climatización por conductos.",
-    "No requiere ninguna reforma, aunque necesita una actualización.",
+    "El salón no precisa obras; la cocina necesita una actualización.",
     "Terraza comunitaria. Tiene terraza privada de 20 m² y ascensor.",
     "Empotrados de obra y armario ropero, antigua portería.",
     "Jardín botánico a dos pasos; ciudad jardín.",
     "Falta de ascensor; carece de garaje; ausencia de piscina.",
-    "Piso para actualizar, okupado, sin posesión.",
+    "Estudio okupado que precisa de algo de reforma; venta sin posesión.",
 ]
 
 
