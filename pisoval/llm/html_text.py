@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,7 +25,11 @@ _ATTRIBUTE = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s
 _LABEL = re.compile(r'data-l="(.)"')
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style title textarea noscript template iframe svg math object select".split())
+#: Their content is no markup and ends with their own end tag, or with the page.
+_RAW = frozenset("script style title textarea iframe".split())
+#: Elements without text of the page's own. They end with their end tag, their parent's, or, drawings, where a block opens; one whose end
+#: tag doesn't follow at all is passed over.
+_SKIPPED = frozenset("noscript template svg select datalist annotation annotation-xml".split())
 _BLOCK = frozenset("html head body article section nav aside header footer main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot "
                    "caption tr td th blockquote pre figure figcaption form fieldset legend label button details summary address dialog hgroup search menu center".split())
 #: What an opening tag closes, up to the element that stops the search.
@@ -48,6 +53,8 @@ class Page:
         self.blocks: list[tuple[int, list[str]]] = []
         self.own, self.link = [0], [0]
         stack, open_blocks, text, links, at = [], [0], [], 0, 0
+        # How often each name is open, where its next end tag is, and the place in the stack of the element that is skipped.
+        count, ends_at, skipped = Counter(), {}, None
 
         def flush() -> None:
             nonlocal text
@@ -56,17 +63,38 @@ class Page:
                 text = []
 
         def pop(to: int) -> None:
-            nonlocal links
+            nonlocal links, skipped
             while len(stack) > to:
-                name = stack.pop()
-                if name in _BLOCK:
+                name, is_block = stack.pop()
+                count[name] -= 1
+                if is_block:
                     flush()
                     open_blocks.pop()
                 elif name == "a":
                     links -= 1
+            if skipped is not None and to <= skipped:
+                skipped = None
+
+        def push(name: str, is_block: bool = False) -> None:
+            stack.append((name, is_block))
+            count[name] += 1
+
+        def close(name: str) -> None:
+            """Close the innermost open element of the name and all within it."""
+            to = len(stack) - 1
+            while stack[to][0] != name:
+                to -= 1
+            pop(to)
+
+        def ends(name: str) -> bool:
+            """Whether an end tag of the name follows; each stretch of the page is searched once a name."""
+            if ends_at.get(name, -1) < at:
+                found = re.compile(rf"</{name}\b", re.I).search(source, at)
+                ends_at[name] = found.start() if found else len(source) + 1
+            return ends_at[name] <= len(source)
 
         def add(raw: str) -> None:
-            if raw:
+            if raw and skipped is None:
                 s = html.unescape(raw) if "&" in raw else raw
                 text.append(s)
                 n = len(s.strip())
@@ -81,14 +109,26 @@ class Page:
             if not name:
                 continue
             if m[1] or m[4]:
-                if name in stack:
-                    pop(len(stack) - 1 - stack[::-1].index(name))
+                if count[name]:
+                    close(name)
                 continue
             if name in _RAW:
                 if not m[0].endswith("/>"):
                     end = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
                     at = end.end() if end else len(source)
                 continue
+            if skipped is not None:
+                if stack[skipped][0] != "svg" or name not in _BLOCK or count["foreignobject"]:
+                    if name not in _VOID and not m[0].endswith("/>"):
+                        push(name)
+                        links += name == "a"
+                    continue
+                pop(skipped)
+            if name in _SKIPPED:
+                if not m[0].endswith("/>") and ends(name):
+                    skipped = len(stack)
+                    push(name)
+                continue
             if name == "br":
                 text.append(" ")
                 continue
@@ -97,21 +137,21 @@ class Page:
                     flush()
                 continue
             if name in _CLOSES:
-                ends, stops = _CLOSES[name]
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i] in stops:
+                closed, stops = _CLOSES[name]
+                for i in range(len(stack) - 1, -1, -1) if any(count[c] for c in closed) else ():
+                    if stack[i][0] in stops:
                         break
-                    if stack[i] in ends:
+                    if stack[i][0] in closed:
                         pop(i)
                         break
             if name in _BLOCK:
-                if "p" in stack and name not in ("label", "button"):
-                    pop(len(stack) - 1 - stack[::-1].index("p"))
+                if count["p"] and name not in ("label", "button"):
+                    close("p")
                 flush()
                 attributes = m[3] if m[3] is not None else m[6]
                 if name == "html" and len(self.tag) == 1 and not stack:
                     self.label[0] = _LABEL.search(attributes)[1] if labels else None
-                    stack.append(name)
+                    push(name, True)
                     open_blocks.append(0)
                     continue
                 found = {_PART_OF[w.lower()] for v in _ATTRIBUTE.finditer(attributes) for w in _NAME.findall(v[1] or v[2] or v[3] or "") if w.lower() in _PART_OF} if attributes else ()
@@ -124,7 +164,7 @@ class Page:
                 open_blocks.append(len(self.tag) - 1)
             elif name == "a":
                 links += 1
-            stack.append(name)
+            push(name, name in _BLOCK)
         add(source[at:])
         flush()
 
@@ -210,7 +250,8 @@ def main_text(source: str | None, model: Model | None = None) -> str:
 
 def extract(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """(*keep, text, n_chars): the main text of every row's whole page. A null or empty page, or one without content, has an empty
-    text. Rows are independent: repeats and nulls in other columns pass through. The model is trained once per Python worker."""
+    text. Rows are independent: repeats and nulls in other columns pass through, columns that are not kept are left out, and an empty table
+    gives none. Time grows with a page's length, however deep its elements nest. The model is trained once per Python worker."""
     narrow = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html_col}`").cast("string").alias("__page__"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

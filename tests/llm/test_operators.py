@@ -2,6 +2,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -177,6 +178,28 @@ def test_extract_rows(spark):
 
 # 4 Chat
 
+@pytest.mark.parametrize("tag", "svg noscript template select math object".split())
+def test_skipped_elements_end_with_their_parent(tag):
+    words = "plain words of an article, many enough to be content, and more of them follow here. " * 4
+    frame = "<html><body><article><h1>T</h1>{}<p>second {}</p></article><footer>legal</footer></body></html>"
+    unclosed = [f"<p>{words}<{tag}> x</p>", f"<p>{words}</p><{tag}>", f"<{tag}><p>{words}</p>"]
+    for page in unclosed:
+        text = html_text.main_text(frame.format(page, words))
+        assert text.count("plain words") == 8 and "second plain" in text and "legal" not in text
+    # An element of the same name later on doesn't lengthen one that its parent ended.
+    text = html_text.main_text(frame.format(f"<p>{words}<{tag}> x</p>", words) + f"<{tag}></{tag}>")
+    assert text.count("plain words") == 8
+    closed = html_text.main_text(frame.format(f"<p>{words}<{tag}><b>inner</b></{tag}> tail</p>", words))
+    assert ("inner" in closed) == (tag in ("math", "object")) and "tail" in closed and closed.count("plain words") == 8
+
+
+def test_deep_pages_take_time_by_length():
+    for tag in ("div", "b", "li"):
+        start = time.perf_counter()
+        html_text.main_text("<html><body><article>" + f"<{tag}>x " * 60_000 + f"</{tag}>" * 60_000 + "</article></body></html>")
+        assert time.perf_counter() - start < 20
+
+
 def test_template_language():
     source = "{% set a = 'x' ~ 1 %}{{ a }}{% for i in list %}{{ loop.index }}{% if loop.last %}!{% elif i.b is defined %}-{{ i['b'] | upper }}-{% else %},{% endif %}{% endfor %}{# c #}{{ none }}{{ 'y' if 1 + 1 == 2 else q }}"
     run = compile_template(source)
