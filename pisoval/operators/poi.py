@@ -95,8 +95,7 @@ def quadtree(points: DataFrame, task_points: int = TASK_POINTS, few: bool = Fals
     """
     xyz = [c.alias(n) for n, c in zip(_XYZ, _unit(F.col("Lat"), F.col("Lon")))]
     rows = points.select("tipo", F.col("Lat").alias("lat"), F.col("Lon").alias("lon"), *xyz)
-    squares = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j"))
-                                  for i in range(2 * 2 ** FIRST) for j in range(4 * 2 ** FIRST)])).alias("s")
+    squares = F.expr(f"explode(flatten(transform(sequence(0L, {2 * 2 ** FIRST - 1}L), i -> transform(sequence(0L, {4 * 2 ** FIRST - 1}L), j -> struct(i, j)))))").alias("s")
     point = F.struct("lat", "lon", *_XYZ)
     key = ["tipo", "level", "i", "j"]
     if few or fits(points, task_points):
@@ -138,15 +137,16 @@ class PoiIndex:
     center: tuple[float, float]
 
 
-def _spaced(c: Column) -> Column:
-    """The bits of a number, each followed by a free place."""
-    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
-        c = c.bitwiseOR(F.shiftleft(c, shift)).bitwiseAND(F.lit(mask))
-    return c
+#: Steps that set the bits of a number apart, each followed by a free place.
+_SPACING = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))
 
 
-def _along_curve(i: Column, j: Column) -> Column:
-    return F.shiftleft(_spaced(i), 1).bitwiseOR(_spaced(j))
+def _along_curve(df: DataFrame, i: Column, j: Column, name: str) -> DataFrame:
+    """Add the place of square (i, j) on the curve through all squares. Each step is a column of its own, as it names the one before twice."""
+    df = df.withColumns({"__si": i, "__sj": j})
+    for shift, mask in _SPACING:
+        df = df.withColumns({c: F.shiftleft(c, shift).bitwiseOR(F.col(c)).bitwiseAND(F.lit(mask)) for c in ("__si", "__sj")})
+    return df.withColumn(name, F.shiftleft("__si", 1).bitwiseOR(F.col("__sj"))).drop("__si", "__sj")
 
 
 def index_pois(pois: DataFrame, max_points: int = BROADCAST_POINTS, task_points: int = TASK_POINTS) -> PoiIndex:
@@ -163,7 +163,7 @@ def index_pois(pois: DataFrame, max_points: int = BROADCAST_POINTS, task_points:
         levels = {r["tipo"]: (r["low"], r["high"]) for r in found.groupBy("tipo").agg(F.min("level").alias("low"), F.max("level").alias("high")).collect()}
         return PoiIndex(found, None, levels, at)
     up = F.pow(F.lit(2.0), F.lit(DEEPEST) - F.col("level")).cast("long")
-    found = found.withColumn("start", _along_curve(F.col("i") * up, F.col("j") * up)).select("tipo", "start", "near").persist()
+    found = _along_curve(found, F.col("i") * up, F.col("j") * up, "start").select("tipo", "start", "near").persist()
     starts: dict[str, list[int]] = {}
     for r in found.select("tipo", "start").collect():
         starts.setdefault(r["tipo"], []).append(r["start"])
@@ -210,7 +210,7 @@ def _by_broadcast(df: DataFrame, index: PoiIndex) -> DataFrame:
     """One leaf row per listing and type; a missing coordinate has no leaf and so no distance."""
     lat, lon = F.col("latitude"), F.col("longitude")
     placed = df.withColumns(dict(zip(("__lat", "__lon"), _on_globe(lat, lon))))
-    out = _with_unit(placed.withColumn("__at", _along_curve(*_square(F.col("__lat"), F.col("__lon"), DEEPEST))).drop("__lat", "__lon"))
+    out = _with_unit(_along_curve(placed, *_square(F.col("__lat"), F.col("__lon"), DEEPEST), "__at").drop("__lat", "__lon"))
     for name, kind in DISTANCES.items():
         starts = index.starts.get(kind)
         if not starts:

@@ -17,6 +17,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
             .config("spark.sql.session.timeZone", "UTC")
             .config("spark.sql.execution.arrow.pyspark.enabled", "true")
             .config("spark.sql.variant.allowDuplicateKeys", "true")
+            .config("spark.python.sql.dataFrameDebugging.enabled", "false")
             .getOrCreate())
 
 
