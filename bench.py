@@ -13,7 +13,7 @@ from pisoval.catalog.queries import QUERIES  # noqa: E402
 from pisoval.session import local_session  # noqa: E402
 
 HEADLINES = ["normalize_text", "amenity_flags", "amenity_states", "state_and_occupation", "nearest_poi", "assign_area",
-             "build_features", "score_trees", "score_trees_expression", "value_native", "validate_strict",
+             "build_features", "score_trees", "score_trees_expression", "score_trees_410", "value_native", "validate_strict",
              "duplicates_in_batch", "results", "errors", "reconcile", "training_profile"]
 
 

@@ -232,6 +232,22 @@ def score_case() -> str:
     return total
 
 
+def large_score_sql() -> str:
+    """The large ensemble walked level by level, leaves added in tree order in single precision; follows the rows of `scored`."""
+    columns = list(d.META.columnas)
+    used = ", ".join(str(columns.index(f) + 1) for f, _ in d.SPLITS)
+    limits = ", ".join(f"CAST({t} AS FLOAT)" for _, t in d.SPLITS)
+    split = f"(7 * t + 11 * n) % {len(d.SPLITS)} + 1"
+    value = f"xs[([{used}])[{split}]]"
+    ctes = [f"level0 AS (SELECT row_id, xs, t, 0 AS n FROM (SELECT row_id, [{', '.join(f'CAST({c} AS FLOAT)' for c in columns)}] AS xs FROM scored WHERE valido), range({d.LARGE_TREES}) r(t))"]
+    for k in range(5):
+        left = f"CASE WHEN {value} IS NULL THEN (t + n) % 3 > 0 ELSE {value} < ([{limits}])[{split}] END"
+        ctes.append(f"level{k + 1} AS (SELECT row_id, xs, t, CASE WHEN {k} >= 3 + t % 3 THEN n WHEN {left} THEN 2 * n + 1 ELSE 2 * n + 2 END AS n FROM level{k})")
+    leaf = "CAST(((37 * t + 101 * n) % 199 - 99) / 16384 AS FLOAT)"
+    return f"""{', '.join(ctes)}, sums AS (SELECT row_id, list_reduce(list_prepend(CAST({d.BASE_SCORE} AS FLOAT), list({leaf} ORDER BY t)), lambda a, b: a + b) AS total FROM level5 GROUP BY row_id)
+SELECT row_id, round(CAST(total AS DOUBLE), 6) AS puntuacion FROM scored LEFT JOIN sums USING (row_id)"""
+
+
 # ---------------------------------------------------------------- native valuation
 def _kind(word: str) -> str:
     return f"CAST(coalesce(detailedType_subTypology, '') = '{word}' OR coalesce(propertyType, '') = '{word}' AS INTEGER)"

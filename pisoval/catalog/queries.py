@@ -350,10 +350,10 @@ def training_profile(spark, sf_dir):
     return out.select("variable", "n", "minimo", "maximo", F.round("mediana", 6).alias("mediana"), F.round("p99", 6).alias("p99"))
 
 
-def _scored(spark, sf_dir, **kw) -> DataFrame:
+def _scored(spark, sf_dir, model: TreeModel | None = None, **kw) -> DataFrame:
     refs = references(spark, sf_dir)
     out = with_reasons(build_features(d.listings(spark, sf_dir), refs), refs)
-    return score_trees(out, refs.model, "puntuacion", where=F.col("valido"), **kw).select(
+    return score_trees(out, model or refs.model, "puntuacion", where=F.col("valido"), **kw).select(
         "row_id", F.round(F.col("puntuacion").cast("double"), 6).alias("puntuacion"))
 
 
@@ -372,6 +372,12 @@ def score_trees_expression(spark, sf_dir):
     return _scored(spark, sf_dir)
 
 
+@register(f"{o.NATIVE}, {o.large_score_sql()}")
+def score_trees_410(spark, sf_dir):
+    """An ensemble as large as a full model: 410 trees over all 21 columns."""
+    return _scored(spark, sf_dir, model=d.large_model(spark))
+
+
 @register(f"{o.NATIVE} SELECT row_id, {o.rounded(NATIVE_COLUMNS)} FROM valued", name="value_native")
 def native_valuation(spark, sf_dir):
     """The 23-column valuation."""

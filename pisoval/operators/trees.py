@@ -98,51 +98,49 @@ def _score_expression(rows: list[T.Row], base_score: float) -> Column:
 
 
 class _Forest:
-    """Padded node arrays, walked one level at a time for a whole Arrow batch."""
+    """Nodes of all trees one after another, so memory follows their number and not the widest tree; walked a level at a time for a whole
+    Arrow batch."""
 
     def __init__(self, nodes: pd.DataFrame, features: list[str]):
+        nodes = nodes.sort_values(["tree", "node"])
         order = {name: i for i, name in enumerate(features)}
-        codes = {t: i for i, t in enumerate(sorted(nodes["tree"].unique()))}
-        width = int(nodes["node"].max()) + 1
-        at = (nodes["tree"].map(codes).to_numpy(), nodes["node"].to_numpy())
+        tree = nodes["tree"].to_numpy(np.int64)
+        key = (tree << 32) | nodes["node"].to_numpy(np.int64)
         split = nodes["feature"].notna().to_numpy()
-        own = nodes["node"].to_numpy()
 
-        def table(values, dtype):
-            out = np.zeros((len(codes), width), dtype)
-            out[at] = values
+        def places(children: pd.Series) -> np.ndarray:
+            # Leaves point to themselves, so walking past them changes nothing.
+            out = np.arange(len(key), dtype=np.int32)
+            out[split] = np.searchsorted(key, (tree[split] << 32) | children.to_numpy(np.float64, na_value=0)[split].astype(np.int64))
             return out
 
-        # Leaves point to themselves, so walking past them changes nothing.
-        self.left = table(np.where(split, nodes["left"].fillna(0), own), np.int32)
-        self.right = table(np.where(split, nodes["right"].fillna(0), own), np.int32)
-        self.feature = table(nodes["feature"].map(order).fillna(0), np.int32)
-        self.threshold = table(nodes["threshold"].fillna(0), np.float32)
-        self.default_left = table(nodes["default_left"].eq(True), bool)
-        self.leaf = table(nodes["leaf"].fillna(0), np.float32)
-        self.depths = [self._depth(i) for i in range(len(codes))]
-
-    def _depth(self, tree: int) -> int:
-        level, depth = np.array([0]), 0
-        while True:
-            below = np.unique(np.concatenate([self.left[tree, level], self.right[tree, level]]))
-            below = below[~np.isin(below, level)]
-            if not len(below):
-                return depth
-            level, depth = below, depth + 1
+        self.left, self.right = places(nodes["left"]), places(nodes["right"])
+        self.feature = nodes["feature"].map(order).fillna(0).to_numpy(np.int32)
+        self.threshold = nodes["threshold"].fillna(0).to_numpy(np.float32)
+        self.default_left = nodes["default_left"].eq(True).to_numpy(bool)
+        self.leaf = nodes["leaf"].fillna(0).to_numpy(np.float32)
+        self.roots = np.flatnonzero(np.diff(tree, prepend=-1)).astype(np.int32)
+        self.depths = self._depths(split)
+
+    def _depths(self, split: np.ndarray) -> np.ndarray:
+        """Levels below each root, all trees gone down together."""
+        level, owner, depths = self.roots, np.arange(len(self.roots)), np.zeros(len(self.roots), np.int32)
+        while (inner := split[level]).any():
+            level, owner = level[inner], owner[inner]
+            depths[np.unique(owner)] += 1
+            level, owner = np.concatenate([self.left[level], self.right[level]]), np.concatenate([owner, owner])
+        return depths
 
     def add_to(self, total: np.ndarray, x: np.ndarray) -> np.ndarray:
         """Add every tree's leaf in tree order, in single precision."""
-        missing = np.isnan(x)
-        rows = np.arange(len(x))
-        for tree, depth in enumerate(self.depths):
-            node = np.zeros(len(x), np.int32)
+        values, first = x.ravel(), np.arange(len(x)) * x.shape[1]
+        for root, depth in zip(self.roots, self.depths):
+            node = np.full(len(x), root, np.int32)
             for _ in range(depth):
-                f = self.feature[tree, node]
-                go_left = np.where(missing[rows, f], self.default_left[tree, node],
-                                   x[rows, f] < self.threshold[tree, node])
-                node = np.where(go_left, self.left[tree, node], self.right[tree, node])
-            total = total + self.leaf[tree, node]
+                v = values[first + self.feature[node]]
+                go_left = (v < self.threshold[node]) | (np.isnan(v) & self.default_left[node])
+                node = np.where(go_left, self.left[node], self.right[node])
+            total = total + self.leaf[node]
         return total
 
 

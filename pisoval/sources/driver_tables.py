@@ -255,6 +255,30 @@ def small_model(spark: SparkSession) -> TreeModel:
     return TreeModel(spark.createDataFrame(tree_rows(), NODE_SCHEMA), list(META.columnas), BASE_SCORE)
 
 
+#: Trees of the large ensemble, the number that a full model has.
+LARGE_TREES = 410
+#: Splits of the small ensemble, which the large one draws on.
+SPLITS = [split for root, low, high, _, _ in TREES for split in (root, low, high)]
+
+
+def large_tree_rows() -> list[tuple]:
+    """Nodes of the large ensemble: full trees of three to five levels, numbered level by level, all by arithmetic on tree and node."""
+    rows = []
+    for t in range(LARGE_TREES):
+        inner = 2 ** (3 + t % 3) - 1
+        for n in range(2 * inner + 1):
+            if n < inner:
+                feature, threshold = SPLITS[(7 * t + 11 * n) % len(SPLITS)]
+                rows.append((t, n, feature, threshold, 2 * n + 1, 2 * n + 2, (t + n) % 3 > 0, None))
+            else:
+                rows.append((t, n, None, None, None, None, None, ((37 * t + 101 * n) % 199 - 99) / 16384))
+    return rows
+
+
+def large_model(spark: SparkSession) -> TreeModel:
+    return TreeModel(spark.createDataFrame(large_tree_rows(), NODE_SCHEMA), list(META.columnas), BASE_SCORE)
+
+
 def references(spark: SparkSession, sf_dir: str) -> References:
     """Everything a valuation needs, from the driver tables."""
     return References(area_edges(spark, sf_dir), pois(spark, sf_dir), area_features(spark, sf_dir),

@@ -78,3 +78,26 @@ def test_file_names_hold_their_folder(spark, tmp_path):
     import hashlib
     want = {"p": '{"a":"1","b":"2"}', None: '{"c":"3"}'}
     assert {r["g"]: r["paquete_sha256"] for r in manifest_fingerprint(entries, "g").collect()} == {k: hashlib.sha256(v.encode()).hexdigest() for k, v in want.items()}
+
+
+def test_packed_forest_walks_like_nodes(spark):
+    """Trees of unlike depth, gaps between node numbers, a lone leaf; missing values; passes of few nodes."""
+    rows = [(0, 0, "a", 1.0, 7, 900, True, None), (0, 7, None, None, None, None, None, 0.25), (0, 900, "b", 2.0, 901, 950, False, None),
+            (0, 901, "a", 5.0, 960, 970, False, None), (0, 950, None, None, None, None, None, -1.5), (0, 960, None, None, None, None, None, 3.0),
+            (0, 970, None, None, None, None, None, 4.0), (3, 0, None, None, None, None, None, 0.5),
+            (8, 0, "b", 0.0, 2, 1, True, None), (8, 1, None, None, None, None, None, 8.0), (8, 2, None, None, None, None, None, 16.0)]
+    nodes = spark.createDataFrame(rows, "tree int, node int, feature string, threshold float, left int, right int, default_left boolean, leaf float")
+    places = {(r[0], r[1]): r for r in rows}
+
+    def walk(tree, values):
+        r = places[tree, 0]
+        while r[2] is not None:
+            v = values[r[2]]
+            r = places[tree, r[4] if (r[6] if v is None else v < r[3]) else r[5]]
+        return r[7]
+
+    given = [(a, b) for a in (None, 0.5, 1.0, 4.0, 9.0) for b in (None, -1.0, 0.0, 1.0, 2.0)]
+    df = spark.createDataFrame(given, "a double, b double")
+    want = {g: 1.0 + sum(walk(t, dict(zip("ab", g))) for t in (0, 3, 8)) for g in given}
+    for bounds in ({"expression_nodes": 0}, {"expression_nodes": 0, "nodes_per_pass": 4}, {}):
+        assert {(r["a"], r["b"]): r["score"] for r in score_trees(df, TreeModel(nodes, ["a", "b"], 1.0), **bounds).collect()} == want
