@@ -138,8 +138,6 @@ def index_areas(edges: DataFrame, max_m: float = RESCUE_METRES, cell_m: float =
         # A corner's side comes once, in a row without edges.
         none = F.slice(F.array(F.lit(None).cast(cells.schema["edge"].dataType)), 1, 0)
         shaped = blocks.select(*keys, F.lit(0).alias("odd"), "edges").union(sides.select(*keys, "odd", none.alias("edges")))
-    if small:
-        return AreaIndex(shaped.persist(), runs.persist(), small, max_m, cell_m)
     index = AreaIndex(cut_lineage(shaped), cut_lineage(runs), small, max_m, cell_m)
     cells.unpersist()
     return index
