@@ -26,6 +26,7 @@ from ..plans.features import build_features, own_features, prepare
 from ..plans.native import value_features, value_native, with_reasons
 from ..session import checkpoint_dir
 from ..sources import driver_tables as d
+from ..sources.documents import read_documents
 from ..sources.listings import (FIELDS, column_name, flatten, from_raw, parse_values, unwrap_envelopes,
                                 with_expected_columns)
 from ..sources.packages import load_package, package_manifest, write_package
@@ -126,6 +127,20 @@ def json_records(spark, sf_dir):
     return json_rows(nested.select("row_id", *whole, "detailedType", "parkingSpace"))
 
 
+@register(f"""WITH {o.LISTINGS} SELECT row_number() OVER (ORDER BY batch_id, row_id) - 1 AS row_id, propertyCode, price, size, detailedType_typology, description
+FROM listings UNION ALL SELECT count(*), 'fin', NULL, NULL, NULL, NULL FROM listings""")
+def read_document(spark, sf_dir):
+    """All listings in one JSON document, read back as elements that many tasks cut out of one file."""
+    path = f"{checkpoint_dir(spark)}/document-{uuid.uuid4().hex}"
+    nested = d.nested_listings(spark, sf_dir)
+    value = F.to_json(F.struct(*[c for c in nested.columns if c not in ("batch_id", "row_id")]), {"ignoreNullFields": "false"})
+    around = spark.createDataFrame([(0, '{"other":{"a":[1,{"b":"}"}]},"elementList":['), (2, '{"propertyCode":"fin"}],"end":[]}')], "part int, value string")
+    around = around.select("part", F.lit("").alias("batch_id"), F.lit(0).cast("long").alias("row_id"), "value")
+    body = nested.select(F.lit(1).alias("part"), "batch_id", F.col("row_id").cast("long").alias("row_id"), F.concat(value, F.lit(",")).alias("value"))
+    body.unionByName(around).coalesce(1).sortWithinPartitions("part", "batch_id", "row_id").select("value").write.text(path)
+    return from_raw(read_documents(spark, path)).select("row_id", "propertyCode", "price", "size", "detailedType_typology", "description")
+
+
 # ---------------------------------------------------------------- projections
 _NUMBER_TEXTS = ["12", " 12 ", "1e2", ".5", "5.", "inf", "nan", "12d", "1_000", "+3", "", "1 2", "-7.25", "0x10"]
 
