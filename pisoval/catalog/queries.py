@@ -649,6 +649,17 @@ def file_hashes(spark, sf_dir):
     return manifest.file_hashes(spark, sf_dir)
 
 
+@register("""SELECT CAST(doc_id % 32 AS VARCHAR) AS grupo, sha256(string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) || chr(10)) AS sha256
+FROM documents GROUP BY 1""")
+def file_hashes_streamed(spark, sf_dir):
+    """Hashes of files that hold all documents, each streamed through a digest in pieces."""
+    folder = f"{checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select((F.col("doc_id") % 32).alias("grupo"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs.repartition(32, "grupo").sortWithinPartitions("grupo", "doc_id").select("grupo", "text").write.partitionBy("grupo").text(folder)
+    hashes = manifest.file_hashes(spark, folder, whole_bytes=0)
+    return hashes.select(F.regexp_extract("nombre", "grupo=([^/]+)/", 1).alias("grupo"), "sha256")
+
+
 # ---------------------------------------------------------------- stream
 def _streamed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Results and errors of listings arriving as JSON lines, one file a batch, taken three files at a time; an attempt that broke off lies beside."""

@@ -10,14 +10,58 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
-def file_hashes(spark: SparkSession, folder: str) -> DataFrame:
+#: Files up to this many bytes are hashed as one row; longer ones stream through a digest in pieces.
+WHOLE_BYTES = 64 << 20
+# Endings by which the text reader unpacks a file; such files are hashed as one row.
+PACKED = r"\.(gz|bz2|zst|lz4|snappy|deflate)$"
+_MARK = b"\xef\xbb\xbf"
+
+
+def file_hashes(spark: SparkSession, folder: str, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
     """(nombre, sha256) of every file below a folder; names are paths from the folder on.
 
-    Each file is read whole into a row, so this serves packages, whose files stay far below 2 GB.
+    Files are listed first, without their content. Short ones are a row each; long ones are read in pieces that end with a line feed and
+    stream through a digest in order, so a task holds pieces of a file, never the file. Packed files (by their ending)
+    must stay below 2 GB. Spark's readers list no file without a byte.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    short = (F.col("length") <= max(whole_bytes, len(_MARK))) | F.col("path").rlike(PACKED)
+    hashes = listed.filter(short).select("path", F.sha2("content", 256).alias("sha256"))
+    if not listed.filter(~short).select("path").isEmpty():
+        hashes = hashes.unionByName(_streamed_hashes(spark, folder, max(whole_bytes, len(_MARK))))
     inside = re.escape(re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/", folder).rstrip("/"))
-    return files.select(F.regexp_replace("path", f"^.*?{inside}/+", "").alias("nombre"), F.sha2("content", 256).alias("sha256"))
+    # The file path of the text reader is encoded as in a URL, that of the binary reader is not.
+    return hashes.select(F.regexp_replace("path", f"^.*?{inside}/+", "").alias("nombre"), "sha256")
+
+
+def _streamed_hashes(spark: SparkSession, folder: str, longer_than: int) -> DataFrame:
+    """(path, sha256) of the files longer than so many bytes."""
+    texts = spark.read.option("recursiveFileLookup", True).text(folder, lineSep="\n")
+    meta = "_metadata.file_path", "_metadata.file_size", "_metadata.file_block_start"
+    pieces = texts.filter((F.col(meta[1]) > longer_than) & ~F.col(meta[0]).rlike(PACKED)).select(
+        F.expr("url_decode(replace(_metadata.file_path, '+', '%2B'))").alias("path"), F.col(meta[1]).alias("size"), F.col(meta[2]).alias("split"),
+        F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("piece"))
+    ordered = pieces.repartition("path").sortWithinPartitions("path", "split", "at")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()))
+        for (path, size), own in groupby(rows, key=lambda r: r[:2]):
+            # The reader leaves out a byte order mark and doesn't tell whether a line feed ends the file; the size tells both.
+            plain, marked, held, read = hashlib.sha256(), hashlib.sha256(_MARK), None, 0
+            for _, _, piece in own:
+                if held is not None:
+                    for digest in (plain, marked):
+                        digest.update(held + b"\n")
+                held = piece
+                read += len(piece) + 1
+            spare = read - size
+            if spare not in (0, 1, -3, -2):
+                raise ValueError(f"{path}: read {read} bytes of {size}")
+            digest = plain if spare >= 0 else marked
+            digest.update(held + (b"\n" if spare in (0, -3) else b""))
+            yield pa.record_batch([pa.array([path]), pa.array([digest.hexdigest()])], ["path", "sha256"])
+
+    return ordered.select("path", "size", "piece").mapInArrow(run, "path string, sha256 string")
 
 
 def check_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:

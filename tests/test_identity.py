@@ -80,6 +80,26 @@ def test_file_names_hold_their_folder(spark, tmp_path):
     assert {r["g"]: r["paquete_sha256"] for r in manifest_fingerprint(entries, "g").collect()} == {k: hashlib.sha256(v.encode()).hexdigest() for k, v in want.items()}
 
 
+def test_long_files_stream_through_a_digest(spark, tmp_path):
+    import gzip
+    import hashlib
+    import random
+    r = random.Random(3)
+    mark = b"\xef\xbb\xbf"
+    contents = {"bytes": r.randbytes(200_000), "lines": b"a\n" * 5000 + b"\n", "open end": b"a\r\nb\xff\n\nc", "m+%1": mark + b"x\ny", "m2": mark + b"x\n", "m3": mark,
+                "empty": b"", "feed": b"\n", "one": b"z", "p.gz": gzip.compress(b"a\nb" * 99)}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    want = {n: hashlib.sha256(c).hexdigest() for n, c in contents.items() if c}  # readers list no empty file
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        for bound in (0, 5000, 1 << 30):
+            assert {r["nombre"]: r["sha256"] for r in file_hashes(spark, str(tmp_path), bound).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_packed_forest_walks_like_nodes(spark):
     """Trees of unlike depth, gaps between node numbers, a lone leaf; missing values; passes of few nodes."""
     rows = [(0, 0, "a", 1.0, 7, 900, True, None), (0, 7, None, None, None, None, None, 0.25), (0, 900, "b", 2.0, 901, 950, False, None),
