@@ -8,6 +8,7 @@ shingles of templates of their length; this leaves out nothing.
 """
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
@@ -20,19 +21,35 @@ from .words import mix, pieces, shingles, word_hashes
 
 WORDS, BANDS, CONTAINMENT = 2, 24, 0.8
 MARKS = b".,;:!?()[]\"'"
-#: Short notices of public licenses.
+#: Notices and opening sentences of public licenses.
 TEMPLATES = {
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "All rights reserved": "All rights reserved.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
+    "Apache-2.0 (body)": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    "Apache-2.0 (notice)": "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "BSD-3-Clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "BSL-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "GPL-2.0 (body)": "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software",
+    "GPL-2.0 (notice)": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-3.0 (body)": "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+    "GPL-3.0 (notice)": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "LGPL-2.1 (notice)": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
     "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "MIT": "Released under the MIT License.",
     "MIT (full)": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+    "MIT (license)": "Licensed under the MIT License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
 }
 _SEEDS = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 
@@ -41,6 +58,33 @@ def _signature(values: np.ndarray) -> np.ndarray:
     return mix(values[None, :] ^ _SEEDS[:, None]).min(1)
 
 
+def passages(values: np.ndarray, template: np.ndarray, wide: int) -> list[tuple[int, int, float]]:
+    """(first, behind the last, containment) of a template's passages in a run of windows that verified; none overlap.
+
+    A run of at most `wide` shingles that holds enough of the template scores one for each distinct shingle of it and loses one for
+    each other or repeated place. Of all runs the best ones count, the earlier if tied, so back-to-back notices stay apart.
+    """
+    on = np.isin(values, template)
+    _, same = np.unique(values, return_inverse=True)
+    before = np.full(len(values), -1)
+    order = np.argsort(same, kind="stable")
+    again = same[order][1:] == same[order][:-1]
+    before[order[1:][again]] = order[:-1][again]
+    runs = []
+    for i in np.flatnonzero(on):
+        held = np.cumsum(on[i:i + wide] & (before[i:i + wide] < i))
+        score = np.where(held >= CONTAINMENT * len(template) - 1e-9, 2 * held - np.arange(1, len(held) + 1), -wide)
+        j = int(score.argmax())
+        if score[j] > -wide:
+            runs.append((-int(score[j]), int(i), int(i) + j + 1, int(held[j]) / len(template)))
+    best: list[tuple[int, int, float]] = []
+    for _, a, b, share in sorted(runs):
+        at = bisect_left(best, (a, b))
+        if (at == 0 or best[at - 1][1] <= a) and (at == len(best) or b <= best[at][0]):
+            best.insert(at, (a, b, share))
+    return best
+
+
 @dataclass(frozen=True)
 class Template:
     name: str
@@ -85,8 +129,8 @@ class Library:
         return np.unique(np.concatenate([text[self._runs(n, values, places, text)[0]] for n in self.by_length])) if len(places) else places
 
     def scan(self, values: np.ndarray) -> list[tuple[str, int, int, float]]:
-        """(template, first shingle, behind the last, containment) of every match in one text's shingles; matches of a template
-        that overlap are one, with the best containment; where passages of two templates overlap, only the better one counts."""
+        """(template, first shingle, behind the last, containment) of every passage in one text's shingles; where passages of two
+        templates overlap, only the better one counts."""
         places = np.arange(len(values))
         found = []
         for n, templates in self.by_length.items():
@@ -95,26 +139,29 @@ class Library:
             if not runs:
                 continue
             starts = np.unique(np.concatenate([np.arange(max(0, -(-(b - wide + 1) // stride)), a // stride + 1) for a, b in runs])) * stride
-            spans: dict[str, list] = defaultdict(list)
+            verified: dict[str, list] = defaultdict(list)
             for s in starts:
                 window = values[s:s + wide]
                 signature = _signature(window)
                 hit = {t.name: t for b in range(BANDS) for t in self.bands[n][b].get(signature[b], ())}
                 for t in hit.values():
-                    there = np.isin(window, t.values)
-                    share = len(np.unique(window[there])) / len(t.values)
-                    if share >= CONTAINMENT:
-                        on = np.flatnonzero(there)
-                        spans[t.name].append((int(s + on[0]), int(s + on[-1]) + 1, share))
-            for name, own in spans.items():
-                merged = []
-                for a, b, share in sorted(own):
-                    if merged and a < merged[-1][1]:
-                        merged[-1] = (merged[-1][0], max(b, merged[-1][1]), max(share, merged[-1][2]))
-                    else:
-                        merged.append((a, b, share))
-                found += [(name, *m) for m in merged]
-        return sorted(m for m in found if not any(o[3] > m[3] and o[1] < m[2] and m[1] < o[2] for o in found))
+                    if len(np.unique(window[np.isin(window, t.values)])) / len(t.values) >= CONTAINMENT:
+                        regions = verified[t.name]
+                        if regions and s <= regions[-1][1]:
+                            regions[-1] = (regions[-1][0], int(s) + wide)
+                        else:
+                            regions.append((int(s), int(s) + wide))
+            for t in templates:
+                for a, b in verified.get(t.name, ()):
+                    found += [(t.name, a + i, a + j, share) for i, j, share in passages(values[a:b], t.values, wide)]
+        found.sort(key=lambda m: m[1])
+        starts, longest = [m[1] for m in found], max((m[2] - m[1] for m in found), default=0)
+
+        def outdone(m: tuple[str, int, int, float]) -> bool:
+            near = found[bisect_left(starts, m[1] - longest):bisect_left(starts, m[2])]
+            return any(o[3] > m[3] and o[1] < m[2] and m[1] < o[2] for o in near)
+
+        return sorted(m for m in found if not outdone(m))
 
 
 def scan_licenses(df: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,8 +6,11 @@ query probes, in each substring, the values within floor(radius / substrings) fl
 every code within the radius. Codes found are checked for the whole radius, and the inner products of the original vectors, in
 double precision, rank what is left. Shards find their own nearest; one more step merges them.
 
-Results don't depend on how rows fall into shards, for each shard returns all codes within the radius. A query that finds fewer
-than k in a shard widens its radius there until it has k or has seen the whole shard.
+Codes know directions only, so a shard keeps an index for each band of lengths, each reaching down to half its longest vector. A query
+goes from the longest band to the shortest. What it has found bounds the cosine by which a band's vectors could still be among
+the nearest: no band is searched that would need more than 1, and a band is searched again by the radius that this cosine asks for
+where the common radius was smaller. A query that finds fewer than k in a shard widens its radius there until it has k or has
+seen the whole shard.
 """
 from __future__ import annotations
 
@@ -25,6 +28,8 @@ from .vectors import checked, matrix
 SAMPLE, SUBSTRING, SHARD, BLOCK = 20_000, 8, 8192, 4096
 #: Share of a code's bits that the radius spans. Vectors at cosine 0.3 differ in about 40 of 100 bits.
 RADIUS = 0.47
+#: Deviations of a code's distance beyond its mean that a radius made for a cosine allows.
+DEVIATIONS = 1.3
 
 
 def learn_rotation(x: np.ndarray, rounds: int = 30) -> np.ndarray:
@@ -62,8 +67,8 @@ class Index:
         """Every row whose code differs in at most `radius` bits."""
         seen = np.zeros(len(self.ids), bool)
         masks = _flips(radius // len(self.order))
-        if len(masks) == 1 << SUBSTRING:
-            seen[:] = True
+        if len(masks) == 1 << SUBSTRING or len(seen) <= len(masks):
+            seen[:] = True  # as many probes as values, or as rows
         else:
             for c, order, first in zip(code, self.order, self.first):
                 probe = masks ^ c
@@ -72,17 +77,56 @@ class Index:
         rows = np.flatnonzero(seen)
         return rows[np.bitwise_count(self.codes[rows] ^ code).sum(1, dtype=np.int64) <= radius]
 
+
+class Shard:
+    """Indexes of a shard's bands of lengths, the longest first."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, rotation: np.ndarray):
+        lengths = np.linalg.norm(x, axis=1)
+        band = np.frexp(lengths.max() / lengths)[1] if len(x) else np.empty(0, int)
+        # Equal lengths that differ by rounding are one band: quotients from 1 to below 2 have the same exponent.
+        rows = [np.flatnonzero(band == b) for b in np.unique(band)]
+        self.bands = [(float(lengths[r].max()), Index(ids[r], x[r], rotation)) for r in rows]
+        self.bits = rotation.shape[1] // SUBSTRING * SUBSTRING + (SUBSTRING if rotation.shape[1] % SUBSTRING else 0)
+
     def search(self, q: np.ndarray, own: int, code: np.ndarray, k: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        bits = len(self.order) * SUBSTRING
-        while True:
-            rows = self.within(code, radius)
-            rows = rows[self.ids[rows] != own]
-            if len(rows) >= k or radius >= bits:
-                break
-            radius = min(bits, radius + max(1, bits // 16))
-        scores = self.x[rows] @ q
-        best = np.lexsort((self.ids[rows], -scores))[:k]
-        return self.ids[rows[best]], scores[best]
+        size = float(np.linalg.norm(q))
+        best = (np.empty(0, np.int64), np.empty(0))
+        done = [-1] * len(self.bands)
+        held: list[tuple[np.ndarray, np.ndarray]] = [best] * len(self.bands)
+
+        def look(at: int, within: int) -> None:
+            nonlocal best
+            index = self.bands[at][1]
+            rows = index.within(code, within)
+            rows = rows[index.ids[rows] != own]
+            held[at], done[at] = (index.ids[rows], index.x[rows] @ q), within
+            ids, scores = (np.concatenate(c) for c in zip(*held))
+            first = np.lexsort((ids, -scores))[:k]
+            best = ids[first], scores[first]
+
+        def needed(at: int) -> int:
+            """The radius for what may still be among the nearest; below 0 if nothing may."""
+            if len(best[0]) < k:
+                return radius
+            cosine = best[1][-1] / (size * self.bands[at][0])
+            if cosine > 1 + 1e-9:
+                return -1
+            share = np.arccos(np.clip(cosine, -1, 1)) / np.pi
+            return min(self.bits, int(self.bits * share + DEVIATIONS * np.sqrt(self.bits * share * (1 - share))))
+
+        for at in range(len(self.bands)):
+            if needed(at) >= 0:
+                look(at, radius)
+        for at in range(len(self.bands)):
+            if needed(at) > done[at]:
+                look(at, needed(at))
+        while len(best[0]) < k and radius < self.bits:
+            radius = min(self.bits, radius + max(1, self.bits // 16))
+            for at in range(len(self.bands)):
+                if radius > done[at]:
+                    look(at, radius)
+        return best
 
 
 def nearest(df: DataFrame, queries, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", radius: float = RADIUS) -> DataFrame:
@@ -111,7 +155,7 @@ def nearest(df: DataFrame, queries, k: int = 20, id_col: str = "vec_id", vector_
         out = []
         if len(mine) and len(theirs):
             mine = mine.sort_values("id")
-            index = Index(mine["id"].to_numpy(), matrix(mine["vec"]), rotation)
+            index = Shard(mine["id"].to_numpy(), matrix(mine["vec"]), rotation)
             q = matrix(theirs["vec"])
             for own, x, code in zip(theirs["id"].to_numpy(), q, codes(q, rotation)):
                 ids, scores = index.search(x, own, code, k, reach)

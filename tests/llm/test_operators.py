@@ -271,6 +271,21 @@ def test_nearest_recall_and_order(spark):
     assert set(out.query_id) == set(range(0, 900, 20)) and hit / (45 * 20) >= 0.9
 
 
+@pytest.mark.parametrize("spread", [0.0, 0.4, 0.7, 1.0])
+def test_nearest_recall_for_varied_lengths(spark, spread):
+    g = np.random.default_rng(11)
+    x = g.standard_normal((6000, 64))
+    x *= np.exp(spread * g.standard_normal(len(x)))[:, None] / np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = nearest(df, F.col("id") % 40 == 0).toPandas().groupby("query_id").id.agg(set)
+    hits = 0
+    for q in range(0, len(x), 40):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert len(got) == 150 and hits >= 0.9 * 20 * 150
+
+
 def test_nearest_few_and_ties(spark):
     df = spark.createDataFrame([(i, [1.0, 2.0]) for i in (20, 3, 1, 7)] + [(40, [1.0, 0.0]), (3, [1.0, 2.0])], "vec_id long, embedding array<float>")
     out = nearest(df, "id % 20 = 0").orderBy("query_id", "rank").toPandas()
@@ -471,6 +486,43 @@ def test_bands_find_what_all_windows_hold():
         assert name in {m[0] for m in library.scan(values)} and len(library.candidates(values, np.zeros(len(values), int))) == 1
 
 
+def test_adjacent_notices_are_counted(spark):
+    mit, gpl = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["GPL-3.0 (notice)"]
+    altered = gpl.replace("redistribute", "share").replace("published", "issued")
+    rows = [(1, mit + " " + mit, "s"), (2, mit * 3 + licenses.TEMPLATES["MIT (license)"], "s"), (3, prose(40, 1) + gpl + " " + altered + prose(40, 2), "s"),
+            (4, mit + " " + gpl + " " + mit, "s"), (5, (mit + " ") * 3000, "s")]
+    out = licenses.scan_licenses(documents(spark, rows)).toPandas()
+    assert sorted(zip(out.id, out.license, out.matches)) == [
+        (1, "MIT", 2), (2, "MIT", 3), (2, "MIT (license)", 1), (3, "GPL-3.0 (notice)", 2), (4, "GPL-3.0 (notice)", 1), (4, "MIT", 2), (5, "MIT", 3000)]
+
+
+def test_passages_equal_brute_force_over_all_windows():
+    library = licenses.Library(licenses.TEMPLATES)
+    templates = {t.name: t for ts in library.by_length.values() for t in ts}
+    for seed in range(30):
+        r = random.Random(seed)
+        words = r.choices(WORDS, k=40)
+        for _ in range(r.randrange(1, 5)):
+            own = licenses.TEMPLATES[r.choice(sorted(templates))].lower().split()
+            own = [w for w in own if r.random() > r.choice([0, 0.05, 0.15])]
+            at = r.randrange(len(words))
+            words[at:at] = own
+        values, _ = shingles(*word_hashes(pa.array([" ".join(words)]), licenses.MARKS), licenses.WORDS)
+        found = library.scan(values)
+        for name, a, b, share in found:
+            assert share >= licenses.CONTAINMENT and share == len(np.intersect1d(values[a:b], templates[name].values)) / len(templates[name].values)
+        for name in {m[0] for m in found}:
+            own = sorted(m[1:3] for m in found if m[0] == name)
+            assert all(x[1] <= y[0] for x, y in zip(own, own[1:]))
+        for t in templates.values():
+            n = len(t.values)
+            for i in range(len(values)):
+                share = len(np.intersect1d(values[i:i + n], t.values)) / n
+                if share >= licenses.CONTAINMENT:  # told, or a better passage of this or another template lies across it
+                    score = lambda m: 2 * m[3] * len(templates[m[0]].values) - (m[2] - m[1])
+                    assert any(m[1] < i + n and i < m[2] and (m[3] >= share or m[0] == t.name and score(m) >= 2 * share * n - n) for m in found), (seed, t.name, share)
+
+
 # 10 SentencePiece
 
 @pytest.fixture(scope="module")
