@@ -16,6 +16,8 @@ from ..session import cut_lineage
 
 #: Most takes of a document, weights in turn, permutations tried for the last block, hex digits of a cell.
 MOST, WEIGHTS, TRIES, DIGITS = 3, 3, 16, 3
+#: Largest plan that is broadcast, and what one of its rows takes at the most beside its source's name.
+PLAN_BYTES, ROW_BYTES = 64 << 20, 320
 
 
 def word_count(text: Column) -> Column:
@@ -136,23 +138,43 @@ def plan_mix(documents: DataFrame, shards: int) -> DataFrame:
                        .select("k", "cell", "source_size", "target", "takes", "cut_try", "cut_at"))
 
 
-def mix_documents(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", shards: int = 16) -> DataFrame:
+def _keyed(id_col: str, source_col: str, text_col: str) -> list[Column]:
+    text = F.col(f"`{text_col}`")
+    return [_key(F.col(f"`{source_col}`")).alias("k"), _digest(F.col(f"`{id_col}`"), text).alias("d"), word_count(text).alias("size")]
+
+
+def _taken(rows: DataFrame, plan: DataFrame, max_bytes: int = PLAN_BYTES) -> DataFrame:
+    """rows (k, d, ...) with source_size, target and takes. The plan is broadcast where its measured size allows; else rows shuffle."""
+    held = plan.agg(F.sum(F.octet_length("k") + ROW_BYTES)).first()[0] or 0
+    met = rows.withColumn("cell", _cell(F.col("d"))).join(F.broadcast(plan) if held <= max_bytes else plan.hint("shuffle_merge"), ["k", "cell"])
+    inside = F.md5(F.concat_ws("|", "d", "cut_try")) <= F.col("cut_at")
+    takes = F.filter("takes", lambda x: ~x["part"] | F.coalesce(inside, F.lit(False)))
+    takes = F.transform(takes, lambda x: F.struct(x["pass"].alias("pass"), x["shard"].alias("shard")))
+    return met.withColumn("takes", takes).drop("cell", "cut_try", "cut_at")
+
+
+def mix_sizes(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", shards: int = 16,
+              max_bytes: int = PLAN_BYTES) -> DataFrame:
+    """(id, size, source_size, target, takes), one row for each of df, by the same mix as `mix_documents`; texts are read once and
+    go into no shuffle."""
+    narrow = cut_lineage(df.select(F.col(f"`{id_col}`").alias("id"), *_keyed(id_col, source_col, text_col)))
+    return _taken(narrow, plan_mix(narrow.drop("id"), shards), max_bytes).select("id", "size", "source_size", "target", "takes")
+
+
+def mix_documents(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", shards: int = 16,
+                  max_bytes: int = PLAN_BYTES) -> DataFrame:
     """df's rows in one struct `row`, with size, source_size, target and takes: array<struct<pass, shard>>, one entry each time
     the mix takes the document, null or empty if it doesn't.
 
     Sources in code-point order, null last, weigh 1, 2, 3, 1, ...; all together take as many words as there are. A target above
     3 times its source's words stops there, and the others share the excess by weight. Taken words differ from the target by
     less than the smallest step that 16 orders of one block's documents allow. Null texts have size 0 and are never more than
-    company; equal rows are taken alike, so the result doesn't depend on the order of rows; other columns ride along.
+    company; equal rows are taken alike, so the result doesn't depend on the order of rows; other columns ride along. Rows stay
+    where they are unless the plan of sources and cells measures more than max_bytes.
     """
-    row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), _key(F.col(f"`{source_col}`")).alias("k"),
-                    _digest(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("d"), word_count(F.col(f"`{text_col}`")).alias("size"))
+    row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *_keyed(id_col, source_col, text_col))
     narrow = cut_lineage(row.select("k", "d", "size"))
-    plan = plan_mix(narrow, shards)
-    taken = row.withColumn("cell", _cell(F.col("d"))).join(plan, ["k", "cell"])
-    inside = F.md5(F.concat_ws("|", "d", "cut_try")) <= F.col("cut_at")
-    takes = F.filter("takes", lambda x: ~x["part"] | F.coalesce(inside, F.lit(False)))
-    return taken.select("row", "size", "source_size", "target", F.transform(takes, lambda x: F.struct(x["pass"].alias("pass"), x["shard"].alias("shard"))).alias("takes"), "d")
+    return _taken(row, plan_mix(narrow, shards), max_bytes).select("row", "size", "source_size", "target", "takes", "d")
 
 
 def mixed_rows(df: DataFrame, shards: int = 16, **columns: str) -> DataFrame:

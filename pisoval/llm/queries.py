@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import chat, conversation_trie, html_text, licenses, quality, sentence_pieces, toxicity, vector_codes
-from .mixing import mix_documents
+from .mixing import mix_sizes
 from .near_text import near_duplicates
 from .near_vectors import near_vectors
 from .neighbours import nearest
@@ -82,10 +82,9 @@ def op7_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the words that the mix takes of it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    mixed = mix_documents(docs)
+    mixed = mix_sizes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     times = F.coalesce(F.size("takes"), F.lit(0))
-    return mixed.select("row.doc_id", "size", "source_size", "target", F.when(F.col("takes").isNull(), 0).otherwise(F.col("size") * times).cast("long").alias("taken"))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", F.when(F.col("takes").isNull(), 0).otherwise(F.col("size") * times).cast("long").alias("taken"))
 
 
 @_query

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pisoval.llm import chat, html_text, licenses, sentence_pieces as sp, toxicity
 from pisoval.llm.graph import components
-from pisoval.llm.mixing import mix_documents, mixed_rows, split_quotas
+from pisoval.llm.mixing import mix_documents, mix_sizes, mixed_rows, split_quotas
 from pisoval.llm.near_text import _cross, near_duplicates, signatures
 from pisoval.llm.near_vectors import near_vectors
 from pisoval.llm.neighbours import nearest
@@ -460,6 +460,20 @@ def test_mix_plan_runs_no_python(spark):
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
 
 
+def test_mix_is_the_same_with_a_broadcast_or_shuffled_plan(spark):
+    rows = [(i, prose(i % 40, i), "abc"[i % 7 % 3]) for i in range(400)] + [(5, prose(5, 5), "c"), (None, None, None), (None, "", None)]
+    df = documents(spark, rows).withColumn("k", F.lit("own")).withColumn("takes", F.lit(7))
+    key = lambda f: sorted((str(i), n, s, t, str(x)) for i, n, s, t, x in f.collect())
+    sizes = key(mix_sizes(df))
+    assert len(sizes) == len(rows)
+    for most in (0, 1 << 20):
+        whole = mix_documents(df, max_bytes=most)
+        assert key(mix_sizes(df, max_bytes=most)) == sizes == key(whole.select("row.doc_id", "size", "source_size", "target", "takes"))
+        plan = whole._jdf.queryExecution().executedPlan().toString()
+        assert ("SortMergeJoin" in plan) == (most == 0) and ("BroadcastHashJoin" in plan) == (most > 0)
+    assert mix_sizes(df.limit(0)).count() == 0
+
+
 # 9 Licenses
 
 def test_licenses_planted(spark):
