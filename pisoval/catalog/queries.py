@@ -5,7 +5,7 @@ import uuid
 from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..fixed_values import AMENITY_RULES, AREA_FEATURES, MODEL_FEATURES, NATIVE_COLUMNS
 from ..functions.amenities import (DEFAULT_RULES, amenity_flags, amenity_matches, extract_amenities,
@@ -16,7 +16,7 @@ from ..functions.text import normalize_text
 from ..operators import coverage, manifest, profile
 from ..operators.areas import assign_area, index_areas
 from ..operators.duplicates import mark_duplicates
-from ..operators.lookup import look_up
+from ..operators.lookup import look_up, measure
 from ..operators.poi import index_pois, nearest_poi
 from ..operators.reconcile import compare_results, reconcile
 from ..operators.trees import TreeModel, score_trees, tree_check
@@ -27,12 +27,12 @@ from ..plans.native import value_features, value_native, with_reasons
 from ..session import checkpoint_dir
 from ..sources import driver_tables as d
 from ..sources.documents import read_documents
-from ..sources.listings import (FIELDS, column_name, flatten, from_raw, parse_values, unwrap_envelopes,
-                                with_expected_columns)
+from ..sources.listings import (FIELDS, canonical, column_name, flatten, from_raw, numbered, parse_values,
+                                unwrap_envelopes, with_expected_columns)
 from ..sources.packages import load_package, package_manifest, write_package
 from ..sources.polygons import polygon_edges, polygon_shapes
 from ..sources.reference import References
-from ..sources.sinks import json_rows
+from ..sources.sinks import CSV, json_rows, write_native, write_report
 from ..streaming.valuation import read_stream_output, value_stream
 from . import oracle as o
 
@@ -97,6 +97,58 @@ def read_envelope(spark, sf_dir):
                        "propertyCode", "operation")
 
 
+@register("""WITH k AS (SELECT o_orderkey AS row_id, o_orderkey % 7 AS kind FROM orders)
+SELECT row_id, pos, CASE WHEN kind = 6 OR pos = 2 THEN 'L' || row_id END AS propertyCode
+FROM (SELECT row_id, kind, unnest(CASE WHEN kind = 4 THEN [0, 1, 2] ELSE [0] END) AS pos FROM k)""")
+def read_malformed(spark, sf_dir):
+    """Documents of every shape that is no listing, each kept as a row: a key without an array, bare values, broken text."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("row_id"))
+    listing = F.concat(F.lit('{"propertyCode":"L'), F.col("row_id").cast("string"), F.lit('"}'))
+    kind = F.col("row_id") % 7
+    doc = (F.when(kind == 0, F.concat(F.lit('{"anuncios":'), listing, F.lit("}")))
+           .when(kind == 1, F.concat(F.lit('"'), F.col("row_id").cast("string"), F.lit('"'))).when(kind == 2, F.col("row_id").cast("string"))
+           .when(kind == 3, "null").when(kind == 4, F.concat(F.lit("[1,null,"), listing, F.lit("]"))).when(kind == 5, F.concat(F.lit("{"), listing))
+           .otherwise(F.concat(F.lit('{"anuncios":3,"elementList":['), listing, F.lit("]}"))))
+    return from_raw(unwrap_envelopes(parse_values(orders.withColumn("value", doc)).drop("value"))).select("row_id", "pos", "propertyCode")
+
+
+_TYPED = [column_name(f) for f in FIELDS]
+
+
+@register(f"WITH {o.LISTINGS} SELECT forma, row_id, {', '.join(_TYPED)} FROM listings, (SELECT unnest(['anidada', 'punteada', 'plana']) AS forma)")
+def accept_frames(spark, sf_dir):
+    """Nested, dotted and flat frames become the same typed listings."""
+    nested = d.nested_listings(spark, sf_dir)
+    frames = {"anidada": nested, "punteada": flatten(nested), "plana": d.listings(spark, sf_dir)}
+    one, two, three = (canonical(f).select(F.lit(n).alias("forma"), "row_id", *_TYPED) for n, f in frames.items())
+    return one.unionByName(two).unionByName(three)
+
+
+_WRITTEN = {"row_id": "long", "propertyCode": "string", "operation": "string", "price": "double", "size": "double", "description": "string"}
+
+
+def _with_places(rows: DataFrame) -> DataFrame:
+    """Each row's place in files as they are named; the table of files is small beside the rows."""
+    lines = numbered(rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split")))
+    sizes = lines.groupBy("file").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return look_up(lines, measure(sizes.select("file", before.alias("antes")), ["file"])).withColumn("lugar", F.col("line") + F.col("antes"))
+
+
+@register(f"""WITH {o.LISTINGS} SELECT forma, row_number() OVER (PARTITION BY forma ORDER BY row_id) - 1 AS lugar, row_id, propertyCode, operation, price, size, description
+FROM listings, (SELECT unnest(['parquet', 'csv']) AS forma)""")
+def written_in_order(spark, sf_dir):
+    """Rows written in input order, as Parquet and as CSV with a header, and read back with their places."""
+    base, rows = f"{checkpoint_dir(spark)}/written-{uuid.uuid4().hex}", d.listings(spark, sf_dir).select("row_id", *[c for c in _WRITTEN if c != "row_id"])
+    rows = rows.withColumn("orden", F.col("row_id"))
+    write_native(rows, f"{base}/rows.parquet", "orden")
+    write_native(rows, f"{base}/rows", "orden")
+    schema = ", ".join(f"{c} {t}" for c, t in _WRITTEN.items())
+    read = {"parquet": spark.read.schema(schema).parquet(f"{base}/rows.parquet"), "csv": spark.read.schema(schema).options(**CSV, multiLine=True).csv(f"{base}/rows")}
+    one, two = (_with_places(df).select(F.lit(n).alias("forma"), "lugar", F.col("row_id").cast(rows.schema["row_id"].dataType).alias("row_id"), *list(_WRITTEN)[1:]) for n, df in read.items())
+    return one.unionByName(two)
+
+
 @register(f"WITH {o.LISTINGS} SELECT row_id, {', '.join(column_name(f) for f in FIELDS)} FROM listings")
 def flatten_listings(spark, sf_dir):
     """Nested objects flattened to dotted columns (shown with underscores)."""
@@ -399,6 +451,18 @@ def native_valuation(spark, sf_dir):
     return rounded(_native(spark, sf_dir), "row_id", *NATIVE_COLUMNS)
 
 
+@register(f"{o.NATIVE} SELECT row_id, valido, {o.rounded(MODEL_FEATURES, 'x_')} FROM valued")
+def value_with_features(spark, sf_dir):
+    """The valuation with its features beside it."""
+    out = _native(spark, sf_dir, include_features=True)
+    x = [F.round(f"x_{c}", 6).alias(f"x_{c}") if c in o.DOUBLES else F.col(f"x_{c}") for c in MODEL_FEATURES]
+    return out.select("row_id", "valido", *x)
+
+
+@register(f"{o.NATIVE} SELECT row_id, barrio_code, distrito_code, barrio_code IS NULL AS sin_barrio FROM lifted")
+def unassigned_marks(spark, sf_dir):
+    """Listings that no area takes."""
+    return build_features(d.listings(spark, sf_dir), references(spark, sf_dir)).select("row_id", "barrio_code", "distrito_code", "sin_barrio")
 
 
 @register(f"""{o.NATIVE} SELECT distrito_code, operation, count(*) AS anuncios, count(*) FILTER (WHERE valido) AS validos,
@@ -599,6 +663,14 @@ def reconciliation(spark, sf_dir):
     return reconcile(left, right, "propertyCode", _COMPARED).withColumn("diferencia_maxima", F.round("diferencia_maxima", 6))
 
 
+@register(ORACLES["reconcile"])
+def reconcile_report(spark, sf_dir):
+    """The reconciliation report written as JSON and read back."""
+    report, path = reconciliation(spark, sf_dir), f"{checkpoint_dir(spark)}/report-{uuid.uuid4().hex}"
+    write_report(report, path)
+    return spark.read.schema(report.schema).json(path)
+
+
 @register(f"WITH {o.coverage_sql()} SELECT row_id, propertyCode, valido, motivo_no_valido, barrio_code, barrio_rescatado FROM valued")
 def coverage_set(spark, sf_dir):
     """One listing inside every polygon and the edge cases, valued natively."""

@@ -13,13 +13,18 @@ def json_rows(df: DataFrame, output: str = "fila") -> DataFrame:
     return df.select(F.to_json(F.struct(*plain), {"ignoreNullFields": "false"}).alias(output))
 
 
+#: Quotes doubled, as spreadsheets and data frames write them; spaces at the ends of a value are its own.
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_native(df: DataFrame, path: str, row_order: str | None = None) -> None:
-    """Parquet when the path says so, else CSV with a header; optionally in input order."""
+    """Parquet when the path says so, else CSV with a header; optionally in input order. CSV is read back with `CSV` and `multiLine`; an
+    empty text then comes back as NULL."""
     ordered = df.orderBy(row_order).drop(row_order) if row_order else df
     if path.rstrip("/").endswith(".parquet"):
         ordered.write.mode("overwrite").parquet(path)
     else:
-        ordered.write.mode("overwrite").option("header", True).csv(path)
+        ordered.write.mode("overwrite").options(**CSV).csv(path)
 
 
 def write_report(report: DataFrame, path: str) -> None:

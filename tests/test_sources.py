@@ -16,7 +16,7 @@ from pisoval.sources.listings import canonical, flatten, read_listings, read_raw
 from pisoval.sources.packages import load_package, package_manifest, write_package
 from pisoval.sources.polygons import polygon_shapes
 from pisoval.sources.reference import read_metadata, read_references
-from pisoval.sources.sinks import json_rows, write_native, write_report
+from pisoval.sources.sinks import CSV, json_rows, write_native, write_report
 
 
 def test_envelopes_and_lines(spark, tmp_path):
@@ -137,3 +137,11 @@ def con():
 def test_registered_query(spark, con, name):
     result = compare(spark, con, name, SF)
     assert result.startswith(("ok", "rows-only")), result
+
+
+def test_csv_keeps_quotes_breaks_and_spaces(spark, tmp_path):
+    values = ['a "b", c', "first\nsecond", "  at both ends ", "back\\slash", "", None, '"']
+    rows = spark.createDataFrame(list(enumerate(values)), "n int, v string")
+    write_native(rows.withColumn("order", F.col("n")), str(tmp_path / "rows"), "order")
+    back = spark.read.schema("n int, v string").options(**CSV, multiLine=True).csv(str(tmp_path / "rows"))
+    assert [r["v"] for r in back.orderBy("n").collect()] == [v or None for v in values]  # an empty text comes back as NULL
