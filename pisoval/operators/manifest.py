@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 WHOLE_BYTES = 64 << 20
 # Endings by which the text reader unpacks a file; such files are hashed as one row.
 PACKED = r"\.(gz|bz2|zst|lz4|snappy|deflate)$"
+PACKED_NAMES = "*.{gz,bz2,zst,lz4,snappy,deflate}"
 _MARK = b"\xef\xbb\xbf"
 
 
@@ -24,11 +25,22 @@ def file_hashes(spark: SparkSession, folder: str, whole_bytes: int = WHOLE_BYTES
     stream through a digest in order, so a task holds pieces of a file, never the file. Packed files (by their ending)
     must stay below 2 GB. Spark's readers list no file without a byte.
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    short = (F.col("length") <= max(whole_bytes, len(_MARK))) | F.col("path").rlike(PACKED)
-    hashes = listed.filter(short).select("path", F.sha2("content", 256).alias("sha256"))
-    if not listed.filter(~short).select("path").isEmpty():
-        hashes = hashes.unionByName(_streamed_hashes(spark, folder, max(whole_bytes, len(_MARK))))
+    bound = max(whole_bytes, len(_MARK))
+
+    def listed(**options: str) -> DataFrame:
+        return spark.read.format("binaryFile").options(recursiveFileLookup=True, **options).load(folder)
+
+    # A condition on the length alone reaches the reader, which never opens the other files; joined to one on the path by OR, it would
+    # be asked only after each file has been read whole.
+    whole = listed().filter(F.col("length") <= bound)
+    packed = F.col("path").rlike(PACKED)
+    kinds = {r["packed"] for r in listed().filter(F.col("length") > bound).select(packed.alias("packed")).distinct().collect()}
+    hashes = whole.select("path", F.sha2("content", 256).alias("sha256"))
+    if True in kinds:
+        longer = listed(pathGlobFilter=PACKED_NAMES).filter((F.col("length") > bound) & packed)
+        hashes = hashes.unionByName(longer.select("path", F.sha2("content", 256).alias("sha256")))
+    if False in kinds:
+        hashes = hashes.unionByName(_streamed_hashes(spark, folder, bound))
     inside = re.escape(re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/", folder).rstrip("/"))
     # The file path of the text reader is encoded as in a URL, that of the binary reader is not.
     return hashes.select(F.regexp_replace("path", f"^.*?{inside}/+", "").alias("nombre"), "sha256")

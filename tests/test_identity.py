@@ -100,6 +100,23 @@ def test_long_files_stream_through_a_digest(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_long_files_are_never_read_whole(spark, tmp_path):
+    import gzip
+    import hashlib
+    content = {"short": b"abc\n", "long": b"0123456789\n" * 900, "packed.gz": gzip.compress(b"q" * 99, mtime=0)}
+    for name, data in content.items():
+        (tmp_path / name).write_bytes(data)
+    key = "spark.sql.sources.binaryFile.maxLength"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1000")
+    try:
+        for bound in (10, 1000):
+            got = {r["nombre"]: r["sha256"] for r in file_hashes(spark, str(tmp_path), bound).collect()}
+            assert got == {n: hashlib.sha256(data).hexdigest() for n, data in content.items()}
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_packed_forest_walks_like_nodes(spark):
     """Trees of unlike depth, gaps between node numbers, a lone leaf; missing values; passes of few nodes."""
     rows = [(0, 0, "a", 1.0, 7, 900, True, None), (0, 7, None, None, None, None, None, 0.25), (0, 900, "b", 2.0, 901, 950, False, None),
