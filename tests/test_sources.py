@@ -145,3 +145,13 @@ def test_csv_keeps_quotes_breaks_and_spaces(spark, tmp_path):
     write_native(rows.withColumn("order", F.col("n")), str(tmp_path / "rows"), "order")
     back = spark.read.schema("n int, v string").options(**CSV, multiLine=True).csv(str(tmp_path / "rows"))
     assert [r["v"] for r in back.orderBy("n").collect()] == [v or None for v in values]  # an empty text comes back as NULL
+
+
+def test_listings_make_as_many_even_tasks_as_their_rows_need(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from pisoval import session
+    from pisoval.sources import driver_tables
+    monkeypatch.setattr(session, "TASK_ROWS", 50)
+    dealt = driver_tables.listings(spark, "/root/testdata/sf0.001").groupBy(F.spark_partition_id().alias("p")).count()
+    sizes = [r["count"] for r in dealt.collect()]
+    assert sum(sizes) == 1500 and len(sizes) >= 25 and max(sizes) < 100
