@@ -99,3 +99,14 @@ def test_only_committed_epochs_are_read(spark, refs, tmp_path):
     assert read_stream_output(spark, out, refs)[0].count() == 9
     assert drop_uncommitted(spark, out) == ["data/epoch=2/attempt=x"]
     assert not broken.exists() and read_stream_output(spark, out, refs)[0].count() == 9
+
+
+def test_leaves_hold_points_in_order_of_places(spark):
+    from pyspark.sql import functions as F
+    from pisoval.operators.poi import index_pois
+    rows = [(n, "City_Center" if n == 0 else "Metro" if n % 2 else "Castellana", (n * 37) % 50 / 100 - 3.7, 40.3 + (n * 13) % 40 / 100) for n in range(60)]
+    pois = spark.createDataFrame(rows, "poi_no long, tipo string, Lon double, Lat double")
+    for most in (5000, 0):
+        near = index_pois(pois, max_points=most).leaves.select(F.transform("near", lambda p: F.struct(p["lat"], p["lon"])).alias("n"))
+        kept = near.select((F.col("n") == F.array_sort("n")).alias("ordered"), F.size("n").alias("n")).collect()
+        assert kept and all(r["ordered"] for r in kept) and max(r["n"] for r in kept) > 1

@@ -113,3 +113,19 @@ def test_works_and_occupation(spark):
 
 def test_default_rules_cover_nine_amenities():
     assert len(DEFAULT_RULES) == 9 and len(DEFAULT_RULES["HASGARDEN"]) == 2
+
+
+def test_windows_begin_with_the_text_or_are_full(spark):
+    from pisoval.functions.text import Windows
+    texts = ["xa", "a", *("b" * n + "xa" for n in (3, 4, 5, 6, 11)), "xa xa" * 4, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = Windows(F.col("t"), "(x)(a)", width=5)
+    for r in df.select("t", found.before.alias("b"), found.match.alias("m"), found.after.alias("e")).collect():
+        at = [m.span() for m in re.finditer("xa", r["t"])]
+        assert (r["b"], r["m"], r["e"]) == ([r["t"][max(0, i - 5):i] for i, _ in at], ["xa"] * len(at), [r["t"][j:j + 5] for _, j in at])
+
+
+def test_single_spaces_stay_and_others_become_one(spark):
+    from pisoval.functions.text import normalize_text
+    df = spark.createDataFrame([("a b  c\t\nd\x1fe \x0b f \r",)], "t string")
+    assert df.select(normalize_text(F.col("t"))).first()[0] == "a b c d e f "
