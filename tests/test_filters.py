@@ -2,6 +2,7 @@
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -131,3 +132,23 @@ def test_corners_and_runs_against_brute_force(spark):
     for more in ({}, {"max_edges": 0}, {"cell_m": 77.0}, {"cell_m": 5000.0}):
         got = {r["row_id"]: r["barrio_code"] for r in assign_area(df, index_areas(edges, **more)).collect()}
         assert got == want, more
+
+
+@pytest.mark.parametrize("copies", [flag_duplicates, mark_duplicates])
+def test_filters_read_the_keys_of_the_rows_once(spark, copies):
+    """What the codes are read from is worked through once for the filters, however often these ask, and once for each part of the outcome."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def code(i):
+        seen.add(1)
+        return None if i % 50 == 7 else f"L{i % 400}"
+
+    rows = spark.range(0, 500, 1, 2).select(F.lit("b").alias("batch_id"), F.col("id").alias("row_id"), code.asNondeterministic()("id").alias("codigo"))
+    out = copies(rows, max_rows=0, listed=0)
+    assert seen.value == 500
+    found = {r["row_id"]: r[-1] for r in out.collect()}
+    codes = {i: None if i % 50 == 7 else f"L{i % 400}" for i in range(500)}
+    counts = Counter(c for c in codes.values() if c)
+    one = (lambda n: n > 1) if copies is flag_duplicates else (lambda n: max(n, 1))
+    assert found == {i: one(counts[c] if c else 0) for i, c in codes.items()}
