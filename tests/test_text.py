@@ -129,3 +129,25 @@ def test_single_spaces_stay_and_others_become_one(spark):
     from pisoval.functions.text import normalize_text
     df = spark.createDataFrame([("a b  c\t\nd\x1fe \x0b f \r",)], "t string")
     assert df.select(normalize_text(F.col("t"))).first()[0] == "a b c d e f "
+
+
+def test_doubts_hold_every_discarded_match(spark):
+    """Texts without a rule's doubts are told by one scan; the answers are those of the window scan."""
+    from dataclasses import replace
+    rnd = random.Random(5)
+    vocabulary = ("terraza terrazas climatizacion splits a/a trastero armario empotrado piscina piscinas portero conserje jardin jardines ajardinada "
+                  "ascensor garaje parking . . , con y sin ni no tiene hay carece de ausencia falta bares comercios comunitaria ocio preinstalacion "
+                  "posibilidad opcional aparte coste a elegir cerca junto al lado la municipal publica antigua automatico real ciudad vistas "
+                  "orientado parques botanico urbanizacion instalar proyecto futuro luminoso amplio piso").split()
+    texts = [" ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(1, 9))) for _ in range(3000)]
+    texts += ["terraza", "x" * 60 + " sin terraza", "sin " + "x" * 60 + " terraza", "cocina terraza", ""]
+    names = list(DEFAULT_RULES)
+    fast = one(spark, texts, F.array(*[is_mentioned(F.col("t"), DEFAULT_RULES[n]) for n in names]))
+    slow = one(spark, texts, F.array(*[is_mentioned(F.col("t"), [replace(r, doubts=None) for r in DEFAULT_RULES[n]]) for n in names]))
+    assert fast == slow
+    assert all({True, False} == {row[i] for row in fast} for i in range(len(names)))
+
+
+def test_normalize_case_and_long_runs(spark):
+    texts = ["ÀB" + " " * n + "Ω²ﬁŒ" + "\t" * n + "Ǆ" for n in range(1, 12)] + ["İİ", "A\x1c \x1fB", "½  ¼ ", "¨  x", "漢 字"]
+    assert one(spark, texts, normalize_text(F.col("t"))) == [folded(t) for t in texts]
