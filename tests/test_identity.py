@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pisoval.operators.manifest import file_hashes, manifest_fingerprint
 from pisoval.operators.reconcile import compare_results, reconcile
-from pisoval.operators.trees import TreeModel, score_trees
+from pisoval.operators.trees import NODE_SCHEMA, TreeModel, score_trees
 from pisoval.sources.listings import from_raw, parse_values, read_raw, unwrap_envelopes
 from test_contract import BASE
 
@@ -138,3 +138,22 @@ def test_packed_forest_walks_like_nodes(spark):
     want = {g: 1.0 + sum(walk(t, dict(zip("ab", g))) for t in (0, 3, 8)) for g in given}
     for bounds in ({"expression_nodes": 0}, {"expression_nodes": 0, "nodes_per_pass": 4}, {}):
         assert {(r["a"], r["b"]): r["score"] for r in score_trees(df, TreeModel(nodes, ["a", "b"], 1.0), **bounds).collect()} == want
+
+
+def test_a_small_ensemble_leaves_its_method_room(spark):
+    """The virtual machine leaves methods beyond 8,000 bytes uncompiled, and a valuation's stage holds more than the ensemble."""
+    import re
+    from pisoval.sources.driver_tables import META, small_model
+    df = spark.range(10).select(*[(F.col("id") / (i + 1)).alias(c) for i, c in enumerate(META.columnas)])
+    out = score_trees(df, small_model(spark), "score")
+    text = out._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+    assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", text))) < 6000
+
+
+def test_missing_values_go_either_default_way(spark):
+    rows = [(t, n, *rest) for t, default in ((0, True), (1, False)) for n, *rest in (
+        (0, "x", 1.0, 1, 2, default, None), (1, None, None, None, None, None, 10.0 * (t + 1)), (2, None, None, None, None, None, 1.0 * (t + 1)))]
+    model = TreeModel(spark.createDataFrame(rows, NODE_SCHEMA), ["x"], 0.0)
+    df = spark.createDataFrame([(v,) for v in (None, float("nan"), float("inf"), -float("inf"), 1.0, 0.5, -0.0)], "x double")
+    both = [[r["score"] for r in score_trees(df, model, expression_nodes=n).collect()] for n in (400, 0)]
+    assert both[0] == both[1] == [12.0, 12.0, 3.0, 30.0, 3.0, 30.0, 30.0]
