@@ -22,3 +22,8 @@ def test_batch_outcome_has_no_nested_loop(spark, refs):
     text = plan(value_batch(d.raw_listings(spark, SF), refs))
     assert "NestedLoop" not in text and "Cartesian" not in text
     assert "Window" not in text
+
+
+def test_only_the_features_read_the_texts(spark, refs):
+    from pisoval.plans.features import TEXT, build_features
+    assert TEXT not in build_features(d.listings(spark, SF), refs).columns

@@ -110,3 +110,12 @@ def test_leaves_hold_points_in_order_of_places(spark):
         near = index_pois(pois, max_points=most).leaves.select(F.transform("near", lambda p: F.struct(p["lat"], p["lon"])).alias("n"))
         kept = near.select((F.col("n") == F.array_sort("n")).alias("ordered"), F.size("n").alias("n")).collect()
         assert kept and all(r["ordered"] for r in kept) and max(r["n"] for r in kept) > 1
+
+
+def test_leaves_hold_few_points_unless_they_are_as_good_as_equally_far():
+    rnd = np.random.default_rng(8)
+    for lat, lon, most in ((rnd.uniform(40.3, 40.5, 900), rnd.uniform(-3.8, -3.6, 900), 6), (40.4 + np.sin(np.arange(20)) / 20, -3.7 + np.cos(np.arange(20)) / 20, 20)):
+        a, b = np.radians(lat), np.radians(lon)
+        points = np.column_stack([lat, lon, np.cos(a) * np.cos(b), np.cos(a) * np.sin(b), np.sin(a)])
+        found = [x for i in (0, 1) for j in range(4) for x in leaves(points, 0, i, j)]
+        assert np.mean([len(x[3]) for x in found]) < 6 and len(found) < 40 * len(points) and max(x[0] for x in found) < 22

@@ -151,3 +151,35 @@ def test_doubts_hold_every_discarded_match(spark):
 def test_normalize_case_and_long_runs(spark):
     texts = ["ÀB" + " " * n + "Ω²ﬁŒ" + "\t" * n + "Ǆ" for n in range(1, 12)] + ["İİ", "A\x1c \x1fB", "½  ¼ ", "¨  x", "漢 字"]
     assert one(spark, texts, normalize_text(F.col("t"))) == [folded(t) for t in texts]
+
+
+def test_matches_are_told_where_they_stand(spark):
+    """One scan without lists of windows gives the answers of the window scan, at the ends of windows and for overlapping words too."""
+    from dataclasses import replace
+    rnd = random.Random(9)
+    vocabulary = ("terrazas splits a/a a/a/a conaire yaire aire acondicionado bomba de calor trastero armarios empotrado empotrad empotrados piscina porteria "
+                  "jardin ascensor garaje plaza plazas aparcamiento privado yaparcamiento . , ; - con y e pero aunque mas sin ni no tiene carece de falta "
+                  "bares comunitaria de los preinstalacion pre- instalacion opcion opcional comprar una (opcional no incluido aparte cerca proximidades a pocos "
+                  "metros la municipal antigua automatico vistas hacia el parques botanico instalacion proyecto facil zona publico").split()
+    odd = ["proxim" + "a" * 30, "," * 30, " , " * 14, "x" * 37, "\x01", ",:" * 12]
+    texts = ["".join(rnd.choice(odd if rnd.random() < .04 else vocabulary) + rnd.choice([" "] * 12 + ["", ", ", ".", "-"]) for _ in range(rnd.randint(1, 14)))
+             for _ in range(3000)]
+    t, names = normalize_text(F.col("t")), list(DEFAULT_RULES)
+    assert not any(r.doubts and ("exists" in str(c := r.is_counted(F.col("t"))) or "zip_with" in str(c)) for n in names for r in DEFAULT_RULES[n])
+    fast = one(spark, texts, F.array(*[is_mentioned(t, DEFAULT_RULES[n]) for n in names]))
+    assert fast == one(spark, texts, F.array(*[is_mentioned(t, [replace(r, doubts=None) for r in DEFAULT_RULES[n]]) for n in names]))
+
+
+def test_occupation_by_parts_is_that_of_the_whole_pattern(spark):
+    from pisoval.fixed_values import OCCUPIED_CANCELLED, OCCUPIED_PARTS
+    rnd = random.Random(4)
+    words = ("ocupada ocupado okupada okupa okupas sin posesion nuda propiedad - valoracion usufructo renta antigua con inquilino inquilinos inquilin actual "
+             "actualmente se encuentra esta vende alquilada alquilado contrato hasta de alquiler en vigor vigente libre desocupado xocupado .").split()
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 8))) for _ in range(4000)]
+    assert all(any(re.search(p or w, x) for w, p in OCCUPIED_PARTS if w in x) == bool(re.search(OCCUPIED, x)) for x in texts)
+    assert one(spark, texts, occupied(F.col("t"))) == [bool(re.search(OCCUPIED, x)) and not re.search(OCCUPIED_CANCELLED, x) for x in texts]
+
+
+def test_usual_accents_need_the_small_table_only():
+    from pisoval.functions.text import _latin_table
+    assert len(_latin_table()[0]) == len(_latin_table()[1]) < 200 and set("áéíóúüñÁÑ²ºª\t\x1fAZ") <= set(_latin_table()[0])
