@@ -27,3 +27,15 @@ def test_batch_outcome_has_no_nested_loop(spark, refs):
 def test_only_the_features_read_the_texts(spark, refs):
     from pisoval.plans.features import TEXT, build_features
     assert TEXT not in build_features(d.listings(spark, SF), refs).columns
+
+
+def test_reconciling_values_each_side_once(spark):
+    """A filter on what a valuation derives would repeat it below."""
+    from pisoval.catalog.queries import QUERIES
+    text = QUERIES["reconcile_estimates"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in text.splitlines() if re.search(r"\bFilter\b.*lambda", line)]
+
+
+def test_contract_conditions_are_compiled():
+    from pisoval.plans.contract import bad_fields
+    assert "array_compact" not in str(bad_fields())
